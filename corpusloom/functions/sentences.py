@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from corpusloom.functions.text import running_total
+from corpusloom.functions.text import let, running_total
 
 # A Unicode noncharacter: reserved for internal use, so it is free to act as the cut mark.
 MARK = "\ufdd0"
@@ -38,39 +38,29 @@ def _trim_last(piece: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """``array<string>`` of sentences; blank text gives an empty array, null gives null."""
-    return F.transform(
-        F.array(_pieces(text)),
-        lambda p: F.filter(
-            F.transform(p, lambda s, i: F.when(i % 2 == 1, "").when(i == F.size(p) - 1, _trim_last(s)).otherwise(s)),
-            lambda s: s != "",
-        ),
-    )[0]
+
+    def texts(pieces: Column) -> Column:
+        kept = F.transform(
+            pieces,
+            lambda s, i: F.when(i % 2 == 1, "").when(i == F.size(pieces) - 1, _trim_last(s)).otherwise(s),
+        )
+        return F.filter(kept, lambda s: s != "")
+
+    return let(_pieces(text), texts)
 
 
 def sentence_spans(text: Column) -> Column:
     """``array<struct<start:int,end:int>>`` of character offsets, end exclusive."""
 
-    def spans(p: Column) -> Column:
-        starts = running_total(F.transform(p, lambda s: F.length(s)))
-        return F.transform(
-            F.array(starts),
-            lambda offsets: F.filter(
-                F.transform(
-                    p,
-                    lambda s, i: F.struct(
-                        F.get(offsets, i).cast("int").alias("start"),
-                        (
-                            F.get(offsets, i)
-                            + F.when(i % 2 == 1, 0)
-                            .when(i == F.size(p) - 1, F.length(_trim_last(s)))
-                            .otherwise(F.length(s))
-                        )
-                        .cast("int")
-                        .alias("end"),
-                    ),
-                ),
-                lambda span: span["end"] > span["start"],
-            ),
-        )[0]
-
-    return F.transform(F.array(_pieces(text)), spans)[0]
+    def spans(pieces: Column, offsets: Column) -> Column:
+        def span(s: Column, i: Column) -> Column:
+            length = F.when(i % 2 == 1, 0).when(i == F.size(pieces) - 1, F.length(_trim_last(s))).otherwise(F.length(s))
+            start = F.get(offsets, i)
+            return F.struct(start.cast("int").alias("start"), (start + length).cast("int").alias("end"))
+
+        return F.filter(F.transform(pieces, span), lambda s: s["end"] > s["start"])
+
+    return let(
+        _pieces(text),
+        lambda pieces: let(running_total(F.transform(pieces, F.length)), lambda offsets: spans(pieces, offsets)),
+    )

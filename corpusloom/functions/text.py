@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -40,6 +40,11 @@ def combine_text(columns: Sequence[str | Column], delim: str = "", skip_nulls: b
     return F.concat_ws(delim, *parts)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def running_total(lengths: Column) -> Column:
     """Exclusive prefix sums of an ``array<int>``, as ``array<bigint>``.
 
@@ -60,8 +65,8 @@ def running_total(lengths: Column) -> Column:
 
     chunk_ids = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / _CHUNK).cast("int") - 1, F.lit(0)))
     chunks = F.transform(chunk_ids, lambda c: fold(F.slice(lengths, c * _CHUNK + 1, _CHUNK), lambda x: x))
-    return F.transform(
-        F.array(chunks),
+    return let(
+        chunks,
         lambda parts: F.flatten(
             F.zip_with(
                 parts,
@@ -69,4 +74,4 @@ def running_total(lengths: Column) -> Column:
                 lambda p, base: F.transform(p["before"], lambda x: x + base),
             )
         ),
-    )[0]
+    )
