@@ -84,17 +84,23 @@ def node_leaves(paths: Sequence[Path]) -> dict[str, list[Path]]:
     A name may show up on two levels only where every deeper node sits directly under a node of that
     name; such a node and what is below it add no column of their own.
     """
+    reachable = [_until_repeat(path) for path in paths]
     depth: dict[str, int] = {}
-    for path in paths:
-        for level, name in enumerate(path):
+    for names in reachable:
+        for level, name in enumerate(names):
             depth[name] = min(level, depth.get(name, level))
 
     nodes: dict[str, list[Path]] = {}
-    for path in paths:
-        for level, name in enumerate(path):
+    for path, names in zip(paths, reachable):
+        for level, name in enumerate(names):
             if depth[name] < level:
-                if path[level - 1] != name:
-                    raise ValueError(f"node {name!r} also stands on a higher level without being its own parent")
-                break
+                raise ValueError(f"node {name!r} also stands on a higher level without being its own parent")
             nodes.setdefault(name, []).append(path)
     return nodes
+
+
+def _until_repeat(path: Path) -> Path:
+    for level in range(1, len(path)):
+        if path[level] == path[level - 1]:
+            return path[:level]
+    return path
