@@ -17,7 +17,7 @@ SCORES = "array<struct<label:string,score:double>>"
 # Small default word lists for the built-in scorer; pass your own for real work.
 POSITIVE_WORDS = (
     "beautiful", "best", "better", "excellent", "fun", "good", "great", "happy", "love", "luck", "nice", "perfect",
-    "best", "freude", "gut", "glück", "schön", "super", "toll", "beau", "bien", "bon", "bonne", "heureux",
+    "freude", "gut", "glück", "schön", "super", "toll", "beau", "bien", "bon", "bonne", "heureux",
     "bueno", "feliz", "mejor",
 )
 NEGATIVE_WORDS = (

@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.dates import parse_date
-from corpusloom.functions.stopwords import stop_words
-from corpusloom.functions.text import let, text_or_empty, tokens
+from corpusloom.functions.stopwords import count_words, stop_words, without_words
+from corpusloom.functions.text import text_or_empty, tokens
 from corpusloom.operators.aggregate import group_count
 
 DEFAULT_LANGUAGE = "de"
@@ -58,18 +58,12 @@ def detect_language(
     Ties go to the earlier language, a text without any stop word gets ``default``.
     """
     lists = {code: stop_words(code) for code in languages}
-
-    def best(toks: Column) -> Column:
-        hits = [F.size(F.filter(toks, lambda t, words=words: t.isin(*words))) for words in lists.values()]
-
-        def pick(counts: Column) -> Column:
-            top = F.array_max(counts)
-            position = F.array_position(counts, top).cast("int")
-            return F.when(top > 0, F.element_at(F.array(*[F.lit(c) for c in lists]), position))
-
-        return let(F.array(*hits), pick)
-
-    return df.withColumn(out, F.coalesce(let(tokens(F.col(col)), best), F.lit(default)))
+    staged = df.withColumn("__tokens", tokens(F.col(col)))
+    staged = staged.withColumn("__hits", F.array(*[count_words("__tokens", words) for words in lists.values()]))
+    top = F.array_max("__hits")
+    codes = F.array(*[F.lit(c) for c in lists])
+    found = F.when(top > 0, F.element_at(codes, F.array_position("__hits", top).cast("int")))
+    return staged.withColumn(out, F.coalesce(found, F.lit(default))).drop("__tokens", "__hits")
 
 
 def language_stats(df: DataFrame, language_col: str = "language_id") -> DataFrame:
@@ -89,33 +83,27 @@ def preprocess_text(
 
     ``annotate`` may map a text to ``array<struct<token,lemma,pos>>``; then only ``keep_pos`` lemmas stay.
     """
-    lists = {code: stop_words(code) for code in PREPROCESS_LANGUAGES}
     always = set(filter_list)
+    banned = {code: sorted(always | set(stop_words(code))) for code in PREPROCESS_LANGUAGES}
 
-    def kept(items: Column, word: Callable[[Column], Column]) -> Column:
-        def without(words: Sequence[str]) -> Column:
-            banned = sorted(always | set(words))
-            return F.filter(items, lambda x: ~word(x).isin(*banned))
-
-        lang = F.col(lang_col)
-        branches = [c for c in lists if c != DEFAULT_LANGUAGE]
-        chain = F.when(lang == branches[0], without(lists[branches[0]]))
-        for code in branches[1:]:
-            chain = chain.when(lang == code, without(lists[code]))
-        return chain.otherwise(without(lists[DEFAULT_LANGUAGE]))
+    def kept(item: str) -> Column:
+        lists = {code: without_words("__items", words, item) for code, words in banned.items()}
+        default = lists.pop(DEFAULT_LANGUAGE)
+        chain = F
+        for code, items in lists.items():
+            chain = chain.when(F.col(lang_col) == code, items)
+        return chain.otherwise(default)
 
     if annotate is None:
-        words = let(tokens(F.col(col), 1), lambda t: kept(t, lambda x: x))
+        staged = df.withColumn("__items", tokens(F.col(col), 1))
+        words = kept("w")
     else:
-        def lemmas(items: Column) -> Column:
-            good = F.filter(
-                kept(items, lambda x: F.lower(x["token"])),
-                lambda x: x["pos"].isin(*keep_pos) & ~x["token"].startswith("\n"),
-            )
-            return F.transform(good, lambda x: F.lower(x["lemma"]))
-
-        words = let(annotate(F.col(col)), lemmas)
-    return df.withColumn(out, F.coalesce(F.array_join(words, " "), F.lit("")))
+        staged = df.withColumn("__items", annotate(F.col(col)))
+        good = F.filter(
+            kept("lower(w.token)"), lambda x: x["pos"].isin(*keep_pos) & ~x["token"].startswith("\n")
+        )
+        words = F.transform(good, lambda x: F.lower(x["lemma"]))
+    return staged.withColumn(out, F.coalesce(F.array_join(words, " "), F.lit(""))).drop("__items")
 
 
 def standard_cleanup(df: DataFrame, text_col: str = "text", date_col: str = "date") -> DataFrame:

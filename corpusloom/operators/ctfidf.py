@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.functions.stopwords import stop_words
+from corpusloom.functions.stopwords import is_word_of, stop_words
 from corpusloom.functions.text import combine_text, tokens
 
 TILE_GROUPS = 512
@@ -28,7 +28,8 @@ def ctfidf(
     Rank 1 is the highest score, ties go by word. ``include_tf`` adds ``word_tf``, the word of the same
     rank by plain frequency. Several group columns make a JSON object label.
     """
-    weights = term_weights(df, group, cols, lang)
+    counts = term_counts(df, group, cols, lang)
+    weights = _weighted(counts, df)
     # Ranking needs no normalisation (one divisor per group), so only ranked rows meet the norms. The
     # window keeps at most ``ranks`` rows per group and task before it shuffles.
     top = _ranked(weights, ranks, F.desc("weight"), F.asc("word"))
@@ -41,7 +42,7 @@ def ctfidf(
     )
     if not include_tf:
         return scored
-    by_tf = _ranked(weights, ranks, F.desc("tf"), F.asc("word"))
+    by_tf = _ranked(counts, ranks, F.desc("tf"), F.asc("word"))
     by_tf = by_tf.select("group_label", "rank", F.col("word").alias("word_tf"))
     return scored.join(by_tf, ["group_label", "rank"]).select("group_label", "word", "word_tf", "rank", "tfidf")
 
@@ -51,24 +52,37 @@ def _ranked(weights: DataFrame, ranks: int, *order: Column) -> DataFrame:
     return weights.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= ranks)
 
 
-def term_weights(
+def term_counts(
     df: DataFrame, group: str | Sequence[str], cols: str | Sequence[str], lang: str | None
 ) -> DataFrame:
-    """``group_label, word, tf, weight`` with ``weight = tf * ln(rows / total count of the word)``.
+    """``group_label, word, tf``; rows without a group or text add nothing.
 
-    ``rows`` counts every input row, also those without a group. Counts are combined map-side before
-    each shuffle, so neither a hot group nor a frequent word sends more than one row per task and key.
+    Everything downstream starts at this aggregation, whose shuffle Spark runs once and reuses. Counts
+    are combined map-side, so a hot group or word sends one row per task and key.
     """
-    docs = _labelled(df, group, cols)
-    rows = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    words = docs.where(F.col("group_label").isNotNull()).select("group_label", F.explode(tokens(F.col("text"))).alias("word"))
+    docs = _labelled(df, group, cols).where(F.col("group_label").isNotNull())
+    words = docs.select("group_label", F.explode(tokens(F.col("text"))).alias("word"))
     stops = stop_words(lang)
     if stops:
-        words = words.where(~F.col("word").isin(*stops))
-    tf = words.groupBy("group_label", "word").agg(F.count(F.lit(1)).alias("tf"))
-    totals = tf.groupBy("word").agg(F.sum("tf").alias("total"))
-    return tf.join(totals, "word").select(
-        "group_label", "word", "tf", (F.col("tf") * F.ln(rows / F.col("total"))).alias("weight")
+        words = words.where(~is_word_of("word", stops))
+    return words.groupBy("group_label", "word").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_weights(
+    df: DataFrame, group: str | Sequence[str], cols: str | Sequence[str], lang: str | None
+) -> DataFrame:
+    """``group_label, word, weight`` with ``weight = tf * ln(rows / total count of the word)``.
+
+    ``rows`` counts every input row, also those without a group.
+    """
+    return _weighted(term_counts(df, group, cols, lang), df)
+
+
+def _weighted(counts: DataFrame, df: DataFrame) -> DataFrame:
+    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    totals = counts.groupBy("word").agg(F.sum("tf").alias("total"))
+    return counts.join(totals, "word").select(
+        "group_label", "word", (F.col("tf") * F.ln(rows / F.col("total"))).alias("weight")
     )
 
 

@@ -59,7 +59,7 @@ class Learner:
         for i, model in enumerate(self.models):
             model = model.copy()
             raw, proba, prediction = f"__raw_{i}", f"__proba_{i}", f"__prediction_{i}"
-            model.setRawPredictionCol(raw).setProbabilityCol(proba).setPredictionCol(prediction)
+            model.setFeaturesCol(_FEATURES).setRawPredictionCol(raw).setProbabilityCol(proba).setPredictionCol(prediction)
             scored = model.transform(scored).drop(raw, prediction)
             parts.append(vector_to_array(proba))
         if self.multilabel:
@@ -69,7 +69,7 @@ class Learner:
         return scored.withColumn(_PROBA, combined).drop(_FEATURES, *[f"__proba_{i}" for i in range(len(parts))])
 
     def save(self, path: str) -> None:
-        spark = self.models[0]._java_obj and _session()
+        spark = _session()
         PipelineModel(self.models).write().overwrite().save(f"{path}/models")
         meta = json.dumps({"classes": self.classes, "multilabel": self.multilabel})
         spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/classes")

@@ -11,6 +11,7 @@ from corpusloom.runtime import durable, fits_broadcast
 JOIN_TYPES = ("inner", "left", "right", "outer")
 
 _ROW = "__row"
+_PLACE = "__place"
 _LOCAL_BITS = 33  # low bits of monotonically_increasing_id hold the position inside its partition
 
 
@@ -36,18 +37,18 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str] | None = None, name
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
     arranged = df.orderBy(*keys) if keys else df
-    numbered = durable(arranged.withColumn(_ROW, F.monotonically_increasing_id()))
-    part = F.shiftright(_ROW, _LOCAL_BITS)
+    numbered = durable(arranged.withColumn(_PLACE, F.monotonically_increasing_id()))
+    part = F.shiftright(_PLACE, _LOCAL_BITS)
     # One row per partition: bounded by the partition count, so one window task and a broadcast are safe.
     sizes = numbered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    local = F.col(_ROW).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    local = F.col(_PLACE).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     return (
         numbered.withColumn("__part", part)
         .join(F.broadcast(offsets), "__part")
         .withColumn(name, F.col("__offset") + local)
-        .drop("__part", "__offset", _ROW)
+        .drop("__part", "__offset", _PLACE)
     )
 
 
