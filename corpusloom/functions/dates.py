@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from corpusloom.functions.text import let
+
 # German and English month names and their usual short forms.
 MONTHS = {
     1: ("januar", "jänner", "january", "jan"),
@@ -41,6 +43,10 @@ def parse_date(text: Column) -> Column:
     s = F.regexp_replace(s, r",? um |, (?=\d{1,2}:)", " ")
     s = F.regexp_replace(s, r" uhr$", "")
 
+    return let(s, _read)
+
+
+def _read(s: Column) -> Column:
     number = F.create_map(*[F.lit(x) for n, names in MONTHS.items() for m in names for x in (m, n)])
 
     def field(pattern: str, i: int) -> Column:

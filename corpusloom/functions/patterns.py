@@ -7,9 +7,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
-from corpusloom.functions.sentences import MARK, without_marks
-from corpusloom.functions.text import let, running_total
-
 # Letters, digits, groups, quantifiers and word edges only: such a match holds no blank, so it can
 # never reach over a sentence boundary.
 _WITHIN_WORDS = re.compile(r"(?:\w|[|()?*+'-]|\(\?:|\[\w+\]|\\b|\\w)+")
@@ -36,11 +33,3 @@ def stays_within_words(pattern: str) -> bool:
 def match_count(text: Column, pattern: str, case_sensitive: bool = False) -> Column:
     """Number of non-overlapping matches."""
     return F.regexp_count(text, F.lit(java_regex(pattern, case_sensitive)))
-
-
-def match_starts(text: Column, pattern: str, case_sensitive: bool = False) -> Column:
-    """Ascending character offsets of all non-overlapping matches, ``array<bigint>``."""
-    marked = F.regexp_replace(without_marks(text), java_regex(pattern, case_sensitive), f"{MARK}$0")
-    lengths = F.transform(F.split(marked, MARK), F.length)
-    # The first piece starts the text, every later piece starts a match.
-    return let(running_total(lengths), lambda starts: F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))

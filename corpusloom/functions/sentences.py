@@ -13,23 +13,39 @@ from corpusloom.functions.text import let, running_total
 
 # A Unicode noncharacter: reserved for internal use, so it is free to act as the cut mark.
 MARK = "\ufdd0"
+HIT = "\ufdd1"
 
 BLANKS = r"[ \t\r\n]"
-_AT_TOKEN_START = r"(?<![^ \t\r\n])"
-_NOT_ELLIPSIS = r"(?<!\.\.)"
-_NOT_INITIAL = rf"(?!(?<={_AT_TOKEN_START}\p{{L}}\.){BLANKS}+\p{{L}})"
-_NOT_ORDINAL = rf"(?!(?<={_AT_TOKEN_START}[0-9,]{{1,15}}\.){BLANKS}+\p{{Ll}})"
-BOUNDARY = rf"""([.!?]["')\]}}]*){_NOT_ELLIPSIS}{_NOT_INITIAL}{_NOT_ORDINAL}({BLANKS}+)"""
+
+
+def _boundary(hit: str = "") -> str:
+    """End punctuation (group 1) and the blanks after it (group 2) wherever a sentence ends.
+
+    With ``hit`` the text may hold that mark, at most once, before any character; the rule reads past it.
+    A mark before the blanks stays with group 1, one after them with the next sentence.
+    """
+    h = f"{hit}?" if hit else ""
+    starts_token = rf"(?<![^ \t\r\n{hit}])" + (rf"(?<![^ \t\r\n]{hit})" if hit else "")
+    blanks = rf"{BLANKS}(?:{h}{BLANKS})*"
+    not_ellipsis = rf"(?<!\.{h}\.{h})"
+    not_initial = rf"(?!(?<={starts_token}\p{{L}}{h}\.{h}){blanks}{h}\p{{L}})"
+    not_ordinal = rf"(?!(?<={starts_token}[0-9,{hit}]{{1,15}}\.{h}){blanks}{h}\p{{Ll}})"
+    return rf"""([.!?](?:{h}["')\]}}])*{h}){not_ellipsis}{not_initial}{not_ordinal}({blanks})"""
+
+
+BOUNDARY = _boundary()
 
 
 def without_marks(text: Column) -> Column:
-    """Free the cut mark: a stray one becomes U+FFFD, which keeps every offset."""
-    return F.replace(text, F.lit(MARK), F.lit("\ufffd"))
+    """Free the cut marks: a stray one becomes U+FFFD, which keeps every offset."""
+    for mark in (MARK, HIT):
+        text = F.replace(text, F.lit(mark), F.lit("\ufffd"))
+    return text
 
 
-def _pieces(text: Column) -> Column:
+def _pieces(text: Column, boundary: str = BOUNDARY) -> Column:
     """Alternating sentences and the blanks between them; joined they give the text back."""
-    return F.split(F.regexp_replace(without_marks(text), BOUNDARY, f"$1{MARK}$2{MARK}"), MARK)
+    return F.split(F.regexp_replace(text, boundary, f"$1{MARK}$2{MARK}"), MARK)
 
 
 def _trim_last(piece: Column) -> Column:
@@ -46,7 +62,7 @@ def sentences(text: Column) -> Column:
         )
         return F.filter(kept, lambda s: s != "")
 
-    return let(_pieces(text), texts)
+    return let(_pieces(without_marks(text)), texts)
 
 
 def sentence_spans(text: Column) -> Column:
@@ -61,6 +77,22 @@ def sentence_spans(text: Column) -> Column:
         return F.filter(F.transform(pieces, span), lambda s: s["end"] > s["start"])
 
     return let(
-        _pieces(text),
+        _pieces(without_marks(text)),
         lambda pieces: let(running_total(F.transform(pieces, F.length)), lambda offsets: spans(pieces, offsets)),
     )
+
+
+def sentence_of_matches(text: Column, java_regex: str, last: Column) -> Column:
+    """Sentence number of each match, ``array<int>`` in text order, by where the match starts.
+
+    Matches are found in the whole text and marked; the text is then cut into sentences around the
+    marks, so the work is linear in the text. ``last`` is the number of the last sentence: a match in
+    trailing blanks belongs to it, one in blanks between sentences to the sentence before.
+    """
+    marked = F.regexp_replace(without_marks(text), java_regex, f"{HIT}$0")
+
+    def hits(piece: Column, i: Column) -> Column:
+        count = F.when(F.contains(piece, F.lit(HIT)), F.size(F.split(piece, HIT)) - 1).otherwise(0)
+        return F.array_repeat(F.least(F.floor(i / 2).cast("int"), last), count)
+
+    return F.flatten(F.transform(_pieces(marked, _boundary(HIT)), hits))

@@ -17,7 +17,14 @@ def _names(columns: str | Sequence[str]) -> list[str]:
 def group_count(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     """Size of each group; rows with a null in a group column are left out."""
     keys = _names(columns)
-    return df.dropna(subset=keys).groupBy(*keys).count()
+    return _with_keys(df, keys).groupBy(*keys).count()
+
+
+def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are set. Keys that cannot be null need no filter, which matters when they are
+    costly expressions: a filter is pushed down to the scan and evaluates them a second time."""
+    nullable = [k for k in keys if df.schema[k].nullable]
+    return df.dropna(subset=nullable) if nullable else df
 
 
 def column_sums(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
@@ -59,7 +66,7 @@ def group_concat_parts(
     """The same texts in pieces ``(by…, part, texts…)``; pieces in ``part`` order make up the group."""
     keys, texts = _names(by), _names(text_cols)
     part = F.floor(F.col(order_by) / rows_per_part).cast("bigint")
-    rows = df.dropna(subset=keys).select(*keys, part.alias("part"), F.col(order_by).alias("__order"), *texts)
+    rows = _with_keys(df, keys).select(*keys, part.alias("part"), F.col(order_by).alias("__order"), *texts)
     return rows.groupBy(*keys, "part").agg(
         *[F.expr(_joined(c, delim, "__order", f"`{c}` != ''")).alias(c) for c in texts]
     )

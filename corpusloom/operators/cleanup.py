@@ -27,8 +27,7 @@ def standardize_dates(df: DataFrame, col: str = "date", out: str = "date_standar
     Empty becomes ``n.a.``, ``nan`` stays. ``status`` names an extra column saying which case applied
     (``parsed``, ``kept``, ``missing``, ``nan``, ``unparsed``), so unread rows can be counted.
     """
-    raw = text_or_empty(F.col(col))
-    parsed = parse_date(raw)
+    raw, parsed = F.col("__raw"), F.col("__parsed")
     case = (
         F.when(raw == "nan", "nan")
         .when(parsed.isNotNull(), "parsed")
@@ -36,10 +35,14 @@ def standardize_dates(df: DataFrame, col: str = "date", out: str = "date_standar
         .when(raw == "", "missing")
         .otherwise("unparsed")
     )
-    staged = df.withColumn("__raw", raw).withColumn("__parsed", parsed).withColumn("__case", case)
-    value = F.when(F.col("__case") == "parsed", F.col("__parsed").cast("string")).when(
-        F.col("__case") == "missing", "n.a."
-    ).otherwise(F.col("__raw"))
+    # Staged, so that parsing, the costly part, happens once per row.
+    staged = df.withColumn("__raw", text_or_empty(F.col(col))).withColumn("__parsed", parse_date(raw))
+    staged = staged.withColumn("__case", case)
+    value = (
+        F.when(F.col("__case") == "parsed", parsed.cast("string"))
+        .when(F.col("__case") == "missing", "n.a.")
+        .otherwise(raw)
+    )
     staged = staged.withColumn(out, value)
     if status:
         staged = staged.withColumn(status, F.col("__case"))

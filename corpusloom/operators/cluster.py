@@ -49,8 +49,9 @@ def density_cluster(
         .groupBy("vec")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     )
-    cores = durable(_core_points(points, eps, min_samples))
-    links = _block_join(cores.drop("core_distance"), eps, _forest(eps), "a bigint, b bigint")
+    pivots = _pivots(points)
+    cores = durable(_core_points(points, pivots, eps, min_samples))
+    links = _block_join(cores.drop("core_distance"), pivots, eps, _forest(eps), "a bigint, b bigint")
     components = connected_components(links.select("a", "b"))
 
     members = cores.join(components, cores["id"] == components["node"], "left").select(
@@ -75,9 +76,10 @@ def density_cluster(
     return result.drop("__vec", "__p")
 
 
-def _core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def _core_points(points: DataFrame, pivots: np.ndarray, eps: float, min_samples: int) -> DataFrame:
     """Core points with their core distance: how far the ``min_samples``-th other row is."""
-    near = _block_join(points, eps, _nearest(eps, min_samples), "id bigint, block int, n bigint, near array<struct<d:double,n:bigint>>")
+    schema = "id bigint, block int, n bigint, near array<struct<d:double,n:bigint>>"
+    near = _block_join(points, pivots, eps, _nearest(eps, min_samples), schema)
 
     def smallest(entries: Column) -> Column:
         return F.slice(F.array_sort(F.flatten(entries)), 1, min_samples)
@@ -107,13 +109,15 @@ def _core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     )
 
 
-def _block_join(points: DataFrame, eps: float, task, schema: str) -> DataFrame:
+def _pivots(points: DataFrame) -> np.ndarray:
+    """A few vectors picked by hash; at most MAX_PIVOTS of them reach the driver and the tasks."""
+    wanted = max(1, min(MAX_PIVOTS, points.count() // CELL_ROWS))
+    rows = points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
+    return np.array([r.vec for r in rows], dtype=np.float64)
+
+
+def _block_join(points: DataFrame, pivots: np.ndarray, eps: float, task, schema: str) -> DataFrame:
     """Run ``task`` on every pair of blocks whose rows may lie within ``eps`` of each other."""
-    n = points.count()
-    wanted = max(1, min(MAX_PIVOTS, n // CELL_ROWS))
-    # At most MAX_PIVOTS vectors reach the driver and every task.
-    pivot_rows = points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
-    pivots = np.array([r.vec for r in pivot_rows], dtype=np.float64)
     placed = points.mapInArrow(
         _place(pivots, eps), "id bigint, vec array<double>, copies bigint, home int, halo array<int>"
     )

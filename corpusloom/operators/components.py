@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from corpusloom.runtime import durable
 
@@ -15,21 +15,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the node count.
     """
     links = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
-    links = durable(links)
-    state = _fingerprint(links)
+    links, state = _stored(links)
     while True:
-        links = durable(_small_star(_large_star(links)))
-        now = _fingerprint(links)
-        if now == state:
+        before = state
+        links, state = _stored(_small_star(_large_star(links)))
+        if state == before:
             break
-        state = now
     leaves = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return leaves.unionByName(roots)
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+def _stored(links: DataFrame) -> tuple[DataFrame, dict]:
+    """The links checkpointed, and their count and hash taken during that same write."""
+    seen = Observation()
+    watched = links.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("hash"))
+    return durable(watched), seen.get
 
 
 def _large_star(links: DataFrame) -> DataFrame:

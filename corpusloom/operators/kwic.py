@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import patterns as P, sentences as S
-from corpusloom.functions.text import combine_text, let, running_total
+from corpusloom.functions.text import combine_text, let
 
 KEYWORD_SLOT = "<KEYWORD>"
 
@@ -86,31 +86,9 @@ def _sentence_numbers(text: Column, sents: Column, patterns: Sequence[str]) -> C
 
         return F.array(*[per_sentence(p) for p in patterns])
 
-    spans = S.sentence_spans(text)
-    return let(
-        F.transform(spans, lambda s: F.struct(s["start"].cast("bigint").alias("at"), F.lit(0).alias("match"))),
-        lambda starts: F.array(*[_merge(starts, P.match_starts(text, p)) for p in patterns]),
-    )
-
-
-def _merge(sentence_starts: Column, match_starts: Column) -> Column:
-    """Number of the last sentence that starts at or before each match.
-
-    Both offset lists are sorted together and the sentences counted in one pass, so the work grows with
-    the text and not with matches times sentences.
-    """
-    matches = F.transform(match_starts, lambda at: F.struct(at.alias("at"), F.lit(1).alias("match")))
-    return let(
-        F.sort_array(F.concat(sentence_starts, matches)),
-        lambda events: F.filter(
-            F.zip_with(
-                events,
-                running_total(F.transform(events, lambda e: 1 - e["match"])),
-                lambda e, seen: F.when(e["match"] == 1, F.greatest(seen.cast("int") - 1, F.lit(0))),
-            ),
-            lambda i: i.isNotNull(),
-        ),
-    )
+    last = F.size(sents) - 1
+    found = F.array(*[S.sentence_of_matches(text, P.java_regex(p), last) for p in patterns])
+    return F.when(F.size(sents) > 0, found)
 
 
 def _without_overlap(found: Column) -> Column:

@@ -95,7 +95,7 @@ def load_learner(path: str) -> Learner:
 
 
 def fit_learner(
-    df: DataFrame, features: Sequence[str], label: str, multilabel: bool = False, max_iter: int = 50, reg: float = 0.01
+    df: DataFrame, features: Sequence[str], label: str, multilabel: bool = False, max_iter: int = 25, reg: float = 0.01
 ) -> Learner:
     """Fit on the rows that have a label.
 
@@ -116,7 +116,7 @@ def fit_learner(
 
     def logistic(target, family: str):
         rows = train.select("features", target.cast("double").alias("label"))
-        return LogisticRegression(family=family, maxIter=max_iter, regParam=reg).fit(rows)
+        return LogisticRegression(family=family, maxIter=max_iter, regParam=reg, tol=1e-4).fit(rows)
 
     if multilabel:
         models = [logistic(F.array_contains(_LABELS, c), "binomial") for c in classes]
