@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.runtime import durable
 
@@ -26,11 +26,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(roots)
 
 
-def _stored(links: DataFrame) -> tuple[DataFrame, dict]:
-    """The links checkpointed, and their count and hash taken during that same write."""
-    seen = Observation()
-    watched = links.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("hash"))
-    return durable(watched), seen.get
+def _stored(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links checkpointed, with their count and hash to tell whether a round changed anything."""
+    kept = durable(links)
+    return kept, tuple(kept.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
 
 def _large_star(links: DataFrame) -> DataFrame:

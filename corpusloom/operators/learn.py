@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +18,7 @@ from corpusloom.functions.vectors import combine_features
 from corpusloom.runtime import durable
 
 MAX_CLASSES = 10_000
+PARALLEL_FITS = 8
 _FEATURES = "__features"
 _LABELS = "__labels"
 _PROBA = "__proba"
@@ -100,7 +103,7 @@ def fit_learner(
     """Fit on the rows that have a label.
 
     Single label: one multinomial model, so the passes over the data do not grow with the classes.
-    Several labels: one binary model per class, fitted one after the other on the same stored features.
+    Several labels: one binary model per class on the same stored features, a few at a time.
     """
     known = df.where(F.col(label).isNotNull())
     classes = class_names(known, label, multilabel)
@@ -119,7 +122,12 @@ def fit_learner(
         return LogisticRegression(family=family, maxIter=max_iter, regParam=reg, tol=1e-4).fit(rows)
 
     if multilabel:
-        models = [logistic(F.array_contains(_LABELS, c), "binomial") for c in classes]
+        # A fit is a chain of short jobs, so several run at a time to keep the cluster busy.
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            fit = inheritable_thread_target(df.sparkSession)(
+                lambda c: logistic(F.array_contains(_LABELS, c), "binomial")
+            )
+            models = list(pool.map(fit, classes))
     else:
         # Class number by a map built once; a chain of comparisons would grow with the classes.
         order = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
