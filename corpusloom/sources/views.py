@@ -50,11 +50,20 @@ class ViewStore:
         df.write.mode("errorifexists").parquet(path)
         return path
 
-    def load(self, name: str, clip: int | None = None) -> DataFrame:
+    def exists(self, path: str) -> bool:
+        location, fs = self._fs(path)
+        return fs.exists(location)
+
+    def scan(self, name: str) -> DataFrame:
+        """The newest version as a plain file scan."""
         versions = self.versions(name)
         if not versions:
             raise ValueError(f"no view named {name}")
-        df = self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]:06d}")
+        return self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]:06d}")
+
+    def load(self, name: str, clip: int | None = None) -> DataFrame:
+        """The newest version, spread over the cores when its files are few; or its first rows."""
+        df = self.scan(name)
         return spread(df) if clip is None else clip_file_rows(df, clip)
 
     def drop_old_versions(self, name: str, keep: int = 1) -> None:
