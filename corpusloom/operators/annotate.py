@@ -54,7 +54,10 @@ def sentiment(
         scored = scored.where(F.size("__sentences") > 0)
     scored = scored.withColumn("__scores", score(F.col("__sentences")))
     kept = F.filter(F.transform("__scores", signed), lambda v: v.isNotNull())
-    return scored.withColumn(out, let(kept, mean)).drop("__sentences", "__scores")
+    # The second use of the sentences keeps them a column of their own: a Python scorer takes a plain
+    # column, and sentences folded into its argument would not reach it.
+    value = F.when(F.size("__sentences") > 0, let(kept, mean)).otherwise(F.lit(0.0))
+    return scored.withColumn(out, value).drop("__sentences", "__scores")
 
 
 def lexicon_scorer(

@@ -23,7 +23,8 @@ from corpusloom.runtime import durable
 NOISE = -1
 CELL_ROWS = 4096
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 8192
+_ROWS_PER_STEP = 256
 MERGE_FAN_IN = 64
 
 
@@ -177,32 +178,42 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _place(pivots: np.ndarray, eps: float):
     """Nearest pivot of each vector and all cells within ``eps``, its own included."""
-    gaps = np.sqrt(_squared(pivots, pivots))
+    norms = (pivots * pivots).sum(1)
+
+    def cells_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        squared = _squared(vectors, pivots)
+        home = squared.argmin(axis=1)
+        own = squared[np.arange(len(home)), home]
+        gaps = np.sqrt(_squared(pivots[home], pivots))
+        # Distance to the plane halfway between two pivots bounds the distance to the other cell.
+        # What rounding may have cost is given back, so that no cell is missed.
+        doubt = 1e-12 * ((vectors * vectors).sum(1)[:, None] + norms[None, :])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            border = (squared - own[:, None] - doubt) / (2.0 * gaps)
+        reach = ~(border > eps * (1 + 1e-9) + 1e-9)
+        reach[np.arange(len(home)), home] = True
+        return home, reach
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            squared = _squared(_matrix(batch.column("vec")), pivots)
-            home = squared.argmin(axis=1)
-            own = squared[np.arange(len(home)), home]
-            # Distance to the plane halfway between two pivots bounds the distance to the other cell.
-            with np.errstate(divide="ignore", invalid="ignore"):
-                border = (squared - own[:, None]) / (2.0 * gaps[home])
-            reach = ~(border > eps * (1 + 1e-9) + 1e-9)
-            rows, cells = np.nonzero(reach)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(home)))])
-            halo = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("vec"), batch.column("copies"), pa.array(home, pa.int32()), halo],
-                ["id", "vec", "copies", "home", "halo"],
-            )
+        for full in batches:
+            # Small steps: the distance matrix is rows times pivots.
+            for start in range(0, full.num_rows, _ROWS_PER_STEP):
+                batch = full.slice(start, _ROWS_PER_STEP)
+                home, reach = cells_of(_matrix(batch.column("vec")))
+                offsets = np.concatenate([[0], np.cumsum(reach.sum(axis=1))])
+                halo = pa.ListArray.from_arrays(
+                    pa.array(offsets, pa.int32()), pa.array(np.nonzero(reach)[1], pa.int32())
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("vec"), batch.column("copies"), pa.array(home, pa.int32()), halo],
+                    ["id", "vec", "copies", "home", "halo"],
+                )
 
     return run
 
 
 def _block(table: pa.Table, eps: float):
-    """Own ids, near ids, near copies, distances and which pairs count as neighbours."""
+    """Own and near rows as (ids, vectors, copies), their distances, and which pairs are neighbours."""
     own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
     ids = table.column("id").to_numpy()
     copies = table.column("copies").to_numpy()
@@ -216,20 +227,21 @@ def _block(table: pa.Table, eps: float):
         squared[i, j] = ((a[i] - b[j]) ** 2).sum()
     distance = np.sqrt(squared)
     close = (distance <= eps) & (ids[own][:, None] != ids[~own][None, :])
-    return ids[own], ids[~own], copies[~own], distance, close
+    return (ids[own], a, copies[own]), (ids[~own], b, copies[~own]), distance, close
 
 
 def _nearest(eps: float, k: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         block = key[2].as_py()
-        own, _, copies, distance, close = _block(table, eps)
+        (own, a, _), (_, b, copies), distance, close = _block(table, eps)
         counts = close @ copies if len(copies) else np.zeros(len(own), dtype=np.int64)
         hit = np.flatnonzero(counts)
         near = []
         for i in hit:
             others = np.flatnonzero(close[i])
             order = others[np.argsort(distance[i, others], kind="stable")[:k]]
-            near.append([{"d": float(distance[i, j]), "n": int(copies[j])} for j in order])
+            exact = np.sqrt(((b[order] - a[i]) ** 2).sum(axis=1))
+            near.append([{"d": float(d), "n": int(n)} for d, n in zip(exact, copies[order])])
         return pa.table(
             {
                 "id": pa.array(own[hit], pa.int64()),
@@ -246,7 +258,7 @@ def _forest(eps: float):
     """Edges that connect what the block connects, one fewer than the rows of each piece."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        own, near, _, _, close = _block(table, eps)
+        (own, _, _), (near, _, _), _, close = _block(table, eps)
         todo = close.any(axis=1)
         left, right = [], []
         unseen = np.ones(len(near), dtype=bool)

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.stopwords import is_word_of, stop_words
 from corpusloom.functions.text import combine_text, tokens
+from corpusloom.runtime import durable
 
 TILE_GROUPS = 512
+TILE_ROWS = 1_000_000
 _WORDS_PER_STEP = 4096
 
 
@@ -110,14 +112,17 @@ def group_similarity(
 
     A tiled matrix product instead of a self-join on the word, which would put out every pair of groups
     for each shared word: groups are hashed into blocks of about ``tile_groups``, words into slices, and
-    each (block, block, slice) task multiplies two small matrices. A frequent word or a hot group is cut
-    along both directions; partial products are added up by (group, group).
+    each (block, block, slice) task multiplies two small matrices of about ``TILE_ROWS`` entries at most.
+    A frequent word or a hot group is cut along both directions; partial products are added up by
+    (group, group).
     """
-    weights = term_weights(df, group, cols, lang)
+    # Written once: its size decides the slices, and it is read twice.
+    weights = durable(term_weights(df, group, cols, lang))
     labels = _labelled(df, group, cols).where(F.col("group_label").isNotNull()).select("group_label").distinct()
-    spark = df.sparkSession
     blocks = max(1, -(-labels.count() // tile_groups))
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2 // (blocks * (blocks + 1)))
+    tiles = blocks * (blocks + 1) // 2
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    slices = max(1, -(-2 * weights.count() // (blocks * TILE_ROWS)), cores // tiles)
 
     norms = weights.groupBy("group_label").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     unit = weights.join(norms, "group_label").select(

@@ -201,7 +201,7 @@ def query_set(
     )
     picks: DataFrame | None = None
     for number, strategy in enumerate(strategies):
-        left = pool if picks is None else pool.join(F.broadcast(picks.select(id_col)), id_col, "left_anti")
+        left = pool if picks is None else pool.join(picks.select(id_col), id_col, "left_anti")
         chosen = (
             left.orderBy(F.desc(f"__{strategy}"), F.asc(id_col))
             .limit(n)

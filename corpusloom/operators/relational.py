@@ -154,7 +154,7 @@ def append_column(
         key = _ROW
     else:
         key = on
-        values = source.groupBy(on).agg(F.min(col).alias("__value"), F.count(F.lit(1)).alias("__copies"))
+        values = source.groupBy(on).agg(F.first(col).alias("__value"), F.count(F.lit(1)).alias("__copies"))
         rows = base
     matched = rows.withColumn("__in_target", F.lit(True)).join(
         values.withColumn("__in_source", F.lit(True)), key, "full_outer"

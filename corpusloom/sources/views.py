@@ -9,6 +9,7 @@ from corpusloom.runtime import spread
 
 _INDEX_NAME = "_c0"  # what the CSV reader calls a column with an empty header
 _UNNAMED = "Unnamed"
+MAX_BROADCAST_FILES = 100_000
 
 
 class ViewStore:
@@ -80,9 +81,11 @@ def file_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """
     placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
     sizes = df.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count(F.lit(1)).alias("__n"))
-    # One row per file, so a single window task is enough.
+    # One row per file: a single window task is enough, and the list is broadcast unless it is very long.
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    if len(df.inputFiles()) <= MAX_BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     return placed.join(offsets, "__file").select(*df.columns, (F.col("__offset") + F.col("__at")).alias(name))
 
 
