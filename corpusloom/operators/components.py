@@ -15,21 +15,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the node count.
     """
     links = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
-    links, state = _stored(links)
-    while True:
-        before = state
-        links, state = _stored(_small_star(_large_star(links)))
-        if state == before:
-            break
+    links = durable(links)
+    while not _are_stars(links):
+        links = durable(_small_star(_large_star(links)))
     leaves = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return leaves.unionByName(roots)
 
 
-def _stored(links: DataFrame) -> tuple[DataFrame, tuple]:
-    """The links checkpointed, with their count and hash to tell whether a round changed anything."""
-    kept = durable(links)
-    return kept, tuple(kept.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+def _are_stars(links: DataFrame) -> bool:
+    """True when every larger end has one smaller end, which is itself no larger end."""
+    ends = links.select(F.col("hi").alias("node"), F.lit(1).alias("up")).unionByName(
+        links.select(F.col("lo").alias("node"), F.lit(0).alias("up"))
+    )
+    per_node = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("lowest"))
+    return per_node.where("ups > 1 OR (ups = 1 AND lowest = 0)").isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     )
     smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     up = links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    return up.join(smallest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return up.join(smallest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from corpusloom.runtime import durable
 
 MAX_CLASSES = 10_000
 PARALLEL_FITS = 8
+VALUES_PER_TASK = 1_000_000
 _FEATURES = "__features"
 _LABELS = "__labels"
 _PROBA = "__proba"
@@ -117,6 +118,10 @@ def fit_learner(
         )
     )
 
+    # Each optimiser pass is one job over all partitions: a small table is read in few tasks.
+    size = train.select(F.count(F.lit(1)), F.max(F.size(vector_to_array("features")))).first()
+    train = train.coalesce(max(1, size[0] * size[1] // VALUES_PER_TASK))
+
     def logistic(target, family: str):
         rows = train.select("features", target.cast("double").alias("label"))
         return LogisticRegression(family=family, maxIter=max_iter, regParam=reg, tol=1e-4).fit(rows)
@@ -196,17 +201,23 @@ def query_set(
         "margin": F.get(ordered, F.lit(1)) - F.get(ordered, F.lit(0)),
         "min_confidence": -F.array_min(proba),
     }
-    pool = df.where(F.col(label).isNull()).select(
-        F.col(id_col), *[scores[s].alias(f"__{s}") for s in dict.fromkeys(strategies)]
+    numbered = F.array(
+        *[
+            F.struct(F.lit(i).alias("strategy_no"), F.lit(s).alias("strategy"), scores[s].alias("score"))
+            for i, s in enumerate(strategies)
+        ]
     )
+    scored = df.where(F.col(label).isNull()).select(id_col, F.inline(numbered))
+    # Earlier strategies take at most n rows each, so the first n * (number + 1) of a strategy are enough:
+    # one pass over the table, then only these few rows are looked at.
+    window = Window.partitionBy("strategy_no").orderBy(F.desc("score"), F.asc(id_col))
+    ranked = scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n * len(strategies))
+    candidates = durable(ranked.where(F.col("rank") <= n * (F.col("strategy_no") + 1)))
     picks: DataFrame | None = None
-    for number, strategy in enumerate(strategies):
+    for number in range(len(strategies)):
+        pool = candidates.where(F.col("strategy_no") == number)
         left = pool if picks is None else pool.join(picks.select(id_col), id_col, "left_anti")
-        chosen = (
-            left.orderBy(F.desc(f"__{strategy}"), F.asc(id_col))
-            .limit(n)
-            .select(F.lit(number).alias("strategy_no"), F.lit(strategy).alias("strategy"), id_col, F.col(f"__{strategy}").alias("score"))
-        )
+        chosen = left.orderBy("rank").limit(n).select("strategy_no", "strategy", id_col, "score")
         picks = chosen if picks is None else picks.unionByName(chosen)
     return picks
 

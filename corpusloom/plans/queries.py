@@ -254,7 +254,7 @@ def _date_strings(spark, sf_dir):
         .when(F.col("o_orderstatus") == "F", F.lit("nan"))
         .otherwise(F.concat(F.lit("order "), F.col("o_orderkey"), F.lit(" undated")))
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", written.alias("date"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", written.alias("date"))
 
 
 def standardize_dates(spark, sf_dir):
