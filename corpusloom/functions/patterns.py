@@ -21,9 +21,9 @@ def validate(patterns: Iterable[str]) -> None:
 
 
 def java_regex(pattern: str, case_sensitive: bool = False) -> str:
-    """The same pattern in Java syntax, with Unicode-aware classes and, by default, any case."""
+    """The same pattern in Java syntax: Unicode classes, only ``\\n`` ends a line and, by default, any case."""
     translated = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")).replace(r"\Z", r"\z")
-    return ("(?U)" if case_sensitive else "(?iU)") + f"(?:{translated})"
+    return ("(?Ud)" if case_sensitive else "(?iUd)") + f"(?:{translated})"
 
 
 def stays_within_words(pattern: str) -> bool:

@@ -64,6 +64,8 @@ def term_counts(
     """
     docs = _labelled(df, group, cols).where(F.col("group_label").isNotNull())
     words = docs.select("group_label", F.explode(tokens(F.col("text"))).alias("word"))
+    # Joins on the word would add this filter on their side only and keep the branches from sharing.
+    words = words.where(F.col("word").isNotNull())
     stops = stop_words(lang)
     if stops:
         words = words.where(~is_word_of("word", stops))

@@ -100,13 +100,15 @@ def read_csv_view(
     schema: T.StructType | str | None = None,
     index_col: bool = True,
     clip: int | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A CSV view with header: the first (index) column and ``Unnamed…`` columns are dropped.
 
-    ``index_col=False`` keeps the first column. Cells may span lines. Give a ``schema`` for large files;
-    without one the types are inferred in an extra pass.
+    ``index_col=False`` keeps the first column. Give a ``schema`` for large files; without one the types
+    are inferred in an extra pass. With ``multi_line`` cells may span lines, but a file is then read by one
+    task: turn it off, or bring many files, when texts hold no line breaks.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     df = reader.csv(path, schema=schema) if schema is not None else reader.csv(path, inferSchema=True)
     columns = df.columns[1:] if index_col else df.columns
     kept = [c for c in columns if not c.startswith(_UNNAMED) and c != _INDEX_NAME]
