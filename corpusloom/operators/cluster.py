@@ -114,7 +114,7 @@ def _pivots(points: DataFrame) -> np.ndarray:
     """A few vectors picked by hash; at most MAX_PIVOTS of them reach the driver and the tasks."""
     wanted = max(1, min(MAX_PIVOTS, points.count() // CELL_ROWS))
     rows = points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
-    return np.array([r.vec for r in rows], dtype=np.float64)
+    return np.array([r.vec for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
 
 
 def _block_join(points: DataFrame, pivots: np.ndarray, eps: float, task, schema: str) -> DataFrame:

@@ -234,3 +234,13 @@ def test_preprocess_with_annotator(spark):
     df = spark.createDataFrame([("The Cat runs \nHome Www", "en"), ("Der Hund", "xx")], "t string, l string")
     got = op.preprocess_text(df, "t", "l", annotate=annotate).collect()
     assert [r.text_preprocessed for r in got] == ["catx", "hundx"]
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "id long, g string, t string, date string")
+    assert op.ctfidf(none, "g", "t").count() == 0
+    assert op.group_similarity(none, "g", "t").count() == 0
+    assert op.kwic(none, "t", ["a"], "id").count() == 0
+    assert op.with_row_id(none, "id").count() == 0
+    assert op.group_concat(none, "g", "t", "id").count() == 0
+    assert op.standard_cleanup(none, "t").count() == 0

@@ -65,6 +65,16 @@ def test_density_cluster_like_brute_force(spark, monkeypatch, cell, block):
     assert sizes == {-1: len(vectors) + 1}
 
 
+def test_density_cluster_without_clusters(spark):
+    schema = "id long, v array<double>"
+    lone = spark.createDataFrame([(1, [0.0, 0.0]), (2, [9.0, 9.0])], schema)
+    assert [r.hdbscan for r in op.density_cluster(lone, "v", 0.5, "id").collect()] == [-1, -1]
+    assert op.density_cluster(lone.where("id > 5"), "v", 0.5, "id").count() == 0
+    copies = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(20)], schema)
+    got = op.density_cluster(copies, "v", 0.5, "id", include_p=True).collect()
+    assert {(r.hdbscan, r.hdbscan_p) for r in got} == {(0, 1.0)}
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(100, 160)]  # a long path
@@ -83,6 +93,7 @@ def test_connected_components(spark):
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
     got = op.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert op.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_encode(spark):
