@@ -30,6 +30,14 @@ def stays_within_words(pattern: str) -> bool:
     return bool(_WITHIN_WORDS.fullmatch(pattern)) and re.compile(pattern).fullmatch("") is None
 
 
+def sql_literal(text: str) -> str | None:
+    """``text`` as a raw SQL string, in which nothing is an escape; None when both quotes occur in it."""
+    for quote in ("'", '"'):
+        if quote not in text:
+            return f"r{quote}{text}{quote}"
+    return None
+
+
 def match_count(text: Column, pattern: str, case_sensitive: bool = False) -> Column:
     """Number of non-overlapping matches."""
     return F.regexp_count(text, F.lit(java_regex(pattern, case_sensitive)))

@@ -6,12 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.functions.patterns import match_count, validate
+from corpusloom.functions.patterns import java_regex, match_count, sql_literal, validate
 
 MAX_PATTERNS = 10_000
-COLUMNS_PER_STEP = 100
 
 Path = tuple[str, ...]
 
@@ -40,24 +39,27 @@ def match_counter(
     if clashes:
         raise ValueError(f"columns exist already: {clashes}")
 
-    text = F.col(col)
+    # Written as SQL text: a long dictionary is parsed in one go instead of being put together call by call.
     names = {path: f"__leaf_{i}" for i, path in enumerate(leaves)}
-    counted = df
-    # Each step is its own projection, so that no generated class grows with the dictionary.
-    for step in _batches(list(leaves.items()), COLUMNS_PER_STEP):
-        counted = counted.select("*", *[_leaf(text, regexes).alias(names[path]) for path, regexes in step])
+    as_sql, as_columns = [], []
+    for path, regexes in leaves.items():
+        patterns = [sql_literal(java_regex(regex, case)) for regex, case in regexes]
+        if None in patterns:
+            counts = [match_count(F.col(_quoted(col)), regex, case) for regex, case in regexes]
+            as_columns.append(reduce(add, counts).alias(names[path]))
+        else:
+            counts = " + ".join(f"regexp_count({_quoted(col)}, {p})" for p in patterns)
+            as_sql.append(f"{counts} AS {names[path]}")
+    counted = df.selectExpr("*", *as_sql).select("*", *as_columns)
     totals = [
-        reduce(add, [F.col(names[p]) for p in paths]).cast("bigint").alias(node) for node, paths in nodes.items()
+        " + ".join(f"CAST({names[p]} AS BIGINT)" for p in paths) + f" AS {_quoted(node)}"
+        for node, paths in nodes.items()
     ]
-    return counted.select(*df.columns, *totals)
+    return counted.selectExpr(*[_quoted(c) for c in df.columns], *totals)
 
 
-def _leaf(text: Column, regexes: Sequence[tuple[str, bool]]) -> Column:
-    return reduce(add, [match_count(text, regex, case).cast("bigint") for regex, case in regexes])
-
-
-def _batches(items: list, size: int) -> list[list]:
-    return [items[i : i + size] for i in range(0, len(items), size)]
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _dictionary_rows(dictionary, level_cols, regex_col, case_col) -> list[tuple[Path, str, bool]]:

@@ -161,6 +161,10 @@ def test_match_counter_rules(spark):
         "A": [("A", "A", "x"), ("A", "y", "z")], "y": [("A", "y", "z")], "z": [("A", "y", "z")]}
     row = op.match_counter(df, "t", [{"l": "n", "r": "a"}, {"l": "n", "r": "b"}], ["l"], "r").first()
     assert row.n == 3
+    quotes = spark.createDataFrame([("say \"x\" or 'y' \\\\ z",)], "t string")
+    rules = [{"l": "one", "r": "'"}, {"l": "both", "r": "'|\""}, {"l": "slash", "r": r"\\"}, {"l": "word", "r": r"\bz\b"}]
+    row = op.match_counter(quotes, "t", rules, ["l"], "r").first()
+    assert (row.one, row.both, row.slash, row.word) == (2, 4, 2, 1)
     many = [{"l": f"n{i}", "r": f"(?:a|x{i})"} for i in range(250)]
     assert op.match_counter(df, "t", many, ["l"], "r").first().n249 == 2
 
