@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from collections.abc import Iterable
-from functools import lru_cache
 
-import pyspark
+from pyspark.sql import SparkSession
 
 from corpusloom.functions.dates import MONTHS
 from corpusloom.functions.sentences import MARK
+from corpusloom.functions.stopwords import stop_words
 from corpusloom.operators.cleanup import FILTER_LIST, LANGUAGES, PREPROCESS_LANGUAGES
 from corpusloom.plans.queries import DICTIONARY, EPS, GLOSSARY, KEYWORDS, PHRASES
 
-_NAMES = {"de": "german", "en": "english", "fr": "french", "it": "italian", "es": "spanish"}
 _B = r"[ \t\r\n]"
 _W = r"[\p{L}\p{N}_]"
 
 
-@lru_cache(maxsize=None)
 def _stop_words(language: str) -> tuple[str, ...]:
-    """Spark's own lists, read from its jar so that no session is needed."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as archive:
-        text = archive.read(f"org/apache/spark/ml/feature/stopwords/{_NAMES.get(language, language)}.txt")
-    return tuple(sorted({w.lower() for w in text.decode("utf-8").splitlines() if w}))
+    """Spark's own list, asked from the running session; one is started where none runs."""
+    SparkSession.builder.getOrCreate()
+    return stop_words(language)
 
 
 def _q(text: str) -> str:
