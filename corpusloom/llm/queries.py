@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom.llm.neardup import near_duplicates
 from corpusloom.llm.substring import remove_repeats
 
 
@@ -11,11 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    """Components of documents that share 80 % of their 4-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_substring_dedup(spark, sf_dir):
     """Words in windows of 13 that also start in a smaller document, removed."""
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op9_substring_dedup": op9_substring_dedup}
+QUERIES = {
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
