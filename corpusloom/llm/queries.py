@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom.llm import common
+from corpusloom.llm.mixing import count_words, mix_sources
 from corpusloom.llm.neardup import near_duplicates
 from corpusloom.llm.substring import remove_repeats
 
@@ -12,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark, sf_dir):
+    """Words that a mix of all sources takes from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
+    rows, _ = mix_sources(common.stored(docs))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_minhash_near_dedup(spark, sf_dir):
     """Components of documents that share 80 % of their 4-word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -25,7 +34,29 @@ def op9_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_mix_sources": r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+               FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM sized GROUP BY source),
+weighed AS (SELECT *, CAST(number % 3 + 1 AS DOUBLE) AS weight, 3.0 * source_size / (number % 3 + 1) AS ratio FROM sources),
+leveled AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER (ORDER BY ratio, number
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, number
+                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+rest AS (SELECT first(level ORDER BY ratio, number) AS level FROM leveled WHERE ratio > level),
+targets AS (SELECT source, source_size, CAST(least(3.0 * source_size, weight * (SELECT level FROM rest)) AS DOUBLE) AS target
+            FROM weighed),
+quotas AS (SELECT *, least(CAST(floor(target + 1e-6) AS BIGINT), 3 * source_size) AS quota FROM targets),
+laid AS (SELECT s.*, q.source_size, q.target, q.quota,
+                sum(size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || doc_id), doc_id, size
+                                ROWS UNBOUNDED PRECEDING) - size AS start
+         FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE
+       quota // source_size * size + greatest(0, least(start + size, quota % source_size) - start) END AS BIGINT) AS taken
+FROM laid""",
+}
