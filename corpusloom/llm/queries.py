@@ -8,6 +8,7 @@ from corpusloom.llm import common
 from corpusloom.llm.mixing import count_words, mix_sources
 from corpusloom.llm.neardup import near_duplicates
 from corpusloom.llm.substring import remove_repeats
+from corpusloom.llm.suffix import maximal_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,16 @@ def op9_substring_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_suffix_array_dedup(spark, sf_dir):
+    """Maximal repeats of 50 words or more that a smaller document has too."""
+    return maximal_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLE_SQL = {
     "op1_mix_sources": r"""

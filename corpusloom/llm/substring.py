@@ -34,6 +34,7 @@ OPEN, REPEATED, ASK, MARKER = range(4)
 _WINDOWS, _FIRST, _TAG = 12, 34, 14
 _BLOB = "bucket int, anchor array<long>, body array<long>, doc array<long>, place array<long>"
 _MARKS = "doc long, place long"
+_FOUND = "doc long, place long, origin long"
 
 
 def pack(kind, tag, first, windows) -> np.ndarray:
@@ -138,22 +139,24 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"doc": np.append(doc[done], found), "place": np.append(place[done], where)})
 
 
-def _windows(window: int, buckets: int):
+def extensions(window: int, buckets: int):
+    """Windows of the asked places, for comparing; those that the task can settle carry the smaller document."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(seed=17)
         held, rows = [], 0
 
         def flush():
             anchor, doc, place = (np.concatenate(c) for c in zip(*held))
-            anchor, _, doc, place = settle(anchor, np.zeros(len(anchor), np.int64), doc, place, len(anchor))
-            settled = kind_of(place) == REPEATED
-            bucket = np.where(settled, _bucket(doc, buckets), _bucket(anchor, buckets))
-            anchor[settled] = 0
-            zero = np.zeros(0, np.int64)
-            blob = common.bucketed(bucket, anchor=anchor, doc=doc, place=place)
-            body = common.lists(zero, np.zeros(blob.num_rows, np.int64))
-            columns = dict(zip(blob.schema.names, blob.columns)) | {"body": body}
-            return pa.RecordBatch.from_pydict({c: columns[c] for c in ("bucket", "anchor", "body", "doc", "place")})
+            order = np.lexsort((doc, anchor))
+            anchor, doc, place = anchor[order], doc[order], place[order]
+            heads = common.heads_of(anchor)
+            origin = doc[heads][common.run_of(heads, len(doc))]
+            later = doc > origin
+            place = np.where(later, with_kind(place, REPEATED), place)
+            bucket = np.where(later, _bucket(doc, buckets), _bucket(anchor, buckets))
+            anchor[later] = 0
+            return common.bucketed(bucket, anchor=anchor, body=np.where(later, origin, 0), doc=doc, place=place)
 
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -178,19 +181,29 @@ def _windows(window: int, buckets: int):
     return task
 
 
-def _compare_windows(table: pa.Table) -> pa.Table:
-    anchor, doc, place = (common.flat(table.column(c)) for c in ("anchor", "doc", "place"))
+def compare_extensions(table: pa.Table) -> pa.Table:
+    """Windows that a smaller document has too, with that document."""
+    anchor, body, doc, place = (common.flat(table.column(c)) for c in ("anchor", "body", "doc", "place"))
     done = kind_of(place) == REPEATED
-    found, where = [doc[done]], [place[done]]
+    found = [(doc[done], place[done], body[done])]
     anchor, doc, place = anchor[~done], doc[~done], place[~done]
-    if len(anchor):
-        order = np.lexsort((doc, anchor))
-        anchor, doc, place = anchor[order], doc[order], place[order]
-        heads = common.heads_of(anchor)
-        later = doc > doc[heads][common.run_of(heads, len(doc))]
-        found.append(doc[later])
-        where.append(with_kind(place[later], REPEATED))
-    return pa.table({"doc": np.concatenate(found), "place": np.concatenate(where)})
+    order = np.lexsort((doc, anchor))
+    anchor, doc, place = anchor[order], doc[order], place[order]
+    heads = common.heads_of(anchor)
+    origin = doc[heads][common.run_of(heads, len(doc))]
+    later = doc > origin
+    found.append((doc[later], with_kind(place[later], REPEATED), origin[later]))
+    return pa.table(dict(zip(("doc", "place", "origin"), (np.concatenate(c) for c in zip(*found)))))
+
+
+def asked_windows(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, window: int, buckets: int) -> DataFrame:
+    """``(doc, place, origin)`` of the windows of ``asked (doc, place)`` that a smaller document has too."""
+    keyed = keyed_documents(docs, id_col, text_col)
+    chosen = keyed.join(_by_document(asked), ["__doc", "__tag"]).select(
+        F.col("__doc").alias("doc"), F.col("__tag").alias("tag"), F.col(text_col).alias("text"), F.col("__places").alias("places")
+    )
+    blobs = chosen.mapInArrow(extensions(window, buckets), _BLOB)
+    return blobs.groupBy("bucket").applyInArrow(compare_extensions, _FOUND)
 
 
 def _by_document(marks: DataFrame) -> DataFrame:
@@ -206,19 +219,17 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``(__doc, __tag, __places)``: per document the runs of windows that also start in a smaller one."""
     if not 1 <= k <= window < 1 << _WINDOWS:
         raise ValueError("k must not exceed the window, nor the window 4095 words")
-    texts = docs.select(common.doc_key(id_col).alias("doc"), common.row_tag(text_col).alias("tag"), F.col(text_col).alias("text"))
+    texts = keyed_texts(docs, id_col, text_col)
     buckets = SPARE_BUCKETS * common.parts(docs)
     blobs = texts.mapInArrow(_runs(window, k, buckets), _BLOB)
     marks = common.stored(blobs.groupBy("bucket").applyInArrow(_compare, _MARKS))
     kind = F.shiftright("place", _WINDOWS + _FIRST + _TAG)
-    asked = _by_document(marks.where(kind == ASK))
-    keyed = keyed_documents(docs, id_col, text_col)
-    chosen = keyed.join(asked, ["__doc", "__tag"]).select(
-        F.col("__doc").alias("doc"), F.col("__tag").alias("tag"), F.col(text_col).alias("text"), F.col("__places").alias("places")
-    )
-    windows = chosen.mapInArrow(_windows(window, buckets), _BLOB)
-    later = windows.groupBy("bucket").applyInArrow(_compare_windows, _MARKS)
-    return _by_document(marks.where(kind == REPEATED).unionByName(later))
+    later = asked_windows(docs, marks.where(kind == ASK), id_col, text_col, window, buckets)
+    return _by_document(marks.where(kind == REPEATED).unionByName(later.drop("origin")))
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(common.doc_key(id_col).alias("doc"), common.row_tag(text_col).alias("tag"), F.col(text_col).alias("text"))
 
 
 def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

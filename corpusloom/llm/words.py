@@ -166,15 +166,17 @@ class Anchors:
 
     Consecutive windows of a row with the same anchor form one run: ``first`` to ``last`` are its windows'
     places, ``anchor`` is the shingle's hash. Equal windows have equal anchors at equal offsets in any text, so
-    two texts can only share a window where they share an anchor.
+    two texts can only share a window where they share an anchor. With ``reach`` windows are that long, but choose
+    their anchors among their first ``window`` words.
     """
 
-    def __init__(self, hasher: Hasher, hashes: np.ndarray, row: np.ndarray, window: int, k: int):
+    def __init__(self, hasher: Hasher, hashes: np.ndarray, row: np.ndarray, window: int, k: int, reach: int | None = None):
+        reach = reach or window
         self.prefix = hasher.prefix(hashes)
         at = np.arange(max(0, len(hashes) - k + 1))
         grams = hasher.sequences(self.prefix, at, at + k)
-        place = window_argmin(grams, window - k + 1)
-        whole = row[: len(place)] == row[window - 1 : window - 1 + len(place)] if len(place) else np.zeros(0, bool)
+        place = window_argmin(grams, window - k + 1)[: max(0, len(hashes) - reach + 1)]
+        whole = row[: len(place)] == row[reach - 1 : reach - 1 + len(place)] if len(place) else np.zeros(0, bool)
         windows = np.flatnonzero(whole)
         place, owner = place[windows], row[windows]
         new = np.ones(len(windows), bool)
@@ -183,4 +185,5 @@ class Anchors:
         self.first = windows[head]
         self.last = windows[np.append(head[1:], len(windows))[: len(head)] - 1] if len(head) else windows[:0]
         self.row = owner[head]
+        self.place = place[head]
         self.anchor = grams[place[head]]
