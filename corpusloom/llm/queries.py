@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import common
+from corpusloom.llm.chat import InstructTemplate, format_chats, read_back
+from corpusloom.llm.licenses import scan_licenses
 from corpusloom.llm.mixing import count_words, mix_sources
 from corpusloom.llm.neardup import near_duplicates
 from corpusloom.llm.substring import remove_repeats
@@ -22,6 +24,20 @@ def op1_mix_sources(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_format_chats(spark, sf_dir):
+    """Conversations formatted, and what can be read back from the result."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    chats = format_chats(turns.unionByName(extra))
+    return chats.select("conv_id", read_back(F.col("formatted"), F.col("spans")).alias("got")).select("conv_id", "got.*")
+
+
+def op8_license_scan(spark, sf_dir):
+    """Licence notices in documents, with coverage and place."""
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_minhash_near_dedup(spark, sf_dir):
     """Components of documents that share 80 % of their 4-word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,11 +57,25 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op5_format_chats": op5_format_chats,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
+_CONTROLS = "|".join(c.replace("[", r"\[").replace("]", r"\]") for c in InstructTemplate.CONTROLS)
 ORACLE_SQL = {
+    "op5_format_chats": rf"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (SELECT *, length(regexp_replace(text, '(\\|{_CONTROLS})', '\\\1', 'g')) AS body FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(body + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 4
+                            ELSE 19 + length(regexp_replace(role, '(\\|{_CONTROLS})', '\\\1', 'g')) END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id""",
     "op1_mix_sources": r"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
                FROM documents),
