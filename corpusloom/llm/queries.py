@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import common
 from corpusloom.llm.chat import InstructTemplate, format_chats, read_back
+from corpusloom.llm.decontam import benchmark_leaks
 from corpusloom.llm.licenses import scan_licenses
 from corpusloom.llm.mixing import count_words, mix_sources
 from corpusloom.llm.neardup import near_duplicates
@@ -24,6 +25,12 @@ def op1_mix_sources(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontaminate(spark, sf_dir):
+    """Documents that hold benchmark items, verbatim or with other numbers, names and units."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return benchmark_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op5_format_chats(spark, sf_dir):
     """Conversations formatted, and what can be read back from the result."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -57,6 +64,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_decontaminate": op2_decontaminate,
     "op5_format_chats": op5_format_chats,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_license_scan": op8_license_scan,
