@@ -1,13 +1,67 @@
-"""Documents through five stages; each takes (spark, docs, sf_dir)."""
+"""Documents through five stages; each takes (spark, docs, sf_dir) and works on what the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from corpusloom.llm import common
+from corpusloom.llm.decontam import without_leaks
+from corpusloom.llm.mixing import count_words, mix_sources
+from corpusloom.llm.neardup import near_duplicates
+from corpusloom.llm.quality import fit
+from corpusloom.llm.substring import remove_repeats
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are neither of low quality nor toxic."""
+    return fit(docs, _table(spark, sf_dir, "labels")).score(docs).where("keep").select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
+    return near_duplicates(docs).where("kept").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows of 50 words that an earlier document has; texts that are left empty go.
+
+    A text without such repeats stays as it is; of the others the kept words are joined by one space.
+    """
+    cut = remove_repeats(docs, window=50)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    kept = cut.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return without_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes words from, with their size, source_size, target and taken words."""
+    rows, _ = mix_sources(common.stored(docs.withColumn("size", count_words(F.col("text")))))
+    return rows.where("taken > 0")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+]
+#: SQL cannot express the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result is written as Parquet and read again."""
+    docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = common.stored(stage(spark, docs, sf_dir))
     return docs

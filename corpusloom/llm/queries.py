@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import common
+from corpusloom.llm.ann import nearest
 from corpusloom.llm.chat import InstructTemplate, format_chats, read_back
 from corpusloom.llm.decontam import benchmark_leaks
 from corpusloom.llm.licenses import scan_licenses
+from corpusloom.llm.lm import score_texts
 from corpusloom.llm.mixing import count_words, mix_sources
 from corpusloom.llm.neardup import near_duplicates
+from corpusloom.llm.quality import fit
 from corpusloom.llm.substring import remove_repeats
 from corpusloom.llm.suffix import maximal_repeats
 
@@ -31,6 +34,17 @@ def op2_decontaminate(spark, sf_dir):
     return benchmark_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_classifier(spark, sf_dir):
+    """Quality and toxicity of every document, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fit(docs, table(spark, sf_dir, "labels")).score(docs).drop("text")
+
+
+def op4_lm_scores(spark, sf_dir):
+    """Unigram and log-bilinear log10 probabilities of every text."""
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_format_chats(spark, sf_dir):
     """Conversations formatted, and what can be read back from the result."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -40,6 +54,12 @@ def op5_format_chats(spark, sf_dir):
     return chats.select("conv_id", read_back(F.col("formatted"), F.col("spans")).alias("got")).select("conv_id", "got.*")
 
 
+def op7_nearest_neighbours(spark, sf_dir):
+    """Ten nearest neighbours of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_license_scan(spark, sf_dir):
     """Licence notices in documents, with coverage and place."""
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -65,14 +85,25 @@ def op10_suffix_array_dedup(spark, sf_dir):
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_lm_scores": op4_lm_scores,
     "op5_format_chats": op5_format_chats,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 _CONTROLS = "|".join(c.replace("[", r"\[").replace("]", r"\]") for c in InstructTemplate.CONTROLS)
 ORACLE_SQL = {
+    "op7_nearest_neighbours": """
+WITH vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+              WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+         FROM vecs q JOIN vecs c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM near QUALIFY rank <= 10""",
     "op5_format_chats": rf"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
