@@ -328,6 +328,6 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     sample = sample.select("id", F.col("good_bad").alias("bad"), F.col("clean_bad").alias("toxic"))
     chosen = texts.join(F.broadcast(sample), "id").select("text", "bad", "toxic")  # FIT_ROWS narrow rows at most
     learn = lambda batches: _train(batches, lexicon)
-    trained = chosen.coalesce(1).mapInArrow(learn, "weights binary").collect()[0]
-    weights = np.frombuffer(trained["weights"], "<f4").reshape(BUCKETS, 2)
+    trained = chosen.coalesce(1).mapInArrow(learn, "weights binary").collect()  # no row without documents
+    weights = np.frombuffer(trained[0]["weights"], "<f4").reshape(BUCKETS, 2) if trained else np.zeros((BUCKETS, 2), np.float32)
     return QualityModel(lexicon, weights, speech)

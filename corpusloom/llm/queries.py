@@ -100,7 +100,8 @@ ORACLE_SQL = {
 WITH vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
               WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-near AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+near AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v),
+                lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda a, b: a + b)) AS score
          FROM vecs q JOIN vecs c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM near QUALIFY rank <= 10""",
