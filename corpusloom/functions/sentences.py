@@ -29,11 +29,18 @@ def _boundary(hit: str = "") -> str:
     blanks = rf"{BLANKS}(?:{h}{BLANKS})*"
     not_ellipsis = rf"(?<!\.{h}\.{h})"
     not_initial = rf"(?!(?<={starts_token}\p{{L}}{h}\.{h}){blanks}{h}\p{{L}})"
-    not_ordinal = rf"(?!(?<={starts_token}[0-9,{hit}]{{1,15}}\.{h}){blanks}{h}\p{{Ll}})"
-    return rf"""([.!?](?:{h}["')\]}}])*{h}){not_ellipsis}{not_initial}{not_ordinal}({blanks})"""
+    return rf"""([.!?](?:{h}["')\]}}])*{h}){not_ellipsis}{not_initial}({blanks})"""
 
 
-BOUNDARY = _boundary()
+def _ordinal(hit: str = "") -> str:
+    """A cut after a number before a lower-case letter, taken back once the cuts are marked.
+
+    The number is read forwards from the start of its token, so it may have any length.
+    """
+    h = f"{hit}?" if hit else ""
+    starts_token = rf"(?<![^ \t\r\n{MARK}{hit}])" + (rf"(?<![^ \t\r\n{MARK}]{hit})" if hit else "")
+    blanks = rf"{BLANKS}(?:{h}{BLANKS})*"
+    return rf"({starts_token}[0-9,{hit}]+\.{h}){MARK}({blanks}){MARK}(?={h}\p{{Ll}})"
 
 
 def without_marks(text: Column) -> Column:
@@ -43,9 +50,10 @@ def without_marks(text: Column) -> Column:
     return text
 
 
-def _pieces(text: Column, boundary: str = BOUNDARY) -> Column:
+def _pieces(text: Column, hit: str = "") -> Column:
     """Alternating sentences and the blanks between them; joined they give the text back."""
-    return F.split(F.regexp_replace(text, boundary, f"$1{MARK}$2{MARK}"), MARK)
+    marked = F.regexp_replace(text, _boundary(hit), f"$1{MARK}$2{MARK}")
+    return F.split(F.regexp_replace(marked, _ordinal(hit), "$1$2"), MARK)
 
 
 def _trim_last(piece: Column) -> Column:
@@ -95,4 +103,4 @@ def sentence_of_matches(text: Column, java_regex: str, last: Column) -> Column:
         count = F.when(F.contains(piece, F.lit(HIT)), F.size(F.split(piece, HIT)) - 1).otherwise(0)
         return F.array_repeat(F.least(F.floor(i / 2).cast("int"), last), count)
 
-    return F.flatten(F.transform(_pieces(marked, _boundary(HIT)), hits))
+    return F.flatten(F.transform(_pieces(marked, HIT), hits))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions.sentences import sentences
 from corpusloom.functions.text import WORD_CLASS, let, tokens
 
+# Label names that sentiment models give.
 NEGATIVE_LABELS = ("LABEL_0", "NEGATIVE")
 NEUTRAL_LABELS = ("LABEL_1", "NEUTRAL")
 SCORES = "array<struct<label:string,score:double>>"

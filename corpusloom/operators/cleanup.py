@@ -13,7 +13,8 @@ from corpusloom.operators.aggregate import group_count
 
 DEFAULT_LANGUAGE = "de"
 LANGUAGES = ("de", "en", "fr", "it", "es")
-# Languages with a stop-word list in the preprocessing step, and words always dropped there.
+# Languages with a stop-word list in the preprocessing step, words always dropped there, and the parts of
+# speech that an annotated text keeps.
 PREPROCESS_LANGUAGES = ("en", "de", "fr", "it")
 FILTER_LIST = ("ftp", "http", "mailto", "www", "schweiz", "-")
 KEEP_POS = ("NOUN", "PROPN")

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.relational import with_row_id
@@ -40,13 +41,18 @@ def density_cluster(
 ) -> DataFrame:
     """Add ``hdbscan`` (0.. by smallest ``id_col``, -1 for noise) and optionally ``hdbscan_p``.
 
-    ``hdbscan_p`` is the smallest core distance in the cluster over the row's own, 0 for noise.
+    ``hdbscan_p`` is the smallest core distance in the cluster over the row's own, 0 for noise. Ids that are no
+    integers are numbered in their order first. Runs its jobs when called, as the components need rounds.
     """
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        numbers = with_row_id(df.select(F.col(id_col).alias("__key")).where("__key IS NOT NULL").distinct(), "__key", "__number")
+        numbered = df.join(numbers, F.col(id_col) == F.col("__key"), "left").drop("__key")
+        return density_cluster(numbered, vec, eps, "__number", min_cluster_size, min_samples, include_p, out).drop("__number")
     vector = F.col(vec).cast("array<double>")
     # Equal vectors become one weighted point, so a mass of copies is neither compared nor stored.
     points = durable(
         df.where(F.col(vec).isNotNull())
-        .select(F.col(id_col).alias("id"), vector.alias("vec"))
+        .select(F.col(id_col).cast("bigint").alias("id"), vector.alias("vec"))
         .groupBy("vec")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     )
@@ -119,8 +125,9 @@ def _pivots(points: DataFrame) -> np.ndarray:
 
 def _block_join(points: DataFrame, pivots: np.ndarray, eps: float, task, schema: str) -> DataFrame:
     """Run ``task`` on every pair of blocks whose rows may lie within ``eps`` of each other."""
-    placed = points.mapInArrow(
-        _place(pivots, eps), "id bigint, vec array<double>, copies bigint, home int, halo array<int>"
+    # Written once: it is read three times below.
+    placed = durable(
+        points.mapInArrow(_place(pivots, eps), "id bigint, vec array<double>, copies bigint, home int, halo array<int>")
     )
     homes = placed.select(F.col("home").alias("cell"), "id", "vec", "copies", F.lit(True).alias("own"))
     halos = placed.select(F.explode("halo").alias("cell"), "id", "vec", "copies", F.lit(False).alias("own"))

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions.patterns import java_regex, match_count, sql_literal, validate
 
-MAX_PATTERNS = 10_000
-
 Path = tuple[str, ...]
 
 
@@ -65,12 +63,10 @@ def _quoted(name: str) -> str:
 def _dictionary_rows(dictionary, level_cols, regex_col, case_col) -> list[tuple[Path, str, bool]]:
     needed = [*level_cols, regex_col, *([case_col] if case_col else [])]
     if isinstance(dictionary, DataFrame):
-        # The dictionary becomes part of the plan, so its size is checked before it is fetched.
-        records = [r.asDict() for r in dictionary.select(*needed).limit(MAX_PATTERNS + 1).collect()]
+        # The dictionary becomes part of the plan, as the columns it asks for do.
+        records = [r.asDict() for r in dictionary.select(*needed).collect()]
     else:
         records = list(dictionary)
-    if len(records) > MAX_PATTERNS:
-        raise ValueError(f"a dictionary may hold at most {MAX_PATTERNS} patterns")
     if any(r.get(c) is None for r in records for c in needed):
         raise ValueError("no undefined values allowed in the dictionary")
     validate([r[regex_col] for r in records])

@@ -69,7 +69,7 @@ def join_views(
     """
     keys, right_keys = list(left_cols), list(right_cols if right_cols is not None else left_cols)
     if len(keys) != len(right_keys):
-        raise ValueError("the left and right column number must match")
+        raise ValueError("each left key needs one right key")
     if how not in JOIN_TYPES:
         raise ValueError(f"join type must be one of {JOIN_TYPES}")
     renamed = dict(zip(right_keys, keys))
@@ -142,7 +142,7 @@ def append_column(
     """Copy a column of ``source`` into ``target``, by key ``on`` or, without one, by row position.
 
     Both tables must hold the same rows: a key or position found on one side only raises while the
-    result is computed, as does a key found twice.
+    result is computed, as does a key found twice in either table.
     """
     name = new_name or col
     if name in target.columns and not overwrite:
@@ -154,7 +154,9 @@ def append_column(
         key = _ROW
     else:
         key = on
-        values = source.groupBy(on).agg(F.first(col).alias("__value"), F.count(F.lit(1)).alias("__copies"))
+        values = source.groupBy(on).agg(F.first(col).alias("__value"), F.count(F.lit(1)).alias("__here"))
+        there = base.groupBy(on).agg(F.count(F.lit(1)).alias("__there"))
+        values = values.join(there, on, "left").withColumn("__copies", F.greatest("__here", "__there")).drop("__here", "__there")
         rows = base
     matched = rows.withColumn("__in_target", F.lit(True)).join(
         values.withColumn("__in_source", F.lit(True)), key, "full_outer"
@@ -163,7 +165,7 @@ def append_column(
     if on is not None:
         complete = complete & (F.col("__copies") == 1)
     value = F.when(complete, F.col("__value")).otherwise(
-        F.raise_error(F.lit("table length must be equal")).cast(source.schema[col].dataType)
+        F.raise_error(F.lit("a row has no partner, or more than one, in the other table")).cast(source.schema[col].dataType)
     )
     columns = [c for c in base.columns if c != name]
     return matched.select(*columns, value.alias(name))

@@ -92,7 +92,7 @@ class Workspace:
         result = self._save(count(self.load(view), names(cols)), new_view)
         if show:
             keys = ["cols"] if horizontal else names(cols)
-            result.orderBy(*keys).show(100, truncate=False)
+            result.orderBy(*keys).show(max(1, result.count()), truncate=False)
         return result
 
     def group_by_condense(

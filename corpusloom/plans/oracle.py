@@ -81,7 +81,7 @@ def _marked(text: str) -> str:
     ends = f"""regexp_replace({text}, '([.!?]["'')\\]}}]*)({_B}+)', '\\1{m}\\2{m}', 'g')"""
     ends = f"regexp_replace({ends}, '(\\.\\.){m}({_B}+){m}', '\\1\\2', 'g')"
     initial = f"((?:^|[ \\t\\r\\n{m}])\\p{{L}}\\.){m}({_B}+){m}(\\p{{L}})"
-    ordinal = f"((?:^|[ \\t\\r\\n{m}])[0-9,]{{1,15}}\\.){m}({_B}+){m}(\\p{{Ll}})"
+    ordinal = f"((?:^|[ \\t\\r\\n{m}])[0-9,]+\\.){m}({_B}+){m}(\\p{{Ll}})"
     for pattern in (initial, initial, ordinal, ordinal):  # neighbours share a letter: one pass sees every other
         ends = f"regexp_replace({ends}, '{pattern}', '\\1\\2\\3', 'g')"
     return ends
@@ -309,10 +309,24 @@ def oracle_sql() -> dict[str, str]:
         "language_stats": f"WITH {_detected()} SELECT language_id, count(*) AS count FROM detected GROUP BY language_id",
         "standardize_dates": _dates(),
         "preprocess_text": f"SELECT doc_id, {_preprocessed('lang')} AS text_preprocessed FROM documents",
-        "standard_cleanup": f"""WITH {_detected()} SELECT doc_id, '2021-05-03 14:30:00' AS date_standardized, language_id,
-            {_preprocessed('language_id')} AS text_preprocessed FROM detected""",
+        "standard_cleanup": f"""WITH {_detected()}, dated AS ({_dates()})
+            SELECT doc_id, coalesce(date_standardized, 'n.a.') AS date_standardized, language_id,
+            {_preprocessed('language_id')} AS text_preprocessed FROM detected LEFT JOIN dated ON o_orderkey = doc_id""",
         "sentiment_lexicon": _SENTIMENT,
         "map_text_where": _translated(),
+        "sentiment_model": f"""WITH {_SENTENCES},
+            flat AS (SELECT doc_id, unnest(s) AS sentence FROM sents),
+            said AS (SELECT doc_id, CASE WHEN contains(sentence, '?') THEN 0.0
+                            ELSE (length(sentence) % 7 + 1) / 10.0 * (length(sentence) % 3 - 1) END AS score,
+                            NOT contains(sentence, '?') AND length(sentence) % 3 = 1 AS neutral FROM flat),
+            scored AS (SELECT doc_id, avg(CAST(score AS DOUBLE)) FILTER (NOT neutral) AS score FROM said GROUP BY doc_id)
+            SELECT doc_id, round(coalesce(score, 0), 6) AS sentiment_score FROM documents LEFT JOIN scored USING (doc_id)""",
+        "map_text_model": """SELECT doc_id, lang, CASE WHEN lang = 'fr' AND NOT contains(text, '|')
+            THEN length(text) || ':' || substring(text, 1, 7) ELSE text END AS translated FROM documents""",
+        "encode_model": """SELECT doc_id, unnest([0, 1, 2])::BIGINT AS dimension,
+            unnest([length(text), length(text) - length(replace(text, 'e', '')), 0.5])::DOUBLE AS value FROM documents""",
+        "encode_hash_norm": f"""SELECT doc_id, CASE WHEN len({_tokens('text', 1)}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+            FROM documents""",
         "vector_json_roundtrip": """SELECT vec_id, unnest(range(0, len(embedding))) AS dimension,
             round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings""",
         "combine_features": """SELECT vec_id, unnest(range(0, len(f))) AS dimension, round(unnest(f), 6) AS value

@@ -266,7 +266,8 @@ def preprocess_text(spark, sf_dir):
 
 
 def standard_cleanup(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "text", F.lit("3. Mai 2021, 14:30 Uhr").alias("date"))
+    dates = _date_strings(spark, sf_dir).withColumnRenamed("o_orderkey", "doc_id")
+    docs = documents(spark, sf_dir).select("doc_id", "text").join(dates, "doc_id", "left")
     return op.standard_cleanup(docs).select("doc_id", "date_standardized", "language_id", "text_preprocessed")
 
 
@@ -283,6 +284,52 @@ def map_text_where(spark, sf_dir):
     return op.map_text_where(docs, "text", op.glossary(GLOSSARY), F.col("lang") == "de", "translated").drop("text")
 
 
+def sentiment_model(spark, sf_dir):
+    """A user model that tells sentences apart by their length and fails on batches with a question."""
+
+    def load():
+        def predict(sentences):
+            if any("?" in s for s in sentences):
+                raise ValueError("no questions")
+            return [(("NEGATIVE", "NEUTRAL", "POSITIVE")[len(s) % 3], (len(s) % 7 + 1) / 10) for s in sentences]
+
+        return predict
+
+    scored = op.sentiment(documents(spark, sf_dir), "text", op.model_scorer(load))
+    return _rounded(scored.select("doc_id", "sentiment_score"), "sentiment_score")
+
+
+def map_text_model(spark, sf_dir):
+    """A user model for French texts that fails on tables."""
+
+    def load():
+        def convert(text):
+            if "|" in text:
+                raise ValueError("a table")
+            return f"{len(text)}:{text[:7]}"
+
+        return convert
+
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    return op.map_text_where(docs, "text", op.text_model(load), F.col("lang") == "fr", "translated").drop("text")
+
+
+def encode_model(spark, sf_dir):
+    """A user model that encodes a text by its length and a letter's count."""
+
+    def load():
+        return lambda texts: [(len(t), t.count("e"), 0.5) for t in texts]
+
+    encoded = op.encode_text(documents(spark, sf_dir), "text", op.model_encoder(load)).select("doc_id", "sbert")
+    return encoded.select("doc_id", F.posexplode("sbert").alias("dimension", "value")).withColumn("dimension", F.col("dimension").cast("bigint"))
+
+
+def encode_hash_norm(spark, sf_dir):
+    """Every hashed vector has length one, but for texts without a token."""
+    square = F.aggregate("sbert", F.lit(0.0), lambda a, x: a + x * x)
+    return encode_hash(spark, sf_dir).select("doc_id", F.round(square, 6).alias("norm"))
+
+
 def encode_hash(spark, sf_dir):
     return op.encode_text(documents(spark, sf_dir), "text").select("doc_id", "sbert")
 
@@ -435,6 +482,10 @@ QUERIES: dict[str, Query] = {
     "sentiment_lexicon": sentiment_lexicon,
     "map_text_where": map_text_where,
     "encode_hash": encode_hash,
+    "encode_hash_norm": encode_hash_norm,
+    "encode_model": encode_model,
+    "sentiment_model": sentiment_model,
+    "map_text_model": map_text_model,
     "vector_json_roundtrip": vector_json_roundtrip,
     "combine_features": combine_features_emb,
     "validate_collection": validate_collection,

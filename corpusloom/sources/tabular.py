@@ -10,7 +10,6 @@ from corpusloom.functions.patterns import validate
 from corpusloom.functions.text import text_or_empty
 
 _BOM = "﻿"
-MAX_KEYWORD_FILE = 16 * 1024 * 1024
 
 
 def read_corpus_tsv(spark: SparkSession, path: str, rename: Mapping[str, str] | None = None) -> DataFrame:
@@ -26,11 +25,8 @@ def import_corpus_tsv(spark: SparkSession, path: str, target: str, rename: Mappi
 
 
 def load_keywords(spark: SparkSession, path: str) -> list[str]:
-    """One regex per line, stripped. The list becomes part of a plan, so the file size is checked."""
+    """One regex per line, stripped. The list becomes part of a plan."""
     files = spark.read.format("binaryFile").load(path)
-    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    if total > MAX_KEYWORD_FILE:
-        raise ValueError(f"keyword file larger than {MAX_KEYWORD_FILE} bytes")
     texts = [bytes(r.content).decode("utf-8") for r in files.orderBy("path").select("content").collect()]
     keywords = [line.strip() for text in texts for line in text.removeprefix(_BOM).splitlines()]
     validate(keywords)

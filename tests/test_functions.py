@@ -38,7 +38,7 @@ def python_sentences(text):
             continue
         if re.fullmatch(r"[^\W\d_]\.", word) and after.isalpha():
             continue
-        if re.fullmatch(r"[0-9,]{1,15}\.", word) and after.islower():
+        if re.fullmatch(r"[0-9,]+\.", word) and after.islower():
             continue
         cuts.append(end)
     spans, begin = [], 0
@@ -91,18 +91,18 @@ def test_normalize_whitespace(spark):
 
 
 def test_combine_text(spark):
-    df = spark.createDataFrame([("Hello1", "World1", "!1", None)], "A string, B string, C string, D int")
+    df = spark.createDataFrame([("red", "kite", "9 m", None)], "A string, B string, C string, D int")
     row = df.select(
         combine_text(["A", "B", "C"]).alias("x"),
         combine_text(["A", "B", "C"], ". ").alias("y"),
         combine_text(["A", "D"], " ").alias("n"),
         combine_text(["A", "D"], " ", skip_nulls=True).alias("s"),
     ).first()
-    assert tuple(row) == ("Hello1World1!1", "Hello1. World1. !1", "Hello1 None", "Hello1")
+    assert tuple(row) == ("redkite9 m", "red. kite. 9 m", "red None", "red")
 
 
 def test_patterns(spark):
-    with pytest.raises(ValueError, match="failed at regex"):
+    with pytest.raises(ValueError, match="not a regular expression"):
         P.validate(["ok", "("])
     df = spark.createDataFrame([("für FÜR füße abc",)], "t string")
     count = lambda p, case=False: df.select(P.match_count(F.col("t"), p, case).alias("n")).first().n

@@ -166,10 +166,10 @@ def test_query_sets(labelled):
     assert per_class.groupby("class").size().to_dict() == {"blue": 3, "green": 3, "red": 3}
 
 
-def test_nearest_per_column_golden(spark):
-    df = spark.createDataFrame([(0, 1, 4, 8), (1, 2, 5, 9), (2, 13, 3, 6)], "id long, a int, b int, c int")
-    got = {r["class"]: r.id for r in op.nearest_per_column(df, ["a", "b", "c"], 5, 1, "id").collect()}
-    assert got == {"a": 1, "b": 1, "c": 2}
+def test_nearest_per_column(spark):
+    df = spark.createDataFrame([(0, 20, 7, 31), (1, 44, 12, 27), (2, 9, 90, 60)], "id long, a int, b int, c int")
+    got = {r["class"]: r.id for r in op.nearest_per_column(df, ["a", "b", "c"], 28, 1, "id").collect()}
+    assert got == {"a": 0, "b": 1, "c": 1}
 
 
 def test_binarize(spark):
