@@ -10,8 +10,9 @@ without losing a pair.
 
 Documents with equal sets are one node from the start. In every bucket of a key the members are first compared
 with one leader, which settles groups of copies in linear work; members of buckets that still hold several
-components are then compared with each other, in blocks, inside tasks. Candidates within the distance are
-confirmed on the full sets.
+components are then compared with each other, by bands of similar size and in blocks, inside tasks. A candidate goes
+on if a sketch of ``BINS`` bins, each with the smallest shingle hash that falls into it, allows the similarity within
+``SURE`` standard deviations, and is then confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from corpusloom.operators.components import connected_components
 
 SLOTS, CHUNK, ERRORS, DISTANCE = 64, 2, 1, 30
 BLOCK = 512
+BINS, SURE = 1024, 5.3
 
 
 def shared_keys() -> int:
@@ -83,6 +85,16 @@ def minima(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def bins(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One row of BINS bytes per set: of each bin's smallest shingle a byte that is not 0; 0 for an empty bin."""
+    out = np.zeros((len(sizes), BINS), np.uint8)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bin_ = (shingles // np.uint64((1 << 64) // BINS)).astype(np.int64)  # shingles are sorted, so bins are, too
+    heads = common.heads_of(row, bin_)
+    out[row[heads], bin_[heads]] = mix(shingles[heads]) % np.uint64(255) + np.uint64(1)
+    return out
+
+
 def keys_of(symbols: np.ndarray) -> np.ndarray:
     """All keys of each signature."""
     out = []
@@ -112,28 +124,41 @@ def _sketch(k: int):
                 keys = keys_of(symbols)
                 full = np.zeros((words.rows, keys.shape[1]), np.uint64)
                 full[sizes > 0] = keys
-                signs = np.zeros((words.rows, SLOTS), np.uint8)
-                signs[sizes > 0] = mix(symbols).astype(np.uint8)
+                signs = bins(shingles, sizes)
                 yield pa.RecordBatch.from_pydict({
                     "doc": piece.column("doc"),
                     "size": pa.array(sizes),
                     "set_a": pa.array((sums[ends] - sums[ends - sizes]).view(np.int64)),
                     "set_b": pa.array((other[ends] - other[ends - sizes]).view(np.int64)),
                     "keys": common.lists(full.reshape(-1), np.arange(words.rows) * keys.shape[1]),
-                    "signature": pa.array([s.tobytes() for s in signs], pa.binary()),
+                    "signature": pa.array([x.tobytes() for x in signs], pa.binary()),
                 })
 
     return task
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        near = (_matrix(batch.column("sign_a")) != _matrix(batch.column("sign_b"))).sum(1) <= DISTANCE
-        yield batch.select(["a", "b"]).filter(pa.array(near))
+def _allows(one: np.ndarray, others: np.ndarray, size: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches leave the similarity possible; the more of the sets they hold, the less they err."""
+    either = np.count_nonzero(one | others, axis=1)
+    both = np.count_nonzero((one == others) & (one > 0), axis=1)
+    share = percent / 100
+    union = np.maximum((size + sizes) / (1 + share), either)
+    spread = SURE * np.sqrt(share * (1 - share) * either * (1 - either / np.maximum(union, 1)) + 0.1)
+    return both + spread >= share * either
+
+
+def _near(percent: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_matrix(batch.column(f"sign_{s}")) for s in "ab")
+            n, m = (batch.column(f"size_{s}").to_numpy() for s in "ab")
+            yield batch.select(["a", "b"]).filter(pa.array(_allows(a, b, n, m, percent)))
+
+    return task
 
 
 def _confirm(k: int, percent: int):
@@ -158,31 +183,38 @@ def _confirm(k: int, percent: int):
 
 
 def _within(percent: int):
-    """Pairs of one block pair that lie in different components, have close sizes and near signatures."""
+    """Pairs of one block pair that lie in different components and whose sizes and sketches allow a link.
+
+    A pair that meets in several cells is given out in the first band and key that both have.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
         column = lambda c: table.column(c).to_numpy()
-        key, low, high, block = (column(c) for c in ("key", "low", "high", "block"))
-        order = np.lexsort((block, high, low, key))
-        key, low, high, block = key[order], low[order], high[order], block[order]
-        doc, size, component = (column(c)[order] for c in ("doc", "size", "component"))
-        signs = _matrix(table.column("signature").combine_chunks())[order]
-        heads = np.append(common.heads_of(key, low, high), len(key))
-        left, right = [], []
+        key, band, low, high, block = (column(c) for c in ("key", "band", "low", "high", "block"))
+        order = np.lexsort((block, high, low, band, key))
+        key, band, low, high, block = (c[order] for c in (key, band, low, high, block))
+        doc, size, component, base = (column(c)[order] for c in ("doc", "size", "component", "base"))
+        chosen = pa.array(order)
+        signs = _matrix(table.column("signature").combine_chunks().take(chosen))
+        kept = table.column("kept").combine_chunks().take(chosen)
+        bounds = np.append(0, np.cumsum(kept.value_lengths().to_numpy()))
+        own = common.flat(kept)
+        heads = np.append(common.heads_of(key, band, low, high), len(key))
+        pairs = []
         for a, b in zip(heads[:-1], heads[1:]):
-            first = a + int(np.searchsorted(block[a:b], low[a], "right"))
-            rows, others = (slice(a, b), slice(a, b)) if low[a] == high[a] else (slice(a, first), slice(first, b))
-            small = np.minimum(size[rows, None], size[None, others])
-            large = np.maximum(size[rows, None], size[None, others])
-            open_ = (component[rows, None] != component[None, others]) & (100 * small >= percent * large)
-            if low[a] == high[a]:
-                open_ &= doc[rows, None] < doc[None, others]
-            i, j = np.nonzero(open_)
-            near = (signs[rows][i] != signs[others][j]).sum(1) <= DISTANCE
-            x, y = doc[rows][i[near]], doc[others][j[near]]
-            left.append(np.minimum(x, y))
-            right.append(np.maximum(x, y))
-        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+            same = low[a] == high[a]
+            first = b if same else a + int(np.searchsorted(block[a:b], low[a], "right"))
+            for i in range(a, first):
+                others = np.arange(i + 1 if same else first, b)
+                small, large = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
+                open_ = (component[i] != component[others]) & (doc[i] != doc[others]) & (100 * small >= percent * large)
+                others = others[open_ & (np.maximum(base[i], base[others]) == band[a])]
+                others = others[_allows(signs[i], signs[others], size[i], size[others], percent)] if len(others) else others
+                for j in others:
+                    meet = np.intersect1d(own[bounds[i] : bounds[i + 1]], own[bounds[j] : bounds[j + 1]])
+                    if len(meet) and meet[0] == key[a]:
+                        pairs.append((doc[i], doc[j]) if doc[i] < doc[j] else (doc[j], doc[i]))
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return compare
 
@@ -225,24 +257,28 @@ def near_duplicates(
 
     close = F.least("size", "leader_size") * 100 >= F.greatest("size", "leader_size") * percent
     led = members.where((F.col("doc") != F.col("leader")) & close).select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
-    signs = {s: narrow.select(F.col("doc").alias(s), F.col("signature").alias(f"sign_{s}")) for s in "ab"}
-    near = common.stored(led.join(signs["a"], "a").join(signs["b"], "b").mapInArrow(_near, "a long, b long"))
+    signs = {s: narrow.select(F.col("doc").alias(s), F.col("signature").alias(f"sign_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab"}
+    near = common.stored(led.join(signs["a"], "a").join(signs["b"], "b").mapInArrow(_near(percent), "a long, b long"))
     links = confirmed(near)
     found = connected_components(links)
 
     placed = members.where("docs > 2").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
         "key", "doc", "size", F.coalesce("component", "doc").alias("component")
     )
-    open_keys = placed.groupBy("key").agg(
+    # Linked sets differ in size by percent at most, so they are in one band of sizes or in neighbouring ones.
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) * 1.001)).cast("int") if percent < 100 else F.hash("size")
+    placed = placed.withColumn("base", band).withColumn("band", F.explode(F.array("base", F.col("base") + 1)))
+    kept_keys = members.where("docs > 2").groupBy("doc").agg(F.collect_set("key").alias("kept"))
+    open_cells = placed.groupBy("key", "band").agg(
         F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most")
-    ).where("least < most").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    ).where("least < most").select("key", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     cells = (
-        placed.join(open_keys, "key").join(narrow.select("doc", "signature"), "doc")
+        placed.join(open_cells, ["key", "band"]).join(narrow.select("doc", "signature").join(kept_keys, "doc"), "doc")
         .withColumn("block", F.pmod(F.hash("doc"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "doc", "size", "component", "signature", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .select("key", "band", "base", "doc", "size", "component", "signature", "kept", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
-    spread = cells.withColumn("bucket", F.pmod(F.hash("key", "low", "high"), F.lit(4 * common.parts(docs))))
+    spread = cells.withColumn("bucket", F.pmod(F.hash("key", "band", "low", "high"), F.lit(4 * common.parts(docs))))
     rest = common.stored(spread.groupBy("bucket").applyInArrow(_within(percent), "a long, b long").distinct())
     links = links.unionByName(confirmed(rest))
     components = connected_components(links).withColumnRenamed("node", "rep")
