@@ -4,8 +4,8 @@ A template is an object whose ``render(turns)`` gives one string for a list of (
 a conversation are rendered and consecutive outputs compared: what is new is the turn's span, and an output that
 does not start with the one before shows a template that rewrites history. Within a span the text is located by two
 probe texts of one character: where their outputs differ, the text begins, and what follows it has the same length
-for every text. A conversation of n turns costs renderings of 1 to n turns, so it stays in one task; different
-conversations are independent.
+for every text. Comparing starts where the output before ended, so only new text is looked at. A conversation of n
+turns costs renderings of 1 to n turns, so it stays in one task; different conversations are independent.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ class InstructTemplate:
     """
 
     CONTROLS = ("<s>", "</s>", "[SYS]", "[/SYS]", "[INST]", "[/INST]", "[ROLE]", "[SAYS]", "[/ROLE]")
+    HELD = 1 << 24
 
     def __init__(self):
         marks = "|".join(re.escape(c) for c in self.CONTROLS)
         self._special = re.compile(rf"\\|{marks}")
         self._escaped = re.compile(r"\\(.)", re.DOTALL)
         self._token = re.compile(rf"\\.|{marks}", re.DOTALL)
+        self._turns, self._held = {}, 0
 
     def escape(self, text: str) -> str:
         return self._special.sub(lambda m: "\\" + m[0], text)
@@ -51,7 +53,17 @@ class InstructTemplate:
         return f"[ROLE]{self.escape(role)}[SAYS]{body}[/ROLE]"
 
     def render(self, turns: list[tuple[str, str]]) -> str:
-        return "<s>" + "".join(self._turn(*t) for t in turns)
+        """Turns are rendered once and kept for the next prefix; the store starts anew beyond ``HELD`` characters."""
+        parts = []
+        for turn in turns:
+            part = self._turns.get(turn)
+            if part is None:
+                if self._held > self.HELD:
+                    self._turns, self._held = {}, 0
+                part = self._turns[turn] = self._turn(*turn)
+                self._held += len(part)
+            parts.append(part)
+        return "<s>" + "".join(parts)
 
     def read(self, formatted: str) -> list[tuple[str, str]]:
         ends = {"[/SYS]": "system", "[/INST]": "user", "</s>": "assistant"}
@@ -67,6 +79,12 @@ class InstructTemplate:
         return turns
 
 
+def _parting(a: str, b: str, start: int) -> int:
+    """First place from ``start`` on where the strings differ, or the end of the shorter one."""
+    end = min(len(a), len(b))
+    return next((j for j in range(start, end) if a[j] != b[j]), end)
+
+
 def locate(template, turns: list[tuple[str, str]]) -> tuple[str, list[tuple], bool]:
     """The whole rendering, per turn (role, start, end, text_start, text_end), and whether history was rewritten.
 
@@ -78,9 +96,9 @@ def locate(template, turns: list[tuple[str, str]]) -> tuple[str, list[tuple], bo
         start = len(before)
         if not now.startswith(before):
             rewritten = True
-            start = next((j for j, (a, b) in enumerate(zip(now, before)) if a != b), min(len(now), len(before)))
+            start = _parting(now, before, 0)
         a, b = (template.render([*turns[:i], (role, p)]) for p in PROBES)
-        at = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        at = _parting(a, b, len(before) if a.startswith(before) and b.startswith(before) else 0)
         tail = max(0, len(a) - at - 1)
         spans.append((role, start, len(now), at, max(at, len(now) - tail)))
         before = now
