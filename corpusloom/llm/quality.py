@@ -282,7 +282,7 @@ def _lexicon(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     several = counts.where("word <> 0 AND docs > 1").count()
     share = F.col("toxic") / F.col("docs")
     gain = F.col("toxic") * F.log(share / rate)
-    known = counts.where("word <> 0").where((share >= 0.97) & (gain >= float(np.log(max(several, 1)) + 2))).orderBy(F.desc(gain), "word")
+    known = counts.where("word <> 0").where((share >= 0.97) & (gain >= float(np.log(max(several, 1)) + 1))).orderBy(F.desc(gain), "word")
     return np.sort(np.array([r["word"] for r in known.select("word").limit(4096).collect()], np.int64).view(np.uint64))
 
 
