@@ -21,6 +21,27 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bitmap(values: DataFrame, bits: int = 1 << 22) -> np.ndarray:
+    """One bit for each long of the only column of ``values``, by its remainder; the size is fixed by ``bits``.
+
+    A lookup may find values that are not there, but misses none, so it can go before an exact join.
+    """
+    (name,) = values.columns
+    bit = F.expr(f"CAST(((`{name}` % {bits}) + {bits}) % {bits} AS LONG)")  # bits divides 2**64, so signs do not matter
+    words = values.where(F.col(name).isNotNull()).select(bit.alias("bit")).distinct().groupBy(F.expr("CAST(bit DIV 64 AS INT)").alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("mask")
+    )
+    out = np.zeros(bits // 64, np.uint64)
+    for row in words.collect():  # at most bits / 64 rows
+        out[row["at"]] = np.int64(row["mask"]).view(np.uint64)
+    return out
+
+
+def may_hold(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bit = values.view(np.uint64) % np.uint64(64 * len(bitmap))
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -92,8 +92,7 @@ def _template_windows(lengths: list[int] | None, bitmap: np.ndarray | None):
                     at = at[2 * (held[at + size] - held[at]) <= size]  # half the window is literal at least
                     h = hasher.sequences(prefix, at, at + size)
                     if bitmap is not None:
-                        bit = h % np.uint64(BITS)
-                        passed = (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                        passed = common.may_hold(bitmap, h)
                         at, h = at[passed], h[passed]
                     if not len(at):
                         continue
@@ -143,13 +142,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     items = benchmark.select(F.col(item_col).cast("long").alias("doc"), F.lit(0).cast("long").alias("tag"), F.col(item_text).alias("text"))
     index = common.stored(items.where("doc IS NOT NULL").mapInArrow(_template_windows(None, None), _WINDOWS))
     lengths = sorted(r["size"] for r in index.select("size").distinct().collect())
-    bit = F.expr(f"CAST(((h % {BITS}) + {BITS}) % {BITS} AS LONG)")  # BITS divides 2**64, so signs do not matter
-    words = index.select(bit.alias("bit")).distinct().groupBy(F.expr("CAST(bit DIV 64 AS INT)").alias("at")).agg(
-        F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("mask")
-    )
-    bitmap = np.zeros(BITS // 64, np.uint64)
-    for row in words.collect():  # at most BITS / 64 rows, whatever the benchmark's size
-        bitmap[row["at"]] = np.int64(row["mask"]).view(np.uint64)
+    bitmap = common.bitmap(index.select("h"), BITS)  # of a fixed size, whatever the benchmark's
     texts = docs.select(common.doc_key(id_col).alias("doc"), common.row_tag(text_col).alias("tag"), F.col(text_col).alias("text"))
     windows = texts.mapInArrow(_template_windows(lengths or [WINDOW], bitmap), _WINDOWS)
     own = index.select("h", "size", F.col("doc").alias("item_id"), F.col("place").alias("item_place"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
