@@ -2,7 +2,8 @@
 
 Words are lower-cased and stripped of ASCII punctuation; numbers, units behind a number and names become typed
 placeholders, so a question keeps its template when its parameters change. Every ``WINDOW`` tokens of an item give a
-template window. Documents' windows first pass a bitmap of fixed size (``BITS``, built from the benchmark), which
+template window. Beside it stands the literal window of the same words without case and punctuation, as whether a word
+is a name depends on case and surroundings, which a verbatim copy may not share. Documents' windows first pass a bitmap of fixed size (``BITS``, built from the benchmark), which
 lets nearly all clean text go inside the scan; the rest joins the benchmark's windows by hash.
 
 For each document and item the placeholders of all matching windows must then agree on one renaming: an item's value
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm import common
@@ -32,12 +34,14 @@ UNITS = (
     "h hr hour hours day days week weeks month months year years k c f degree degrees percent usd eur gbp dollar dollars "
     "euro euros cent cents kmh mph hz khz mhz ghz w kw mw j kj v a kb mb gb tb meter meters metre metres kilometer kilometers"
 ).split()
-_WINDOWS = "doc long, tag long, h long, size int, place long, word long, end_word long, tokens long, slots array<long>"
+_WINDOWS = "doc long, tag long, h long, size int, literal boolean, place long, word long, end_word long, tokens long, slots array<long>"
 
 
 def _positions(piece: pa.RecordBatch):
     """Per bare token: row, word number, template id and value hash; and whether it is a placeholder."""
     words, full, hashes = bare_words(piece.column("text"))
+    if (words.text >= 0x80).any():  # case of letters beyond ASCII; words stay the same in number
+        _, _, hashes = bare_words(pc.utf8_lower(piece.column("text")))
     row = words.row_of_word()[full]
     text = words.text
     mark = np.zeros(256, bool)
@@ -72,14 +76,18 @@ def _joined(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _template_windows(lengths: list[int] | None, bitmap: np.ndarray | None):
-    """Windows of the given lengths; of items (no lengths given) windows of WINDOW tokens or the whole shorter item."""
+    """Windows of the given lengths; of items (no lengths given) windows of WINDOW tokens or the whole shorter item.
+
+    Each window comes as a literal one and, where it holds placeholders, as a template.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(seed=31)
+        hasher, verbatim = Hasher(seed=31), Hasher(seed=37)
         for batch in batches:
             for piece in slices(batch, "text"):
                 row, word, ids, values, slot = _positions(piece)
-                prefix, held = hasher.prefix(ids), np.append(0, np.cumsum(slot))
+                held = np.append(0, np.cumsum(slot))
+                kinds = [(True, verbatim, verbatim.prefix(values)), (False, hasher, hasher.prefix(ids))]
                 tokens = np.bincount(row, minlength=piece.num_rows)
                 heads = np.cumsum(tokens) - tokens
                 for size in lengths or range(SHORTEST, WINDOW + 1):
@@ -89,49 +97,63 @@ def _template_windows(lengths: list[int] | None, bitmap: np.ndarray | None):
                     at = np.flatnonzero(row[:n] == row[size - 1 :])
                     if lengths is None and size < WINDOW:
                         at = at[tokens[row[at]] == size]
-                    at = at[2 * (held[at + size] - held[at]) <= size]  # half the window is literal at least
-                    h = hasher.sequences(prefix, at, at + size)
-                    if bitmap is not None:
-                        passed = common.may_hold(bitmap, h)
-                        at, h = at[passed], h[passed]
-                    if not len(at):
-                        continue
-                    r = row[at]
-                    count = held[at + size] - held[at]
-                    places = np.flatnonzero(slot)
-                    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    inside = values[places[np.repeat(held[at], count) + step]] if len(places) else values[:0]
-                    yield pa.RecordBatch.from_pydict({
-                        "doc": piece.column("doc").take(pa.array(r)), "tag": piece.column("tag").take(pa.array(r)),
-                        "h": pa.array(h.view(np.int64)), "size": pa.array(np.full(len(at), size, np.int32)),
-                        "place": pa.array(at - heads[r]), "word": pa.array(word[at]), "end_word": pa.array(word[at + size - 1] + 1),
-                        "tokens": pa.array(tokens[r]), "slots": common.lists(inside, np.cumsum(count) - count),
-                    })
+                    for literal, own, prefix in kinds:
+                        some = at
+                        if not literal:
+                            count = held[at + size] - held[at]
+                            some = at[(count > 0) & (2 * count <= size)]  # half the window is literal at least
+                        h = own.sequences(prefix, some, some + size)
+                        if bitmap is not None:
+                            passed = common.may_hold(bitmap, h)
+                            some, h = some[passed], h[passed]
+                        if not len(some):
+                            continue
+                        r = row[some]
+                        count = held[some + size] - held[some]
+                        places = np.flatnonzero(slot)
+                        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                        inside = values[places[np.repeat(held[some], count) + step]] if len(places) else values[:0]
+                        yield pa.RecordBatch.from_pydict({
+                            "doc": piece.column("doc").take(pa.array(r)), "tag": piece.column("tag").take(pa.array(r)),
+                            "h": pa.array(h.view(np.int64)), "size": pa.array(np.full(len(some), size, np.int32)),
+                            "literal": pa.array(np.full(len(some), literal)), "place": pa.array(some - heads[r]),
+                            "word": pa.array(word[some]), "end_word": pa.array(word[some + size - 1] + 1),
+                            "tokens": pa.array(tokens[r]), "slots": common.lists(inside, np.cumsum(count) - count),
+                        })
 
     return task
 
 
-def _consistent(table: pa.Table) -> pa.Table:
-    """One row for a document and item: what remains of the matching windows under one renaming of values."""
-    rows = table.to_pylist()
-    for row in rows:
-        row["pairs"] = list(zip(row["item_slots"], row["slots"]))
+def _agreeing(rows: list[dict]) -> list[dict]:
+    """The rows whose pairs of values agree with one renaming, the one that most pairs support."""
     votes = Counter(p for row in rows for p in row["pairs"])
     ranked = sorted(votes, key=lambda p: (-votes[p], p[0] != p[1], p))
     there, back = {}, {}
     for a, b in ranked:
         if a not in there and b not in back:
             there[a], back[b] = b, a
-    kept = [r for r in rows if all(there.get(a) == b for a, b in r["pairs"])]
-    covered = {i for r in kept for i in range(r["item_place"], r["item_place"] + r["size"])}
-    changed = {p for r in kept for p in r["pairs"] if p[0] != p[1]}
+    return [r for r in rows if all(there.get(a) == b for a, b in r["pairs"])]
+
+
+def _summary(rows: list[dict]) -> tuple[int, int, int, int]:
+    """Covered tokens of the item, renamed values, first and last word."""
+    covered = {i for r in rows for i in range(r["item_place"], r["item_place"] + r["size"])}
+    changed = {p for r in rows for p in r["pairs"] if p[0] != p[1]}
+    return len(covered), len(changed), min((r["word"] for r in rows), default=0), max((r["end_word"] for r in rows), default=0)
+
+
+def _consistent(table: pa.Table) -> pa.Table:
+    """One row for a document and item: the most that matching windows cover, verbatim or under one renaming of values."""
+    rows = table.to_pylist()
+    for row in rows:
+        row["pairs"] = list(zip(row["item_slots"], row["item_slots"] if row["literal"] else row["slots"]))
+    found = [_summary(_agreeing(rows)), _summary([r for r in rows if r["literal"]])]
+    covered, changed, start, end = min(found, key=lambda f: (-f[0], f[1:]))
     first = rows[0]
     return pa.table({
         "doc": pa.array([first["doc"]], pa.int64()), "tag": pa.array([first["tag"]], pa.int64()), "item_id": pa.array([first["item_id"]], pa.int64()),
-        "matched_tokens": pa.array([len(covered)], pa.int64()), "item_tokens": pa.array([first["item_tokens"]], pa.int64()),
-        "start_word": pa.array([min((r["word"] for r in kept), default=0)], pa.int64()),
-        "end_word": pa.array([max((r["end_word"] for r in kept), default=0)], pa.int64()),
-        "changed_values": pa.array([len(changed)], pa.int64()),
+        "matched_tokens": pa.array([covered], pa.int64()), "item_tokens": pa.array([first["item_tokens"]], pa.int64()),
+        "start_word": pa.array([start], pa.int64()), "end_word": pa.array([end], pa.int64()), "changed_values": pa.array([changed], pa.int64()),
     })
 
 
@@ -145,8 +167,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     bitmap = common.bitmap(index.select("h"), BITS)  # of a fixed size, whatever the benchmark's
     texts = docs.select(common.doc_key(id_col).alias("doc"), common.row_tag(text_col).alias("tag"), F.col(text_col).alias("text"))
     windows = texts.mapInArrow(_template_windows(lengths or [WINDOW], bitmap), _WINDOWS)
-    own = index.select("h", "size", F.col("doc").alias("item_id"), F.col("place").alias("item_place"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
-    matches = windows.drop("place", "tokens").join(own, ["h", "size"])
+    own = index.select("h", "size", "literal", F.col("doc").alias("item_id"), F.col("place").alias("item_place"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
+    matches = windows.drop("place", "tokens").join(own, ["h", "size", "literal"])
     found = matches.groupBy("doc", "tag", "item_id").applyInArrow(_consistent, _FOUND)
     return found.where(F.col("matched_tokens") >= F.least(F.lit(enough), F.col("item_tokens")))
 
@@ -157,8 +179,8 @@ def benchmark_leaks(
 ) -> DataFrame:
     """``(doc_id, item_id, matched_tokens, item_tokens, start_word, end_word, changed_values)`` per document and item.
 
-    A pair is listed when matching windows that agree on one renaming cover ``enough`` tokens of the item, or all
-    of a shorter one. ``changed_values`` counts renamed placeholders; 0 is a verbatim leak. Items of fewer than four
+    A pair is listed when matching windows that are verbatim, whatever their case, punctuation and line breaks, or agree
+    on one renaming cover ``enough`` tokens of the item, or all of a shorter one. ``changed_values`` counts renamed placeholders; 0 is a verbatim leak. Items of fewer than four
     tokens, or whose windows hold more placeholders than words, are too short to tell and never match; nor do null and
     empty texts. Items without an id are not looked for; a null document id stays null. Rows that share an id are
     judged by their text each. Extra columns are not read. Without items or documents the result is empty.

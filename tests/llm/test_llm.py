@@ -214,6 +214,20 @@ def test_decontamination_wants_one_renaming(spark):
     assert row is None or row.matched_tokens < 27
 
 
+def leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = benchmark_leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): (r.matched_tokens, r.changed_values, r.start_word, r.end_word) for r in found}
+
+
+def test_decontamination_of_verbatim_copies_in_any_case_and_place(spark):
+    items = ["What is two plus two", "Which year did Marie Curie win the second Nobel Prize in Stockholm", "Où vit Émile Zola avec sa tante Zoé"]
+    texts = ["Heading\nWhat is two plus two", "heading WHAT IS TWO PLUS TWO?", items[1].lower(), "so " + items[1].upper(), items[2].upper(), "What is two plus three"]
+    assert leaks(spark, texts, items) == {
+        (0, 0): (5, 0, 1, 6), (1, 0): (5, 0, 1, 6), (2, 1): (12, 0, 0, 12), (3, 1): (12, 0, 1, 13), (4, 2): (8, 0, 0, 8),
+    }
+
+
 @tables
 def test_decontamination_brute(spark):
     items = [brute.words(brute.lower(r.text)) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
