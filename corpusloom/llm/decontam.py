@@ -24,7 +24,8 @@ from corpusloom.llm import common
 from corpusloom.llm.licenses import bare_words
 from corpusloom.llm.words import Hasher, slices
 
-WINDOW, ENOUGH, SHORTEST = 8, 13, 4
+WINDOW, ENOUGH = 8, 13
+SHORTEST = 4  # templates of fewer tokens are too short to tell; literal windows have no such bound
 BITS = 1 << 22
 NUMBER, UNIT, NAME = (np.uint64(i) for i in (1, 2, 3))
 #: Units of measure that follow a number.
@@ -90,7 +91,7 @@ def _template_windows(lengths: list[int] | None, bitmap: np.ndarray | None):
                 kinds = [(True, verbatim, verbatim.prefix(values)), (False, hasher, hasher.prefix(ids))]
                 tokens = np.bincount(row, minlength=piece.num_rows)
                 heads = np.cumsum(tokens) - tokens
-                for size in lengths or range(SHORTEST, WINDOW + 1):
+                for size in lengths or range(1, WINDOW + 1):
                     n = len(row) - size + 1
                     if n <= 0:
                         continue
@@ -100,6 +101,8 @@ def _template_windows(lengths: list[int] | None, bitmap: np.ndarray | None):
                     for literal, own, prefix in kinds:
                         some = at
                         if not literal:
+                            if size < SHORTEST:
+                                continue
                             count = held[at + size] - held[at]
                             some = at[(count > 0) & (2 * count <= size)]  # half the window is literal at least
                         h = own.sequences(prefix, some, some + size)
@@ -108,6 +111,9 @@ def _template_windows(lengths: list[int] | None, bitmap: np.ndarray | None):
                             some, h = some[passed], h[passed]
                         if not len(some):
                             continue
+                        if literal and bitmap is not None and size < WINDOW:  # whole items: one copy per text tells all
+                            _, once = np.unique(np.stack([row[some].view(np.uint64), h]), axis=1, return_index=True)
+                            some, h = some[np.sort(once)], h[np.sort(once)]
                         r = row[some]
                         count = held[some + size] - held[some]
                         places = np.flatnonzero(slot)
@@ -181,8 +187,8 @@ def benchmark_leaks(
 
     A pair is listed when matching windows that are verbatim, whatever their case, punctuation and line breaks, or agree
     on one renaming cover ``enough`` tokens of the item, or all of a shorter one. ``changed_values`` counts renamed placeholders; 0 is a verbatim leak. Items of fewer than four
-    tokens, or whose windows hold more placeholders than words, are too short to tell and never match; nor do null and
-    empty texts. Items without an id are not looked for; a null document id stays null. Rows that share an id are
+    tokens, and windows that hold more placeholders than words, match verbatim only. Null and empty texts never
+    match. Items without an id are not looked for; a null document id stays null. Rows that share an id are
     judged by their text each. Extra columns are not read. Without items or documents the result is empty.
     """
     found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text, enough)

@@ -228,6 +228,12 @@ def test_decontamination_of_verbatim_copies_in_any_case_and_place(spark):
     }
 
 
+def test_decontamination_of_short_items_and_many_placeholders(spark):
+    items = ["What is 12 + 30 - 5 + 7", "two words", "Paris", "Ada Lovelace Alan Turing Grace Hopper 1 2 3 4 5 6 7 8 9"]
+    texts = ["so: what is 12 + 30 - 5 + 7", "only two words, two words", "paris Paris", "x " + items[3], "What is 13 + 31 - 6 + 8", "two other words"]
+    assert leaks(spark, texts, items) == {(0, 0): (6, 0, 1, 10), (1, 1): (2, 0, 1, 3), (2, 2): (1, 0, 0, 1), (3, 3): (15, 0, 1, 16)}
+
+
 @tables
 def test_decontamination_brute(spark):
     items = [brute.words(brute.lower(r.text)) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
