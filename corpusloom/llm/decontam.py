@@ -6,14 +6,18 @@ template window. Beside it stands the literal window of the same words without c
 is a name depends on case and surroundings, which a verbatim copy may not share. Documents' windows first pass a bitmap of fixed size (``BITS``, built from the benchmark), which
 lets nearly all clean text go inside the scan; the rest joins the benchmark's windows by hash.
 
-For each document and item the placeholders of all matching windows must then agree on one renaming: an item's value
-stands for one value in the document, and back. Windows against the renaming that most windows support are dropped.
+The placeholders of matching windows must then agree on one renaming: an item's value stands for one value in the
+document, and back. A document may hold several variants of an item, so this is asked per occurrence: windows with the
+same distance between their places in document and item lay the item over one stretch of the document. They vote for
+their renaming, and windows at near distances that agree with it are added, as a name may have more or fewer words
+in the document. Parts of one item that lie far apart are also judged together. The best of all these counts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from corpusloom.llm.words import Hasher, slices
 
 WINDOW, ENOUGH = 8, 13
 SHORTEST = 4  # templates of fewer tokens are too short to tell; literal windows have no such bound
+SHIFT = 6  # tokens by which the parts of one occurrence may be shifted
 BITS = 1 << 22
 NUMBER, UNIT, NAME = (np.uint64(i) for i in (1, 2, 3))
 #: Units of measure that follow a number.
@@ -130,17 +135,27 @@ def _template_windows(lengths: list[int] | None, bitmap: np.ndarray | None):
     return task
 
 
-def _agreeing(rows: list[dict]) -> list[dict]:
-    """The rows whose pairs of values agree with one renaming, the one that most pairs support."""
+def _renaming(rows: list[dict], there: dict, back: dict) -> list[dict]:
+    """The rows whose pairs of values agree with one renaming: the given one, extended by what most pairs support."""
     votes = Counter(p for row in rows for p in row["pairs"])
-    ranked = sorted(votes, key=lambda p: (-votes[p], p[0] != p[1], p))
-    there, back = {}, {}
-    for a, b in ranked:
+    for a, b in sorted(votes, key=lambda p: (-votes[p], p[0] != p[1], p)):
         if a not in there and b not in back:
             there[a], back[b] = b, a
     return [r for r in rows if all(there.get(a) == b for a, b in r["pairs"])]
 
 
+def _occurrences(rows: list[dict]) -> Iterator[list[dict]]:
+    """Per distance of places the windows that agree on its renaming, nearest distances first."""
+    shift = lambda r: r["place"] - r["item_place"]
+    lines = {d: list(g) for d, g in groupby(sorted(rows, key=shift), key=shift)}
+    for d in lines:
+        there, back, kept = {}, {}, []
+        for near in sorted(range(d - SHIFT, d + SHIFT + 1), key=lambda x: abs(x - d)):
+            if near in lines:
+                kept += _renaming(lines[near], there, back)
+        yield kept
+
+
 def _summary(rows: list[dict]) -> tuple[int, int, int, int]:
     """Covered tokens of the item, renamed values, first and last word."""
     covered = {i for r in rows for i in range(r["item_place"], r["item_place"] + r["size"])}
@@ -149,11 +164,11 @@ def _summary(rows: list[dict]) -> tuple[int, int, int, int]:
 
 
 def _consistent(table: pa.Table) -> pa.Table:
-    """One row for a document and item: the most that matching windows cover, verbatim or under one renaming of values."""
+    """One row for a document and item: the most that an occurrence covers, verbatim or under one renaming of values."""
     rows = table.to_pylist()
     for row in rows:
         row["pairs"] = list(zip(row["item_slots"], row["item_slots"] if row["literal"] else row["slots"]))
-    found = [_summary(_agreeing(rows)), _summary([r for r in rows if r["literal"]])]
+    found = [_summary(_renaming(rows, {}, {})), _summary([r for r in rows if r["literal"]]), *map(_summary, _occurrences(rows))]
     covered, changed, start, end = min(found, key=lambda f: (-f[0], f[1:]))
     first = rows[0]
     return pa.table({
@@ -174,7 +189,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     texts = docs.select(common.doc_key(id_col).alias("doc"), common.row_tag(text_col).alias("tag"), F.col(text_col).alias("text"))
     windows = texts.mapInArrow(_template_windows(lengths or [WINDOW], bitmap), _WINDOWS)
     own = index.select("h", "size", "literal", F.col("doc").alias("item_id"), F.col("place").alias("item_place"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
-    matches = windows.drop("place", "tokens").join(own, ["h", "size", "literal"])
+    matches = windows.drop("tokens").join(own, ["h", "size", "literal"])
     found = matches.groupBy("doc", "tag", "item_id").applyInArrow(_consistent, _FOUND)
     return found.where(F.col("matched_tokens") >= F.least(F.lit(enough), F.col("item_tokens")))
 
@@ -186,7 +201,8 @@ def benchmark_leaks(
     """``(doc_id, item_id, matched_tokens, item_tokens, start_word, end_word, changed_values)`` per document and item.
 
     A pair is listed when matching windows that are verbatim, whatever their case, punctuation and line breaks, or agree
-    on one renaming cover ``enough`` tokens of the item, or all of a shorter one. ``changed_values`` counts renamed placeholders; 0 is a verbatim leak. Items of fewer than four
+    on one renaming cover ``enough`` tokens of the item, or all of a shorter one. The other columns tell of the best
+    occurrence. ``changed_values`` counts renamed placeholders; 0 is a verbatim leak. Items of fewer than four
     tokens, and windows that hold more placeholders than words, match verbatim only. Null and empty texts never
     match. Items without an id are not looked for; a null document id stays null. Rows that share an id are
     judged by their text each. Extra columns are not read. Without items or documents the result is empty.

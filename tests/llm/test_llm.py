@@ -234,6 +234,15 @@ def test_decontamination_of_short_items_and_many_placeholders(spark):
     assert leaks(spark, texts, items) == {(0, 0): (6, 0, 1, 10), (1, 1): (2, 0, 1, 3), (2, 2): (1, 0, 0, 1), (3, 3): (15, 0, 1, 16)}
 
 
+def test_decontamination_of_many_variants_in_one_document(spark):
+    words = vocabulary(24, 12)
+    item = lambda slots: " ".join(f"{a} {b} {c} {s}" for a, b, c, s in zip(words[::3], words[1::3], words[2::3], slots))
+    variants = [item([100 * v + i for i in range(8)]) for v in range(1, 11)]
+    outvoted = " ".join([item([7] * 8), item(range(8)), item([7] * 8)])
+    found = leaks(spark, ["; ".join(variants), "; ".join(variants[:2]), outvoted, item([5] * 8)], [item(range(8))])
+    assert found == {(0, 0): (32, 8, 0, 32), (1, 0): (32, 8, 0, 32), (2, 0): (32, 0, 32, 64)}
+
+
 @tables
 def test_decontamination_brute(spark):
     items = [brute.words(brute.lower(r.text)) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
