@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm import common
 from corpusloom.llm.words import Anchors, Hasher, Words, blank_table, slices
@@ -34,7 +34,7 @@ OPEN, REPEATED, ASK, MARKER = range(4)
 _WINDOWS, _FIRST, _TAG = 12, 34, 14
 _BLOB = "bucket int, anchor array<long>, body array<long>, doc array<long>, place array<long>"
 _MARKS = "doc long, place long"
-_FOUND = "doc long, place long, origin long"
+_FOUND = "doc long, place long, origin long, window long, local boolean"
 
 
 def pack(kind, tag, first, windows) -> np.ndarray:
@@ -47,6 +47,12 @@ def with_kind(place: np.ndarray, kind: int) -> np.ndarray:
     return place & ((1 << (_WINDOWS + _FIRST + _TAG)) - 1) | (kind << (_WINDOWS + _FIRST + _TAG))
 
 
+def head_of(place: Column) -> Column:
+    """Tag and first window of the run that an asked window belongs to."""
+    bits = lambda shift, width: F.shiftright(place, shift).bitwiseAND((1 << width) - 1)
+    return bits(_WINDOWS, _FIRST + _TAG) - bits(0, _WINDOWS) + 1
+
+
 def kind_of(place: np.ndarray) -> np.ndarray:
     return place >> (_WINDOWS + _FIRST + _TAG)
 
@@ -140,7 +146,10 @@ def _compare(table: pa.Table) -> pa.Table:
 
 
 def extensions(window: int, buckets: int):
-    """Windows of the asked places, for comparing; those that the task can settle carry the smaller document."""
+    """Windows of the asked places, for comparing; those that the task can settle carry the smaller document.
+
+    In place of a number of windows each has its own number in its run, from 1.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(seed=17)
@@ -155,7 +164,6 @@ def extensions(window: int, buckets: int):
             later = doc > origin
             place = np.where(later, with_kind(place, REPEATED), place)
             bucket = np.where(later, _bucket(doc, buckets), _bucket(anchor, buckets))
-            anchor[later] = 0
             return common.bucketed(bucket, anchor=anchor, body=np.where(later, origin, 0), doc=doc, place=place)
 
         for batch in batches:
@@ -170,7 +178,7 @@ def extensions(window: int, buckets: int):
                 first, of = np.repeat(first_of(asked), count) + step, np.repeat(of, count)
                 at = words.bounds[of] + first
                 doc, tag = (piece.column(c).to_numpy()[of] for c in ("doc", "tag"))
-                held.append((hasher.sequences(prefix, at, at + window).view(np.int64), doc, pack(OPEN, tag, first, 1)))
+                held.append((hasher.sequences(prefix, at, at + window).view(np.int64), doc, pack(OPEN, tag, first, step + 1)))
                 rows += total
                 if rows >= FLUSH_ROWS:
                     yield flush()
@@ -182,22 +190,23 @@ def extensions(window: int, buckets: int):
 
 
 def compare_extensions(table: pa.Table) -> pa.Table:
-    """Windows that a smaller document has too, with that document."""
+    """Windows that a smaller document has too, with the smallest one, or if ``local`` the smallest one in some task."""
     anchor, body, doc, place = (common.flat(table.column(c)) for c in ("anchor", "body", "doc", "place"))
     done = kind_of(place) == REPEATED
-    found = [(doc[done], place[done], body[done])]
+    found = [(doc[done], place[done], body[done], anchor[done])]
     anchor, doc, place = anchor[~done], doc[~done], place[~done]
     order = np.lexsort((doc, anchor))
     anchor, doc, place = anchor[order], doc[order], place[order]
     heads = common.heads_of(anchor)
     origin = doc[heads][common.run_of(heads, len(doc))]
     later = doc > origin
-    found.append((doc[later], with_kind(place[later], REPEATED), origin[later]))
-    return pa.table(dict(zip(("doc", "place", "origin"), (np.concatenate(c) for c in zip(*found)))))
+    found.append((doc[later], with_kind(place[later], REPEATED), origin[later], anchor[later]))
+    columns = dict(zip(("doc", "place", "origin", "window"), (np.concatenate(c) for c in zip(*found))))
+    return pa.table(columns | {"local": np.arange(len(columns["doc"])) < done.sum()})
 
 
 def asked_windows(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, window: int, buckets: int) -> DataFrame:
-    """``(doc, place, origin)`` of the windows of ``asked (doc, place)`` that a smaller document has too."""
+    """The windows of ``asked (doc, place)`` that a smaller document has too, as :func:`compare_extensions` gives them."""
     keyed = keyed_documents(docs, id_col, text_col)
     chosen = keyed.join(_by_document(asked), ["__doc", "__tag"]).select(
         F.col("__doc").alias("doc"), F.col("__tag").alias("tag"), F.col(text_col).alias("text"), F.col("__places").alias("places")
@@ -225,7 +234,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = common.stored(blobs.groupBy("bucket").applyInArrow(_compare, _MARKS))
     kind = F.shiftright("place", _WINDOWS + _FIRST + _TAG)
     later = asked_windows(docs, marks.where(kind == ASK), id_col, text_col, window, buckets)
-    return _by_document(marks.where(kind == REPEATED).unionByName(later.drop("origin")))
+    single = F.col("place").bitwiseAND(~((1 << _WINDOWS) - 1)).bitwiseOR(1)
+    return _by_document(marks.where(kind == REPEATED).unionByName(later.select("doc", single.alias("place"))))
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -11,6 +11,9 @@ number of copies spreads over many tasks. Each task compares neighbours: where n
 but the smallest document's are repeats; where they only agree in the suffix, the match is extended to the left
 and right, window by window. The suffixes at the edges of a task, whose other neighbour is elsewhere, are always
 extended. Windows that overlap or touch merge into maximal repeats.
+
+A task knows the smallest document of its own rows only. The first document of a run there, or of a window, is always
+asked where another task or another run may hold a smaller one, so what it found is then looked up for the others.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusloom.llm import common
 from corpusloom.llm.substring import (
-    ASK, OPEN, REPEATED, SPARE_BUCKETS, asked_windows, keyed_texts, pack, with_kind, _FIRST, _TAG, _WINDOWS,
+    ASK, OPEN, REPEATED, SPARE_BUCKETS, asked_windows, head_of, keyed_texts, pack, with_kind, _FIRST, _TAG, _WINDOWS,
 )
 from corpusloom.llm.words import Anchors, Hasher, Words, slices
 
@@ -60,7 +63,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = len(doc)
     groups, runs = common.heads_of(w0, w1, w2), common.heads_of(w0, w1, w2, body)
     of_group, of_run = common.run_of(groups, n), common.run_of(runs, n)
-    origin = doc[runs][of_run]
+    origin, head = doc[runs][of_run], (place[runs][of_run] >> _WINDOWS) & ((1 << (_FIRST + _TAG)) - 1)
     later = doc > origin
     bodies = np.bincount(of_group[runs], minlength=len(groups))
     several = np.maximum.reduceat(doc, groups) > np.minimum.reduceat(doc, groups)
@@ -68,7 +71,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ask = (((bodies > 1) & several)[of_group] | edge) & ~later
     keep = later | ask
     out = np.where(later, with_kind(place, REPEATED), with_kind(place, ASK))
-    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, out, origin)], ["doc", "place", "origin"])
+    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, out, origin, head)], ["doc", "place", "origin", "head"])
+
+
+def _smallest(rows: DataFrame, lower: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the origin that their origin's own row of the same ``key`` has in ``lower``, if it is smaller."""
+    least = lower.groupBy(F.col("doc").alias("origin"), key).agg(F.min("origin").alias("lower"))
+    return rows.join(least, ["origin", key], "left").withColumn("origin", F.least("origin", "lower")).drop("lower")
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, k: int = 5) -> DataFrame:
@@ -76,7 +85,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Each row is a maximal stretch of words of a document that is covered by windows of ``min_words`` words which a
     document with a smaller id has too; ``end_word`` lies behind the last. ``first_doc_id`` is the smallest document
-    that has a part of it. Documents without repeats have no row, nor have null, empty and shorter texts. A null
+    that has a part of it, of at least ``min_words`` words. Documents without repeats have no row, nor have null, empty and shorter texts. A null
     id counts as the largest. Rows that share an id count as one document and do not repeat each other; their
     repeats are listed once per different text. Extra columns are not read. An empty table gives an empty one.
     """
@@ -85,11 +94,15 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count = common.parts(docs)
     suffixes = keyed_texts(docs, id_col, text_col).mapInArrow(_suffixes(min_words, k), _SUFFIX)
     in_order = suffixes.repartitionByRange(count, *ORDER).sortWithinPartitions(*ORDER)
-    marks = common.stored(in_order.mapInArrow(_neighbours, "doc long, place long, origin long"))
+    marks = common.stored(in_order.mapInArrow(_neighbours, "doc long, place long, origin long, head long"))
     kind = F.shiftright("place", _WINDOWS + _FIRST + _TAG)
     asked = marks.where(kind == ASK).select("doc", "place")
     later = asked_windows(docs, asked, id_col, text_col, min_words, SPARE_BUCKETS * count)
-    found = marks.where(kind == REPEATED).unionByName(later)
+    # neither join has a hot key: each origin stands for rows of the one task in which it was the smallest
+    settled = _smallest(later.where("local"), later.where("NOT local"), "window").unionByName(later.where("NOT local"))
+    settled = settled.select("doc", F.col("place").bitwiseAND(~((1 << _WINDOWS) - 1)).bitwiseOR(1).alias("place"), "origin", head_of(F.col("place")).alias("head"))
+    repeated = marks.where(kind == REPEATED).select("doc", "place", "origin", "head")
+    found = _smallest(repeated, settled, "head").unionByName(settled)
 
     bits = lambda shift, width: F.shiftright("place", shift).bitwiseAND((1 << width) - 1)
     spans = found.select(

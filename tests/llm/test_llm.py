@@ -89,6 +89,33 @@ def test_suffix_array(spark, seed):
     assert removed == collections.Counter({i: b for i, (_, b, _) in brute.repeats(rows, 50).items() if b})
 
 
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+def test_suffix_array_origins(spark, partitions):
+    """The smallest document of a span, also where the order spreads a passage over tasks or contexts differ."""
+    draw, words = random.Random(11), vocabulary(400)
+    text = lambda k: [draw.choice(words) for _ in range(k)]
+    passage, body = text(80), text(30)
+    rows = corpus(9) + [(100 + i, " ".join(passage)) for i in range(60)]
+    rows += [(200, " ".join(text(9) + passage[:70])), (90, " ".join(text(20) + passage[5:75] + text(20)))]
+    shared = text(60)
+    rows += [(302, " ".join(text(30) + shared + text(30)))] + [(i, " ".join(body + shared + body)) for i in (305, 307, 309)]
+    split = {i: brute.words(t) for i, t in rows}
+    first = {}
+    for i in sorted(split):
+        for j in range(len(split[i]) - 49):
+            first.setdefault(tuple(split[i][j : j + 50]), i)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = maximal_repeats(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.doc_id for r in found} > {101, 159, 305, 307, 309}
+    for r in found:
+        w = split[r.doc_id]
+        assert r.first_doc_id == min(first[tuple(w[j : j + 50])] for j in range(r.start_word, r.end_word - 49)), r
+
+
 def test_many_runs_of_one_anchor(spark):
     """An anchor with more different surroundings than a task settles at once."""
     draw, words = random.Random(5), vocabulary(500)
