@@ -2,12 +2,14 @@
 
 Words are compared lower-cased and without ASCII punctuation. Of every template the winnowed ``k``-word shingles
 go into an index, which travels with the tasks (templates are a parameter, at most ``MAX_TEMPLATE_WORDS`` words
-together). A document's shingles are looked up; hits of one template on near diagonals form a candidate region, and
-a banded alignment of template and region reports how much of the template matched and where.
+together). A document's shingles are looked up; each hit is a seed, and
+a banded alignment of the template with the text around its diagonal reports how much of the template matched and
+where. The words of a match are taken; the text left between matches is aligned again for every seed in it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,23 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
         the following conditions are met""",
+    "BSD-3-Clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.""",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your
+        option) any later version.""",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at
+        your option) any later version.""",
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+        your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 
@@ -108,8 +127,8 @@ def scan_licenses(
     """``(doc_id, license, coverage, matched_words, start_word, end_word)``, one row per match of a template.
 
     ``coverage`` is the share of the template's words that the alignment matched; matches below the parameter are
-    left out. ``end_word`` lies behind the last matched word. Two matches of a template in one document do not start
-    at the same word. Templates shorter than ``k`` words are not looked for. Null and empty texts match nothing; a
+    left out. ``end_word`` lies behind the last matched word. Two matches of a template in one document do not
+    overlap, but may touch. Templates shorter than ``k`` words are not looked for. Null and empty texts match nothing; a
     null id stays null; each of several rows with one id gives its own matches. Extra columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
@@ -128,21 +147,30 @@ def scan_licenses(
                     continue
                 low, high = np.searchsorted(prints, grams, "left"), np.searchsorted(prints, grams, "right")
                 hit = np.flatnonzero((high > low) & (row[: len(grams)] == row[k - 1 :]))
-                seeds = [(row[p], owner[e], p - offset[e]) for p in hit for e in range(low[p], high[p])]
-                out, last = [], None
-                for r, t, begin in sorted(seeds):
-                    if last and last[:2] == (r, t) and begin - last[2] <= band:
-                        continue  # same region
-                    last = (r, t, begin)
+                seeds = sorted((row[p], owner[e], p - offset[e], p) for p in hit for e in range(low[p], high[p]))
+                out, taken, last, failed = [], [], None, set()
+                for r, t, begin, p in seeds:
+                    if last != (r, t):
+                        last, taken, failed = (r, t), [], set()
+                        own = np.searchsorted(row, r), np.searchsorted(row, r, "right")
                     form = forms[t]
-                    own = np.searchsorted(row, r), np.searchsorted(row, r, "right")
-                    lo = begin - band
-                    pad = np.zeros(max(0, own[0] - lo), np.uint64)  # the band may begin before the document
-                    region = np.append(pad, hashes[max(lo, own[0]) : min(own[1], begin + len(form) + band)])
-                    n, first, end = align(form, region, band)
-                    if n and n >= coverage * len(form):
+                    while True:
+                        at = bisect_right(taken, (p, len(hashes)))
+                        left = taken[at - 1][1] if at else own[0]  # the text between two matches
+                        right = taken[at][0] if at < len(taken) else own[1]
+                        if left > p or (begin, left, right) in failed:
+                            break
+                        lo = begin - band
+                        region = hashes[max(lo, left) : min(right, begin + len(form) + band)]
+                        n = 0
+                        if np.isin(form, region).sum() >= coverage * len(form):  # else no alignment can reach it
+                            pad = np.zeros(max(0, left - lo), np.uint64)  # the band may begin before the text
+                            n, first, end = align(form, np.append(pad, region), band)
+                        if not n or n < coverage * len(form):
+                            failed.add((begin, left, right))
+                            break
+                        insort(taken, (int(lo + first), int(lo + end) + 1))
                         out.append((int(r), names[t], n / len(form), n, int(place[lo + first]), int(place[lo + end]) + 1))
-                out = [x for i, x in enumerate(out) if not any(x[:2] == y[:2] and x[4] == y[4] for y in out[:i])]
                 ids = piece.column("doc").take(pa.array([x[0] for x in out], pa.int64()))
                 columns = [ids] + [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), 1)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "license", "coverage", "matched_words", "start_word", "end_word"])

@@ -407,6 +407,18 @@ def test_licenses(spark):
     assert set(found) == {1, 2, 3, 7, None}
 
 
+def test_licenses_close_together(spark):
+    mit, cc = "Released under the MIT License", "Licensed under CC BY-NC 4.0"
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    rows = [(1, "\n".join([mit] * 7)), (2, f"{cc}\n{mit}\nx {cc} y {cc} {mit}"), (3, lesser)]
+    found = collections.defaultdict(list)
+    for r in scan_licenses(frame(spark, rows)).collect():
+        found[r.doc_id, r.license].append((r.start_word, r.end_word))
+    assert sorted(found[1, "MIT"]) == [(5 * i, 5 * i + 5) for i in range(7)]
+    assert sorted(found[2, "MIT"]) == [(5, 10), (22, 27)] and sorted(found[2, "CC-BY-NC-4.0"]) == [(0, 5), (11, 16), (17, 22)]
+    assert found[3, "LGPL-2.1-header"] == [(0, len(lesser.split()))]
+
+
 @tables
 def test_pipeline(spark):
     import corpus_pipeline
