@@ -286,6 +286,12 @@ def _lexicon(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in known.select("word").limit(4096).collect()], np.int64).view(np.uint64))
 
 
+def _gathered(texts: DataFrame, sample: DataFrame) -> DataFrame:
+    """The texts of the sample in one task, in order of their ids; all tasks look for them, and a shuffle stands between."""
+    chosen = texts.join(F.broadcast(sample), "id").select("id", "text", "bad", "toxic")  # FIT_ROWS narrow rows at most
+    return chosen.repartition(1).sortWithinPartitions("id", "text").select("text", "bad", "toxic")
+
+
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fit on ``docs``; ``labels (doc_id, quality, toxic)`` are optional and may cover any part of them.
 
@@ -326,8 +332,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         posterior[kind] = spark.createDataFrame([(int(c), float(b)) for c, b in zip(code, bad)], f"{kind} long, {kind}_bad double")
     sample = _smallest(votes.where("id IS NOT NULL"), FIT_ROWS).join(posterior["good"], "good").join(posterior["clean"], "clean")
     sample = sample.select("id", F.col("good_bad").alias("bad"), F.col("clean_bad").alias("toxic"))
-    chosen = texts.join(F.broadcast(sample), "id").select("text", "bad", "toxic")  # FIT_ROWS narrow rows at most
+    chosen = _gathered(texts, sample)
     learn = lambda batches: _train(batches, lexicon)
-    trained = chosen.coalesce(1).mapInArrow(learn, "weights binary").collect()  # no row without documents
+    trained = chosen.mapInArrow(learn, "weights binary").collect()  # no row without documents
     weights = np.frombuffer(trained[0]["weights"], "<f4").reshape(BUCKETS, 2) if trained else np.zeros((BUCKETS, 2), np.float32)
     return QualityModel(lexicon, weights, speech)

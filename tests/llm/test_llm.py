@@ -18,7 +18,7 @@ from corpusloom.llm.decontam import benchmark_leaks, without_leaks
 from corpusloom.llm.licenses import scan_licenses
 from corpusloom.llm.lm import LogBilinear, CLASSES, CONTEXT, score_texts
 from corpusloom.llm.mixing import mix_sources
-from corpusloom.llm import neardup
+from corpusloom.llm import neardup, quality
 from corpusloom.llm.neardup import near_duplicates
 from corpusloom.llm.quality import expectation_maximisation, fit
 from corpusloom.llm.substring import remove_repeats
@@ -309,6 +309,15 @@ def test_quality(spark):
     assert sum(toxic) <= 0.35 * len(toxic)  # so few labels teach part of the lexicon
 
 
+def test_sample_is_gathered_behind_a_shuffle(spark):
+    texts = spark.range(1000, numPartitions=7).select("id", F.col("id").cast("string").alias("text"))
+    sample = spark.createDataFrame([(i, 0.5, 0.1) for i in (900, 5, 77)], "id long, bad double, toxic double")
+    out = quality._gathered(texts, sample)
+    assert [r.text for r in out.collect()] == ["5", "77", "900"] and out.rdd.getNumPartitions() == 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert -1 < plan.index("Exchange SinglePartition") < plan.index("Join")
+
+
 def test_language_model(spark):
     rows = corpus(7)
     got = {r.doc_id: r for r in score_texts(frame(spark, rows)).collect()}
