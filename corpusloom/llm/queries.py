@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import common
+from corpusloom.llm import common, structure_queries
 from corpusloom.llm.ann import nearest
 from corpusloom.llm.chat import InstructTemplate, format_chats, read_back
 from corpusloom.llm.decontam import benchmark_leaks
@@ -93,7 +93,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
-}
+} | structure_queries.QUERIES
 _CONTROLS = "|".join(c.replace("[", r"\[").replace("]", r"\]") for c in InstructTemplate.CONTROLS)
 ORACLE_SQL = {
     "op7_nearest_neighbours": """
@@ -136,4 +136,4 @@ laid AS (SELECT s.*, q.source_size, q.target, q.quota,
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE
        quota // source_size * size + greatest(0, least(start + size, quota % source_size) - start) END AS BIGINT) AS taken
 FROM laid""",
-}
+} | structure_queries.ORACLE_SQL
