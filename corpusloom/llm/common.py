@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.runtime import ensure_checkpoint_dir
 
 LAST_ID = (1 << 63) - 1
+ROW_GROUP_BYTES = 16 << 20  # what a writing task holds
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the cluster's checkpoint folder and read again; survives lost executors."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,8 @@ from corpusloom.llm import common
 from corpusloom.llm.words import slices
 
 CAPACITY = 2048
-KNOWN = 1 << 19
+KNOWN = 1 << 18
+TEXT_BYTES = 1 << 21
 _RANKS = 40
 
 
@@ -218,7 +219,10 @@ def best_two_fit(counts: np.ndarray, capacity: int) -> Iterator[tuple[Counter, i
 
 @dataclass
 class Packing:
-    """``pieces`` has the columns kept of the documents, row, piece, start, length, ids, and ``part`` and ``local`` for placing."""
+    """``pieces`` has the documents' id, row, piece, start, length, ids, and ``part`` and ``local`` for placing.
+
+    Ids are little-endian unsigned 32-bit numbers, one after the other.
+    """
 
     pieces: DataFrame
     offsets: DataFrame
@@ -245,7 +249,7 @@ class Packing:
         """``(sequence_id, ids)``: the packed sequences."""
         placed = self.place(self.pieces.select("length", "part", "local", "ids"))
         whole = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("held"))
-        return whole.select("sequence_id", F.flatten(F.col("held.ids")).alias("ids"))
+        return whole.select("sequence_id", F.aggregate("held.ids", F.lit(b""), lambda all_, ids: F.concat(all_, ids)).alias("ids"))
 
 
 def _cut(path: str, text_col: str, keep: list[str], capacity: int, end_id: int):
@@ -253,7 +257,7 @@ def _cut(path: str, text_col: str, keep: list[str], capacity: int, end_id: int):
         encoder, seen = Encoder(path), np.zeros(capacity + 1, np.int64)
         part, rows = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in slices(batch, text_col):
+            for piece in slices(batch, text_col, TEXT_BYTES):
                 ids, counts = encoder(piece.column(text_col))
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
                 counts = counts + 1
@@ -269,10 +273,10 @@ def _cut(path: str, text_col: str, keep: list[str], capacity: int, end_id: int):
                 local[order] = np.arange(len(order)) - heads[common.run_of(heads, len(order))]
                 local += seen[length]
                 seen += np.bincount(length, minlength=capacity + 1)
-                offsets = np.append(0, np.cumsum(length)).astype(np.int32)
+                offsets = 4 * np.append(0, np.cumsum(length)).astype(np.int32)
                 arrays = [piece.column(c).take(pa.array(owner)) for c in keep]
                 arrays += [pa.array(a) for a in (owner + rows + (part << 40), number.astype(np.int32), start, length, np.full(len(owner), part, np.int64), local)]
-                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32))))
+                arrays.append(pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))]))
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, "row", "piece", "start", "length", "part", "local", "ids"])
                 rows += piece.num_rows
 
@@ -289,7 +293,7 @@ def pack_documents(
     ``row`` tells them apart. Only the id and the text are read, so other columns cannot clash. An empty table
     gives empty frames. The plan, which travels with the tasks, has some rows for each size, not for each document.
     """
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, row long, piece int, start long, length long, part long, local long, ids array<int>"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, row long, piece int, start long, length long, part long, local long, ids binary"
     pieces = common.stored(docs.select(id_col, text_col).mapInArrow(_cut(tokenizer, text_col, [id_col], capacity, end_id), schema))
     of_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from corpusloom.llm import common
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.repair import damaged, repair_conversations
 from corpusloom.llm.trie import conversation_trie
@@ -16,19 +11,6 @@ from corpusloom.llm.trie import conversation_trie
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def ids_crc32(ids: Column) -> Column:
-    """Unsigned CRC-32 of token ids as little-endian unsigned 32-bit numbers."""
-
-    @F.arrow_udf("long")
-    def digest(column: pa.Array) -> pa.Array:
-        lengths = column.value_lengths().fill_null(0).to_numpy()
-        data = memoryview(np.ascontiguousarray(common.flat(column, np.int32).astype("<u4"))).cast("B")
-        ends = 4 * np.cumsum(lengths)
-        return pa.array([zlib.crc32(data[b - 4 * n : b]) for b, n in zip(ends.tolist(), lengths.tolist())], pa.int64())
-
-    return digest(ids)
-
-
 def op11_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Tokens of all documents packed into sequences of 2,048."""
     if tokenizer is None:
@@ -36,7 +18,7 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     packing = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), tokenizer)
-    pieces = packing.pieces.select("doc_id", "piece", "start", "length", "part", "local", ids_crc32(F.col("ids")).alias("ids_crc32"))
+    pieces = packing.pieces.select("doc_id", "piece", "start", "length", "part", "local", F.crc32("ids").alias("ids_crc32"))
     return packing.place(pieces)
 
 
