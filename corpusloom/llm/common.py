@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.runtime import ensure_checkpoint_dir
 
 LAST_ID = (1 << 63) - 1
+SHARED_BITS = 1 << 18
 ROW_GROUP_BYTES = 16 << 20  # what a writing task holds
 
 
@@ -52,9 +53,25 @@ def doc_key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
 
 
-def row_tag(text_col: str) -> Column:
-    """14 bits that tell rows apart which share an id but not a text."""
-    return F.pmod(F.hash(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 14)).cast("long")
+def text_hash(text_col: str) -> Column:
+    """64 bits of the text; with the id they tell all rows apart but those that are equal."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def row_tag(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """:func:`text_hash` for rows whose id is not theirs alone, else 0, which costs nothing to carry around.
+
+    Shared ids are told by a bitmap of fixed size, which may find some more, but misses none. Reads the ids only.
+    """
+    shared = bitmap(docs.groupBy(doc_key(id_col).alias("id")).count().where("count > 1").select("id"), SHARED_BITS)
+    return F.when(is_in(shared, doc_key(id_col)), text_hash(text_col)).otherwise(F.lit(0).cast("long")) if shared.any() else F.lit(0).cast("long")
+
+
+def is_in(bitmap: np.ndarray, value: Column) -> Column:
+    """:func:`may_hold` as a Column."""
+    words = F.split(F.lit(",".join(map(str, bitmap.view(np.int64)))), ",").cast("array<bigint>")
+    bit = F.pmod(value, F.lit(64 * len(bitmap)))
+    return F.bit_get(F.get(words, F.shiftright(bit, 6).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
 
 
 def flat(column: pa.ChunkedArray, dtype=np.int64) -> np.ndarray:

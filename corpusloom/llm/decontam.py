@@ -22,7 +22,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.llm import common
 from corpusloom.llm.licenses import bare_words
@@ -32,6 +32,9 @@ WINDOW, ENOUGH = 8, 13
 SHORTEST = 4  # templates of fewer tokens are too short to tell; literal windows have no such bound
 SHIFT = 6  # tokens by which the parts of one occurrence may be shifted
 BITS = 1 << 22
+LEAK_BITS = 1 << 20
+RARE = 8
+TEXT_BYTES = 1 << 20
 NUMBER, UNIT, NAME = (np.uint64(i) for i in (1, 2, 3))
 #: Units of measure that follow a number.
 UNITS = (
@@ -90,7 +93,7 @@ def _template_windows(lengths: list[int] | None, bitmap: np.ndarray | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, verbatim = Hasher(seed=31), Hasher(seed=37)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", TEXT_BYTES):
                 row, word, ids, values, slot = _positions(piece)
                 held = np.append(0, np.cumsum(slot))
                 kinds = [(True, verbatim, verbatim.prefix(values)), (False, hasher, hasher.prefix(ids))]
@@ -172,49 +175,100 @@ def _consistent(table: pa.Table) -> pa.Table:
     covered, changed, start, end = min(found, key=lambda f: (-f[0], f[1:]))
     first = rows[0]
     return pa.table({
-        "doc": pa.array([first["doc"]], pa.int64()), "tag": pa.array([first["tag"]], pa.int64()), "item_id": pa.array([first["item_id"]], pa.int64()),
+        "doc": pa.array([first["doc"]], pa.int64()), "tag": pa.array([first["tag"]], pa.int64()),
+        "item_id": pa.array([first["item_id"]], pa.int64()), "item_tag": pa.array([first["item_tag"]], pa.int64()),
         "matched_tokens": pa.array([covered], pa.int64()), "item_tokens": pa.array([first["item_tokens"]], pa.int64()),
         "start_word": pa.array([start], pa.int64()), "end_word": pa.array([end], pa.int64()), "changed_values": pa.array([changed], pa.int64()),
     })
 
 
-_FOUND = "doc long, tag long, item_id long, matched_tokens long, item_tokens long, start_word long, end_word long, changed_values long"
+_FOUND = (
+    "doc long, tag long, item_id long, item_tag long, matched_tokens long, item_tokens long, start_word long, end_word long, changed_values long"
+)
+_KEY, _ITEM = ["h", "size", "literal"], ["item_id", "item_tag"]
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, enough: int) -> DataFrame:
-    items = benchmark.select(F.col(item_col).cast("long").alias("doc"), F.lit(0).cast("long").alias("tag"), F.col(item_text).alias("text"))
-    index = common.stored(items.where("doc IS NOT NULL").mapInArrow(_template_windows(None, None), _WINDOWS))
-    lengths = sorted(r["size"] for r in index.select("size").distinct().collect())
+def _index(benchmark: DataFrame, item_col: str, item_text: str, enough: int) -> DataFrame:
+    """Windows of all items. ``common`` ones stand in more than ``RARE`` items.
+
+    A document that shares nothing else with an item than common windows can hold a leak of it only if they cover
+    enough of the item (``wide`` items). Wide items whose common windows are the same in the same places are a class,
+    for which the smallest item stands (``open``); ``n_items`` is its size.
+    """
+    items = benchmark.select(common.doc_key(item_col).alias("doc"), common.text_hash(item_text).alias("tag"), F.col(item_text).alias("text"))
+    index = common.stored(
+        items.dropDuplicates(["doc", "tag"]).mapInArrow(_template_windows(None, None), _WINDOWS).select(
+            *_KEY, F.col("doc").alias("item_id"), F.col("tag").alias("item_tag"), F.col("place").alias("item_place"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots")
+        )
+    )
+    often = index.select(*_KEY, *_ITEM).distinct().groupBy(*_KEY).count().where(F.col("count") > RARE).drop("count")
+    shared = index.join(often, _KEY)
+    in_order = Window.partitionBy(*_ITEM).orderBy("item_place", "size").rowsBetween(Window.unboundedPreceding, -1)  # one item's windows
+    end = F.col("item_place") + F.col("size")
+    fresh = F.greatest(F.lit(0), end - F.greatest("item_place", F.coalesce(F.max(end).over(in_order), F.lit(0))))
+    places = F.array_sort(F.collect_list(F.struct("item_place", *_KEY)))
+    wide = shared.withColumn("fresh", fresh).groupBy(*_ITEM).agg(F.sum("fresh").alias("covered"), F.max("item_tokens").alias("tokens"), places.alias("places"))
+    wide = wide.where(F.col("covered") >= F.least(F.lit(enough), F.col("tokens")))
+    start = F.col("places")[0]["item_place"]
+    alike = F.transform("places", lambda w: F.struct((w["item_place"] - start).alias("at"), w["h"].alias("h"), w["literal"].alias("literal")))
+    classes = wide.select(*_ITEM, F.md5(F.to_json(alike)).alias("alike"))
+    first = classes.groupBy("alike").agg(F.min(F.struct(*_ITEM)).alias("item"), F.count("*").alias("n_items")).select("item.*", "n_items")
+    marked = index.join(often.withColumn("common", F.lit(True)), _KEY, "left").join(first, _ITEM, "left")
+    return common.stored(marked.withColumns({"common": F.coalesce("common", F.lit(False)), "open": F.col("n_items").isNotNull(), "n_items": F.coalesce("n_items", F.lit(1))}))
+
+
+def _leaks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, enough: int) -> DataFrame:
+    """Leaks in ``texts (doc, tag, text)``."""
+    index = _index(benchmark, item_col, item_text, enough)
+    lengths = sorted(r["size"] for r in index.select("size").distinct().collect())  # up to WINDOW rows
     bitmap = common.bitmap(index.select("h"), BITS)  # of a fixed size, whatever the benchmark's
-    texts = docs.select(common.doc_key(id_col).alias("doc"), common.row_tag(text_col).alias("tag"), F.col(text_col).alias("text"))
-    windows = texts.mapInArrow(_template_windows(lengths or [WINDOW], bitmap), _WINDOWS)
-    own = index.select("h", "size", "literal", F.col("doc").alias("item_id"), F.col("place").alias("item_place"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
-    matches = windows.drop("tokens").join(own, ["h", "size", "literal"])
-    found = matches.groupBy("doc", "tag", "item_id").applyInArrow(_consistent, _FOUND)
-    return found.where(F.col("matched_tokens") >= F.least(F.lit(enough), F.col("item_tokens")))
+    windows = common.stored(texts.mapInArrow(_template_windows(lengths or [WINDOW], bitmap), _WINDOWS).drop("tokens"))
+    own = [*_KEY, *_ITEM, "item_place", "item_tokens", "item_slots"]
+    met = windows.join(index.where("open OR NOT common").select(*own), _KEY)
+    # Common windows count for the pairs that have met otherwise.
+    pairs = met.select("doc", "tag", *_ITEM).distinct()
+    rest = index.where("common AND NOT open").select(*own)
+    more = pairs.join(rest, _ITEM).join(windows, ["doc", "tag", *_KEY])
+    matches = met.unionByName(more)
+    found = matches.groupBy("doc", "tag", *_ITEM).applyInArrow(_consistent, _FOUND)
+    sizes = index.where("open").select(*_ITEM, "n_items").distinct()
+    kept = found.where(F.col("matched_tokens") >= F.least(F.lit(enough), F.col("item_tokens"))).join(sizes, _ITEM, "left")
+    return kept.withColumns({"n_items": F.coalesce("n_items", F.lit(1)), "item_id": F.nullif(F.col("item_id"), F.lit(common.LAST_ID))}).drop("item_tag")
 
 
 def benchmark_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text: str = "text", enough: int = ENOUGH,
 ) -> DataFrame:
-    """``(doc_id, item_id, matched_tokens, item_tokens, start_word, end_word, changed_values)`` per document and item.
+    """``(doc_id, item_id, matched_tokens, item_tokens, start_word, end_word, changed_values, n_items)`` per document and item.
 
     A pair is listed when matching windows that are verbatim, whatever their case, punctuation and line breaks, or agree
     on one renaming cover ``enough`` tokens of the item, or all of a shorter one. The other columns tell of the best
     occurrence. ``changed_values`` counts renamed placeholders; 0 is a verbatim leak. Items of fewer than four
-    tokens, and windows that hold more placeholders than words, match verbatim only. Null and empty texts never
-    match. Items without an id are not looked for; a null document id stays null. Rows that share an id are
-    judged by their text each. Extra columns are not read. Without items or documents the result is empty.
+    tokens, and windows that hold more placeholders than words, match verbatim only. More than ``RARE`` items that have
+    a passage of that length in common are told by the smallest of them, ``n_items`` in number, where a document has that
+    passage alone. Null and empty texts never match. Items without an id are looked for as well, their ``item_id`` is
+    null; a null document id stays null. Rows that share an id are judged by their text each, once per different text.
+    Extra columns are not read. Without items or documents the result is empty.
     """
-    found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text, enough)
-    return found.select(F.nullif(F.col("doc"), F.lit(common.LAST_ID)).alias("doc_id"), *found.columns[2:])
+    texts = docs.select(common.doc_key(id_col).alias("doc"), common.text_hash(text_col).alias("tag"), F.col(text_col).alias("text"))
+    found = _leaks(texts, benchmark, item_col, item_text, enough)
+    columns = ["item_id", "matched_tokens", "item_tokens", "start_word", "end_word", "changed_values", "n_items"]
+    return found.select(F.nullif(F.col("doc"), F.lit(common.LAST_ID)).alias("doc_id"), *columns)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark, with the same columns."""
-    settings = {"item_col": "item_id", "item_text": "text", "enough": ENOUGH} | named
-    found = _leaks(docs, benchmark, id_col, text_col, **settings)
-    bad = found.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).distinct()
-    keyed = docs.withColumns({"__doc": common.doc_key(id_col), "__tag": common.row_tag(text_col)})
-    return keyed.join(bad, ["__doc", "__tag"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", enough: int = ENOUGH
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item of the benchmark, with the same columns, whatever their names.
+
+    Rows that a bitmap of fixed size knows to be clean stay where they are; only the others meet the list of leaks.
+    """
+    key = {"doc": common.doc_key(id_col), "tag": common.text_hash(text_col)}
+    texts = docs.select(*[c.alias(n) for n, c in key.items()], F.col(text_col).alias("text"))
+    bad = common.stored(_leaks(texts, benchmark, item_col, item_text, enough).select("doc", "tag").distinct())
+    bitmap = common.bitmap(bad.select(F.xxhash64("doc", "tag").alias("h")), LEAK_BITS)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in key.items()])
+    rows = rows.withColumn("maybe", common.is_in(bitmap, F.xxhash64("doc", "tag")))
+    kept = rows.where("NOT maybe").drop("maybe").unionByName(rows.where("maybe").drop("maybe").join(bad, ["doc", "tag"], "left_anti"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

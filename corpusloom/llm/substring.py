@@ -26,35 +26,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.llm import common
 from corpusloom.llm.words import Anchors, Hasher, Words, blank_table, slices
 
-FLUSH_ROWS = 1 << 21
+FLUSH_ROWS = 1 << 19
+TEXT_BYTES = 1 << 20
 MANY_RUNS = 64
 SPARE_BUCKETS = 4
 # What a place says about its windows.
 OPEN, REPEATED, ASK, MARKER = range(4)
-_WINDOWS, _FIRST, _TAG = 12, 34, 14
-_BLOB = "bucket int, anchor array<long>, body array<long>, doc array<long>, place array<long>"
-_MARKS = "doc long, place long"
-_FOUND = "doc long, place long, origin long, window long, local boolean"
+_WINDOWS, _FIRST = 12, 34
+_BLOB = "bucket int, anchor array<long>, body array<long>, doc array<long>, tag array<long>, place array<long>"
+_MARKS = "doc long, tag long, place long"
+_FOUND = "doc long, tag long, place long, origin long, window long, local boolean"
 
 
-def pack(kind, tag, first, windows) -> np.ndarray:
-    """62 bits: kind, tag, first window, number of windows."""
-    head = (np.asarray(kind, np.int64) << (_TAG)) | np.asarray(tag, np.int64)
-    return (((head << _FIRST) | np.asarray(first, np.int64)) << _WINDOWS) | np.asarray(windows, np.int64)
+def pack(kind, first, windows) -> np.ndarray:
+    """48 bits: kind, first window, number of windows."""
+    head = (np.asarray(kind, np.int64) << _FIRST) | np.asarray(first, np.int64)
+    return (head << _WINDOWS) | np.asarray(windows, np.int64)
 
 
 def with_kind(place: np.ndarray, kind: int) -> np.ndarray:
-    return place & ((1 << (_WINDOWS + _FIRST + _TAG)) - 1) | (kind << (_WINDOWS + _FIRST + _TAG))
+    return place & ((1 << (_WINDOWS + _FIRST)) - 1) | (kind << (_WINDOWS + _FIRST))
 
 
 def head_of(place: Column) -> Column:
-    """Tag and first window of the run that an asked window belongs to."""
+    """First window of the run that an asked window belongs to."""
     bits = lambda shift, width: F.shiftright(place, shift).bitwiseAND((1 << width) - 1)
-    return bits(_WINDOWS, _FIRST + _TAG) - bits(0, _WINDOWS) + 1
+    return bits(_WINDOWS, _FIRST) - bits(0, _WINDOWS) + 1
 
 
 def kind_of(place: np.ndarray) -> np.ndarray:
-    return place >> (_WINDOWS + _FIRST + _TAG)
+    return place >> (_WINDOWS + _FIRST)
 
 
 def first_of(place: np.ndarray) -> np.ndarray:
@@ -69,7 +70,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
 
 
-def settle(anchor, body, doc, place, hot_runs: int | None) -> tuple[np.ndarray, ...]:
+def settle(anchor, body, doc, tag, place, hot_runs: int | None) -> tuple[np.ndarray, ...]:
     """Compare rows with the smallest document of their body; returns the rows with their kinds renewed.
 
     Rows of larger documents are REPEATED. With ``hot_runs`` None this is the last word: first rows ask for their
@@ -77,7 +78,7 @@ def settle(anchor, body, doc, place, hot_runs: int | None) -> tuple[np.ndarray,
     first rows stay OPEN, but those of anchors with more than ``hot_runs`` bodies ask, leaving one MARKER.
     """
     order = np.lexsort((doc, body, anchor))
-    anchor, body, doc, place = anchor[order], body[order], doc[order], place[order]
+    anchor, body, doc, tag, place = anchor[order], body[order], doc[order], tag[order], place[order]
     n = len(anchor)
     runs = common.heads_of(anchor, body)
     of_run = common.run_of(runs, n)
@@ -92,15 +93,15 @@ def settle(anchor, body, doc, place, hot_runs: int | None) -> tuple[np.ndarray,
         ask = ((bodies > 1) & ((most > least) | marked))[of_group] if n else later
         out = np.where(later, with_kind(place, REPEATED), with_kind(place, ASK))
         keep = (later | ask) & ~marker
-        return anchor[keep], body[keep], doc[keep], out[keep]
+        return anchor[keep], body[keep], doc[keep], tag[keep], out[keep]
     hot = (bodies > hot_runs)[of_group] if n else later
     place = np.where(later, with_kind(place, REPEATED), np.where(hot, with_kind(place, ASK), place))
     if hot.any():
         at = groups[bodies > hot_runs]
         zero = np.zeros(len(at), np.int64)
         anchor, body = np.append(anchor, anchor[at]), np.append(body, zero.view(body.dtype))
-        doc, place = np.append(doc, doc[at]), np.append(place, with_kind(zero, MARKER))
-    return anchor, body, doc, place
+        doc, tag, place = np.append(doc, doc[at]), np.append(tag, zero), np.append(place, with_kind(zero, MARKER))
+    return anchor, body, doc, tag, place
 
 
 def _runs(window: int, k: int, buckets: int):
@@ -109,15 +110,16 @@ def _runs(window: int, k: int, buckets: int):
         held, rows = [], 0
 
         def flush():
-            anchor, body, doc, place = (np.concatenate(c) for c in zip(*held))
-            anchor, body, doc, place = settle(anchor, body, doc, place, MANY_RUNS)
+            columns = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            anchor, body, doc, tag, place = settle(*columns, MANY_RUNS)
             settled = np.isin(kind_of(place), (REPEATED, ASK))
             bucket = np.where(settled, _bucket(doc, buckets), _bucket(anchor, buckets))
             anchor[settled] = body[settled] = 0  # compresses away
-            return common.bucketed(bucket, anchor=anchor, body=body, doc=doc, place=place)
+            return common.bucketed(bucket, anchor=anchor, body=body, doc=doc, tag=tag, place=place)
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", TEXT_BYTES):
                 words = Words(piece.column("text"))
                 row = words.row_of_word()
                 hashes = hasher.words(words.text, words.start, words.end)
@@ -126,12 +128,12 @@ def _runs(window: int, k: int, buckets: int):
                     continue
                 body = other.sequences(other.prefix(hashes), found.first, found.last + window)
                 doc, tag = (piece.column(c).to_numpy()[found.row] for c in ("doc", "tag"))
-                place = pack(OPEN, tag, found.first - words.bounds[found.row], found.last - found.first + 1)
-                held.append((found.anchor.view(np.int64), body.view(np.int64), doc, place))
+                place = pack(OPEN, found.first - words.bounds[found.row], found.last - found.first + 1)
+                held.append((found.anchor.view(np.int64), body.view(np.int64), doc, tag, place))
                 rows += len(doc)
                 if rows >= FLUSH_ROWS:
                     yield flush()
-                    held, rows = [], 0
+                    rows = 0
         if held:
             yield flush()
 
@@ -139,10 +141,10 @@ def _runs(window: int, k: int, buckets: int):
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    anchor, body, doc, place = (common.flat(table.column(c)) for c in ("anchor", "body", "doc", "place"))
-    done = np.isin(kind_of(place), (REPEATED, ASK))
-    _, _, found, where = settle(anchor[~done], body[~done], doc[~done], place[~done], None)
-    return pa.table({"doc": np.append(doc[done], found), "place": np.append(place[done], where)})
+    columns = [common.flat(table.column(c)) for c in ("anchor", "body", "doc", "tag", "place")]
+    done = np.isin(kind_of(columns[-1]), (REPEATED, ASK))
+    found = settle(*(c[~done] for c in columns), None)
+    return pa.table({n: np.append(c[done], f) for n, c, f in zip(("doc", "tag", "place"), columns[2:], found[2:])})
 
 
 def extensions(window: int, buckets: int):
@@ -156,18 +158,19 @@ def extensions(window: int, buckets: int):
         held, rows = [], 0
 
         def flush():
-            anchor, doc, place = (np.concatenate(c) for c in zip(*held))
+            anchor, doc, tag, place = (np.concatenate(c) for c in zip(*held))
+            held.clear()
             order = np.lexsort((doc, anchor))
-            anchor, doc, place = anchor[order], doc[order], place[order]
+            anchor, doc, tag, place = anchor[order], doc[order], tag[order], place[order]
             heads = common.heads_of(anchor)
             origin = doc[heads][common.run_of(heads, len(doc))]
             later = doc > origin
             place = np.where(later, with_kind(place, REPEATED), place)
             bucket = np.where(later, _bucket(doc, buckets), _bucket(anchor, buckets))
-            return common.bucketed(bucket, anchor=anchor, body=np.where(later, origin, 0), doc=doc, place=place)
+            return common.bucketed(bucket, anchor=anchor, body=np.where(later, origin, 0), doc=doc, tag=tag, place=place)
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", TEXT_BYTES):
                 words = Words(piece.column("text"))
                 prefix = hasher.prefix(hasher.words(words.text, words.start, words.end))
                 places = piece.column("places")
@@ -178,11 +181,11 @@ def extensions(window: int, buckets: int):
                 first, of = np.repeat(first_of(asked), count) + step, np.repeat(of, count)
                 at = words.bounds[of] + first
                 doc, tag = (piece.column(c).to_numpy()[of] for c in ("doc", "tag"))
-                held.append((hasher.sequences(prefix, at, at + window).view(np.int64), doc, pack(OPEN, tag, first, step + 1)))
+                held.append((hasher.sequences(prefix, at, at + window).view(np.int64), doc, tag, pack(OPEN, first, step + 1)))
                 rows += total
                 if rows >= FLUSH_ROWS:
                     yield flush()
-                    held, rows = [], 0
+                    rows = 0
         if held:
             yield flush()
 
@@ -191,59 +194,47 @@ def extensions(window: int, buckets: int):
 
 def compare_extensions(table: pa.Table) -> pa.Table:
     """Windows that a smaller document has too, with the smallest one, or if ``local`` the smallest one in some task."""
-    anchor, body, doc, place = (common.flat(table.column(c)) for c in ("anchor", "body", "doc", "place"))
+    anchor, body, doc, tag, place = (common.flat(table.column(c)) for c in ("anchor", "body", "doc", "tag", "place"))
     done = kind_of(place) == REPEATED
-    found = [(doc[done], place[done], body[done], anchor[done])]
-    anchor, doc, place = anchor[~done], doc[~done], place[~done]
+    found = [(doc[done], tag[done], place[done], body[done], anchor[done])]
+    anchor, doc, tag, place = anchor[~done], doc[~done], tag[~done], place[~done]
     order = np.lexsort((doc, anchor))
-    anchor, doc, place = anchor[order], doc[order], place[order]
+    anchor, doc, tag, place = anchor[order], doc[order], tag[order], place[order]
     heads = common.heads_of(anchor)
     origin = doc[heads][common.run_of(heads, len(doc))]
     later = doc > origin
-    found.append((doc[later], with_kind(place[later], REPEATED), origin[later], anchor[later]))
-    columns = dict(zip(("doc", "place", "origin", "window"), (np.concatenate(c) for c in zip(*found))))
+    found.append((doc[later], tag[later], with_kind(place[later], REPEATED), origin[later], anchor[later]))
+    columns = dict(zip(("doc", "tag", "place", "origin", "window"), (np.concatenate(c) for c in zip(*found))))
     return pa.table(columns | {"local": np.arange(len(columns["doc"])) < done.sum()})
 
 
-def asked_windows(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, window: int, buckets: int) -> DataFrame:
-    """The windows of ``asked (doc, place)`` that a smaller document has too, as :func:`compare_extensions` gives them."""
-    keyed = keyed_documents(docs, id_col, text_col)
-    chosen = keyed.join(_by_document(asked), ["__doc", "__tag"]).select(
-        F.col("__doc").alias("doc"), F.col("__tag").alias("tag"), F.col(text_col).alias("text"), F.col("__places").alias("places")
-    )
+def asked_windows(texts: DataFrame, asked: DataFrame, window: int, buckets: int) -> DataFrame:
+    """The windows of ``asked (doc, tag, place)`` that a smaller document has too, as :func:`compare_extensions` gives them."""
+    chosen = texts.join(_by_document(asked), ["doc", "tag"])
     blobs = chosen.mapInArrow(extensions(window, buckets), _BLOB)
     return blobs.groupBy("bucket").applyInArrow(compare_extensions, _FOUND)
 
 
 def _by_document(marks: DataFrame) -> DataFrame:
-    tag = F.shiftright("place", _WINDOWS + _FIRST).bitwiseAND((1 << _TAG) - 1)
-    return (
-        marks.withColumn("tag", tag)
-        .groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"))
-        .agg(F.collect_list("place").alias("__places"))
-    )
+    return marks.groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, k: int = 5):
-    """``(__doc, __tag, __places)``: per document the runs of windows that also start in a smaller one."""
+def repeated_windows(texts: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
+    """``(doc, tag, places)``: per row of ``texts (doc, tag, text)`` the runs of windows that also start in a smaller document."""
     if not 1 <= k <= window < 1 << _WINDOWS:
         raise ValueError("k must not exceed the window, nor the window 4095 words")
-    texts = keyed_texts(docs, id_col, text_col)
-    buckets = SPARE_BUCKETS * common.parts(docs)
+    buckets = SPARE_BUCKETS * common.parts(texts)
     blobs = texts.mapInArrow(_runs(window, k, buckets), _BLOB)
     marks = common.stored(blobs.groupBy("bucket").applyInArrow(_compare, _MARKS))
-    kind = F.shiftright("place", _WINDOWS + _FIRST + _TAG)
-    later = asked_windows(docs, marks.where(kind == ASK), id_col, text_col, window, buckets)
+    kind = F.shiftright("place", _WINDOWS + _FIRST)
+    later = asked_windows(texts, marks.where(kind == ASK), window, buckets)
     single = F.col("place").bitwiseAND(~((1 << _WINDOWS) - 1)).bitwiseOR(1)
-    return _by_document(marks.where(kind == REPEATED).unionByName(later.select("doc", single.alias("place"))))
+    return _by_document(marks.where(kind == REPEATED).unionByName(later.select("doc", "tag", single.alias("place"))))
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(common.doc_key(id_col).alias("doc"), common.row_tag(text_col).alias("tag"), F.col(text_col).alias("text"))
-
-
-def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"__doc": common.doc_key(id_col), "__tag": common.row_tag(text_col)})
+    """``(doc, tag, text)``: the id as a number, what tells rows of one id apart, and the text."""
+    return docs.select(common.doc_key(id_col).alias("doc"), common.row_tag(docs, id_col, text_col).alias("tag"), F.col(text_col).alias("text"))
 
 
 def covered_words(words: Words, places: pa.Array, window: int) -> np.ndarray:
@@ -293,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(text: pa.Array, places: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([text, places], ["text", "places"])
         out = []
-        for piece in slices(batch, "text"):
+        for piece in slices(batch, "text", TEXT_BYTES):
             words = Words(piece.column("text"))
             covered = covered_words(words, piece.column("places"), window)
             sums = np.append(0, np.cumsum(covered))
@@ -316,9 +307,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append(pa.StructArray.from_arrays(columns, ["n_words", "n_removed", "spans", "kept_text"]))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([]))
 
-    found = repeated_windows(docs, id_col, text_col, window, k)
+    key = {"doc": common.doc_key(id_col), "tag": common.row_tag(docs, id_col, text_col)}
     names = ["n_words", "n_removed", "spans", "kept_text"]
     plain = docs.drop(*[c for c in docs.columns if c in names])
-    joined = keyed_documents(plain, id_col, text_col).join(found, ["__doc", "__tag"], "left")
-    cut_rows = joined.withColumn("__cut", cut(F.col(text_col), F.col("__places")))
-    return cut_rows.select(*[F.col(f"`{c}`") for c in plain.columns], *[F.col(f"__cut.{n}").alias(n) for n in names])
+    found = repeated_windows(docs.select(*[c.alias(n) for n, c in key.items()], F.col(text_col).alias("text")), window, k)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("row"), *[c.alias(n) for n, c in key.items()])
+    cut_rows = held.join(found, ["doc", "tag"], "left").withColumn("cut", cut(F.col("row").getField(text_col), F.col("places")))
+    return cut_rows.select(*[F.col("row").getField(c).alias(c) for c in plain.columns], *[F.col("cut").getField(n).alias(n) for n in names])

@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusloom.llm import common
 from corpusloom.llm.substring import (
-    ASK, OPEN, REPEATED, SPARE_BUCKETS, asked_windows, head_of, keyed_texts, pack, with_kind, _FIRST, _TAG, _WINDOWS,
+    ASK, OPEN, REPEATED, SPARE_BUCKETS, asked_windows, head_of, keyed_texts, pack, with_kind, _FIRST, _WINDOWS,
 )
 from corpusloom.llm.words import Anchors, Hasher, Words, slices
 
 DEPTH, BLOCK_WORDS = 24, 8
 ORDER = ["word0", "word8", "word16", "body", "doc"]
-_SUFFIX = "word0 long, word8 long, word16 long, body long, doc long, place long"
+_SUFFIX = "word0 long, word8 long, word16 long, body long, doc long, tag long, place long"
+_MARKED = "doc long, tag long, place long, origin long, origin_tag long, head long"
 
 
 def _suffixes(min_words: int, k: int):
@@ -47,9 +48,9 @@ def _suffixes(min_words: int, k: int):
                 at = found.place
                 blocks = [hasher.sequences(found.prefix, at + i, at + i + BLOCK_WORDS) for i in range(0, DEPTH, BLOCK_WORDS)]
                 doc, tag = (piece.column(c).to_numpy()[found.row] for c in ("doc", "tag"))
-                place = pack(OPEN, tag, found.first - words.bounds[found.row], found.last - found.first + 1)
-                columns = [*(c.view(np.int64) for c in (*blocks, body)), doc, place]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*ORDER, "place"])
+                place = pack(OPEN, found.first - words.bounds[found.row], found.last - found.first + 1)
+                columns = [*(c.view(np.int64) for c in (*blocks, body)), doc, tag, place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*ORDER, "tag", "place"])
 
     return task
 
@@ -59,11 +60,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     table = pa.Table.from_batches(held)
-    w0, w1, w2, body, doc, place = (table.column(c).to_numpy() for c in (*ORDER, "place"))
+    w0, w1, w2, body, doc, tag, place = (table.column(c).to_numpy() for c in (*ORDER, "tag", "place"))
     n = len(doc)
     groups, runs = common.heads_of(w0, w1, w2), common.heads_of(w0, w1, w2, body)
     of_group, of_run = common.run_of(groups, n), common.run_of(runs, n)
-    origin, head = doc[runs][of_run], (place[runs][of_run] >> _WINDOWS) & ((1 << (_FIRST + _TAG)) - 1)
+    origin, origin_tag, head = doc[runs][of_run], tag[runs][of_run], (place[runs][of_run] >> _WINDOWS) & ((1 << _FIRST) - 1)
     later = doc > origin
     bodies = np.bincount(of_group[runs], minlength=len(groups))
     several = np.maximum.reduceat(doc, groups) > np.minimum.reduceat(doc, groups)
@@ -71,13 +72,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ask = (((bodies > 1) & several)[of_group] | edge) & ~later
     keep = later | ask
     out = np.where(later, with_kind(place, REPEATED), with_kind(place, ASK))
-    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, out, origin, head)], ["doc", "place", "origin", "head"])
+    columns = {"doc": doc, "tag": tag, "place": out, "origin": origin, "origin_tag": origin_tag, "head": head}
+    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns.values()], list(columns))
 
 
-def _smallest(rows: DataFrame, lower: DataFrame, key: str) -> DataFrame:
+def _smallest(rows: DataFrame, lower: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` with the origin that their origin's own row of the same ``key`` has in ``lower``, if it is smaller."""
-    least = lower.groupBy(F.col("doc").alias("origin"), key).agg(F.min("origin").alias("lower"))
-    return rows.join(least, ["origin", key], "left").withColumn("origin", F.least("origin", "lower")).drop("lower")
+    least = lower.groupBy(F.col("doc").alias("origin"), *key).agg(F.min("origin").alias("lower"))
+    return rows.join(least, ["origin", *key], "left").withColumn("origin", F.least("origin", "lower")).drop("lower")
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, k: int = 5) -> DataFrame:
@@ -92,21 +94,23 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not k < min_words - DEPTH + k <= min_words < 1 << _WINDOWS:
         raise ValueError(f"min_words must lie between {DEPTH + 1} and 4095, k below {DEPTH}")
     count = common.parts(docs)
-    suffixes = keyed_texts(docs, id_col, text_col).mapInArrow(_suffixes(min_words, k), _SUFFIX)
+    texts = keyed_texts(docs, id_col, text_col)
+    suffixes = texts.mapInArrow(_suffixes(min_words, k), _SUFFIX)
     in_order = suffixes.repartitionByRange(count, *ORDER).sortWithinPartitions(*ORDER)
-    marks = common.stored(in_order.mapInArrow(_neighbours, "doc long, place long, origin long, head long"))
-    kind = F.shiftright("place", _WINDOWS + _FIRST + _TAG)
-    asked = marks.where(kind == ASK).select("doc", "place")
-    later = asked_windows(docs, asked, id_col, text_col, min_words, SPARE_BUCKETS * count)
+    marks = common.stored(in_order.mapInArrow(_neighbours, _MARKED))
+    kind = F.shiftright("place", _WINDOWS + _FIRST)
+    asked = marks.where(kind == ASK).select("doc", "tag", "place")
+    later = asked_windows(texts, asked, min_words, SPARE_BUCKETS * count)
     # neither join has a hot key: each origin stands for rows of the one task in which it was the smallest
-    settled = _smallest(later.where("local"), later.where("NOT local"), "window").unionByName(later.where("NOT local"))
-    settled = settled.select("doc", F.col("place").bitwiseAND(~((1 << _WINDOWS) - 1)).bitwiseOR(1).alias("place"), "origin", head_of(F.col("place")).alias("head"))
-    repeated = marks.where(kind == REPEATED).select("doc", "place", "origin", "head")
-    found = _smallest(repeated, settled, "head").unionByName(settled)
+    settled = _smallest(later.where("local"), later.where("NOT local"), ["window"]).unionByName(later.where("NOT local"))
+    settled = settled.select("doc", "tag", F.col("place").bitwiseAND(~((1 << _WINDOWS) - 1)).bitwiseOR(1).alias("place"), "origin", head_of(F.col("place")).alias("head"))
+    repeated = marks.where(kind == REPEATED)
+    known = settled.withColumnRenamed("tag", "origin_tag")
+    found = _smallest(repeated, known, ["origin_tag", "head"]).select("doc", "tag", "place", "origin").unionByName(settled.drop("head"))
 
     bits = lambda shift, width: F.shiftright("place", shift).bitwiseAND((1 << width) - 1)
     spans = found.select(
-        "doc", bits(_WINDOWS + _FIRST, _TAG).alias("tag"), bits(_WINDOWS, _FIRST).alias("start"),
+        "doc", "tag", bits(_WINDOWS, _FIRST).alias("start"),
         (bits(_WINDOWS, _FIRST) + bits(0, _WINDOWS) + (min_words - 1)).alias("end"), "origin",
     )
     row = W.partitionBy("doc", "tag").orderBy("start", "end", "origin")

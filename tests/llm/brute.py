@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -60,3 +61,99 @@ def near(rows, k=4, percent=80):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+
+
+def _damaged(rows):
+    """conv -> (turn, role, text) rows after damage, in order."""
+    by = {}
+    for c, t, role, text in rows:
+        held = by.setdefault(c, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        key = ":".join(" " if v is None else str(v) for v in (c, t))
+        kind = zlib.crc32(key.encode()) % 20
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        held += [(t, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    for held in by.values():
+        held.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).digest()))
+    return by
+
+
+NEXT = {"": "u", "s": "u", "u": "a", "a": "u"}
+ROLE = {"u": "user", "a": "assistant"}
+
+
+def repairs(rows):
+    """conv -> (gaps, blank, duplicate, truncated, illegal, cost, audit, digest), row by row over whole audits and outputs."""
+    out = {}
+    for conv, held in _damaged(rows).items():
+        seen, faults = set(), []
+        for _, role, text in held:
+            said = words(text)
+            faults.append("blank" if not said else "duplicate" if (role, text) in seen else "" if said[-1][-1] in ".!?" else "truncated")
+            seen.add((role, text))
+        turns = {t for t, _, _ in held if t is not None}
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(held, held[1:]))
+        best = {"": (0, "", ())}
+
+        def put(states, state, found):
+            if state not in states or found[:2] < states[state][:2]:
+                states[state] = found
+
+        def inserted(states):
+            for _ in range(3):
+                for s, (cost, audit, lines) in list(states.items()):
+                    put(states, NEXT[s], (cost + 3, audit + "I", (*lines, ROLE[NEXT[s]] + ":")))
+            return states
+
+        best = inserted(best)
+        for (_, role, text), fault in zip(held, faults):
+            new, extra = {}, 3 if fault == "truncated" else 0
+            for s, (cost, audit, lines) in best.items():
+                put(new, s, (cost + 4, audit + "D", lines))
+                if fault in ("blank", "duplicate"):
+                    continue
+                if role[:1] == NEXT[s] or (s, role[:1]) == ("", "s"):
+                    put(new, role[:1], (cost + extra, audit + "K", (*lines, f"{role}:{text}")))
+                put(new, NEXT[s], (cost + 3 + extra, audit + "R", (*lines, f"{ROLE[NEXT[s]]}:{text}")))
+            best = inserted(new)
+        cost, audit, lines = min((best[s] for s in ("", "a") if s in best), key=lambda b: b[:2])
+        count = collections.Counter(faults)
+        out[conv] = (gaps, count["blank"], count["duplicate"], count["truncated"], illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def trie(rows, share):
+    """(conv_id, depth) -> (parent, members, children, leaves, saved tokens, digest of ends)."""
+    turns = collections.defaultdict(list)
+    for c, t, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0)):
+        turns[c].append((role or "", text or ""))
+    names = {}  # a node's number by the number of the node above and the turn
+    members, ends, children, depth, said = (collections.defaultdict(list) for _ in range(5))
+    for c in sorted(turns):
+        h = zlib.crc32(str(c).encode()) % 4
+        node, path = 0, turns.get(c - c % 20, [])[:h] + turns[c][h:] if share else turns[c]
+        members[0].append(c)
+        for d, turn in enumerate(path):
+            above, node = node, names.setdefault((node, turn), len(names) + 1)
+            if not members[node]:
+                children[above].append(node)
+                depth[node], said[node] = d + 1, (above, len(words(turn[1])))
+            members[node].append(c)
+        ends[node].append(c)
+    leaves, saved = collections.Counter(), collections.Counter()
+    for node in sorted(members, reverse=True):  # children have larger numbers
+        leaves[node] = leaves[node] or 1
+        if node:
+            above, n = said[node]
+            saved[node] += (len(members[node]) - 1) * n
+            leaves[above] += leaves[node]
+            saved[above] += saved[node]
+    digest = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    return {
+        (members[n][0], depth[n] or 0): (members[said[n][0]][0] if n else None, len(members[n]), len(children[n]), leaves[n], saved[n], digest(ends[n]))
+        for n in list(members)
+    }
