@@ -18,29 +18,15 @@ HIT = "\ufdd1"
 BLANKS = r"[ \t\r\n]"
 
 
-def _boundary(hit: str = "") -> str:
-    """End punctuation (group 1) and the blanks after it (group 2) wherever a sentence ends.
-
-    With ``hit`` the text may hold that mark, at most once, before any character; the rule reads past it.
-    A mark before the blanks stays with group 1, one after them with the next sentence.
-    """
-    h = f"{hit}?" if hit else ""
-    starts_token = rf"(?<![^ \t\r\n{hit}])" + (rf"(?<![^ \t\r\n]{hit})" if hit else "")
-    blanks = rf"{BLANKS}(?:{h}{BLANKS})*"
-    not_ellipsis = rf"(?<!\.{h}\.{h})"
-    not_initial = rf"(?!(?<={starts_token}\p{{L}}{h}\.{h}){blanks}{h}\p{{L}})"
-    return rf"""([.!?](?:{h}["')\]}}])*{h}){not_ellipsis}{not_initial}({blanks})"""
-
-
-def _ordinal(hit: str = "") -> str:
-    """A cut after a number before a lower-case letter, taken back once the cuts are marked.
-
-    The number is read forwards from the start of its token, so it may have any length.
-    """
-    h = f"{hit}?" if hit else ""
-    starts_token = rf"(?<![^ \t\r\n{MARK}{hit}])" + (rf"(?<![^ \t\r\n{MARK}]{hit})" if hit else "")
-    blanks = rf"{BLANKS}(?:{h}{BLANKS})*"
-    return rf"({starts_token}[0-9,{hit}]+\.{h}){MARK}({blanks}){MARK}(?={h}\p{{Ll}})"
+#: End punctuation (group 1) and the blanks after it (group 2) wherever a sentence ends.
+_BOUNDARY = (
+    r"""([.!?]["')\]}]*)(?<!\.\.)"""
+    rf"""(?!(?<=(?<![^ \t\r\n])\p{{L}}\.){BLANKS}+\p{{L}})"""
+    rf"""({BLANKS}+)"""
+)
+#: A cut after a number before a lower-case letter, taken back once the cuts are marked.
+#: The number is read forwards from the start of its token, so it may have any length.
+_ORDINAL = rf"((?<![^ \t\r\n{MARK}])[0-9,]+\.){MARK}({BLANKS}+){MARK}(?=\p{{Ll}})"
 
 
 def without_marks(text: Column) -> Column:
@@ -50,10 +36,10 @@ def without_marks(text: Column) -> Column:
     return text
 
 
-def _pieces(text: Column, hit: str = "") -> Column:
+def _pieces(text: Column) -> Column:
     """Alternating sentences and the blanks between them; joined they give the text back."""
-    marked = F.regexp_replace(text, _boundary(hit), f"$1{MARK}$2{MARK}")
-    return F.split(F.regexp_replace(marked, _ordinal(hit), "$1$2"), MARK)
+    marked = F.regexp_replace(text, _BOUNDARY, f"$1{MARK}$2{MARK}")
+    return F.split(F.regexp_replace(marked, _ORDINAL, "$1$2"), MARK)
 
 
 def _trim_last(piece: Column) -> Column:
@@ -90,17 +76,27 @@ def sentence_spans(text: Column) -> Column:
     )
 
 
-def sentence_of_matches(text: Column, java_regex: str, last: Column) -> Column:
+def sentence_starts(text: Column) -> Column:
+    """``array<int>``: where each sentence begins, blank ones included."""
+    starts = let(_pieces(without_marks(text)), lambda pieces: running_total(F.transform(pieces, F.length)))
+    return F.filter(starts, lambda _, i: i % 2 == 0)
+
+
+def sentence_of_matches(text: Column, java_regex: str, starts: Column, last: Column) -> Column:
     """Sentence number of each match, ``array<int>`` in text order, by where the match starts.
 
-    Matches are found in the whole text and marked; the text is then cut into sentences around the
-    marks, so the work is linear in the text. ``last`` is the number of the last sentence: a match in
-    trailing blanks belongs to it, one in blanks between sentences to the sentence before.
+    Matches are found in the whole text and marked, so the lengths between the marks give their places. Sorted in with
+    the sentences' ``starts``, the j-th match has so many starts before it as its place in the order exceeds j. ``last`` is the
+    number of the last sentence: a match in trailing blanks belongs to it, one in blanks between sentences to the
+    sentence before.
     """
-    marked = F.regexp_replace(without_marks(text), java_regex, f"{HIT}$0")
+    between = F.split(F.regexp_replace(without_marks(text), java_regex, f"{HIT}$0"), HIT)
 
-    def hits(piece: Column, i: Column) -> Column:
-        count = F.when(F.contains(piece, F.lit(HIT)), F.size(F.split(piece, HIT)) - 1).otherwise(0)
-        return F.array_repeat(F.least(F.floor(i / 2).cast("int"), last), count)
+    def numbers(offsets: Column) -> Column:
+        places = F.slice(offsets, F.lit(2), F.size(offsets))
+        at = lambda kind: lambda x: F.struct(x.alias("at"), F.lit(kind).alias("kind"))
+        both = F.array_sort(F.concat(F.transform(starts, at(0)), F.transform(places, at(1))))
+        ranks = F.filter(F.transform(both, lambda x, i: F.when(x["kind"] == 1, i)), F.isnotnull)
+        return F.transform(ranks, lambda rank, j: F.greatest(F.lit(0), F.least(rank - j - 1, last)))
 
-    return F.flatten(F.transform(_pieces(marked, HIT), hits))
+    return let(running_total(F.transform(between, F.length)), numbers)

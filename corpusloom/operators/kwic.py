@@ -87,7 +87,7 @@ def _sentence_numbers(text: Column, sents: Column, patterns: Sequence[str]) -> C
         return F.array(*[per_sentence(p) for p in patterns])
 
     last = F.size(sents) - 1
-    found = F.array(*[S.sentence_of_matches(text, P.java_regex(p), last) for p in patterns])
+    found = let(S.sentence_starts(text), lambda starts: F.array(*[S.sentence_of_matches(text, P.java_regex(p), starts, last) for p in patterns]))
     return F.when(F.size(sents) > 0, found)
 
 
