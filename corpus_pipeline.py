@@ -32,7 +32,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows that share an id are judged by their text each.
     """
-    own, columns = _aside(docs, "quality toxic keep bad")
+    own, columns = _aside(docs, "quality toxicity keep")
     return fit(own, _table(spark, sf_dir, "labels")).score(own).where("keep").select(*columns)
 
 
