@@ -20,6 +20,7 @@ from corpusloom.operators.cluster import cluster_sizes, density_cluster
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.ctfidf import ctfidf, group_similarity, term_weights
 from corpusloom.operators.encode import clip_rows, encode_text, model_encoder
+from corpusloom.operators.hierarchy import density_hierarchy
 from corpusloom.operators.kwic import kwic
 from corpusloom.operators.learn import (
     Learner,
@@ -36,6 +37,7 @@ from corpusloom.operators.learn import (
     train_predict,
 )
 from corpusloom.operators.matchcount import match_counter
+from corpusloom.operators.matchmany import match_counts
 from corpusloom.operators.reduce import reduce_dims
 from corpusloom.operators.relational import append_column, filter_mapper, filter_view, join_views, with_row_id
 from corpusloom.operators.segment import split_sentences, with_sentence_spans
@@ -53,6 +55,7 @@ __all__ = [
     "connected_components",
     "ctfidf",
     "density_cluster",
+    "density_hierarchy",
     "detect_language",
     "encode_text",
     "filter_mapper",
@@ -71,6 +74,7 @@ __all__ = [
     "load_learner",
     "map_text_where",
     "match_counter",
+    "match_counts",
     "model_encoder",
     "model_scorer",
     "nearest_per_column",

@@ -333,6 +333,12 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT vec_id, list_append(CAST(embedding AS DOUBLE[]), CAST(label AS DOUBLE)) AS f FROM embeddings)""",
         "validate_collection": """SELECT doc_id, CASE WHEN lang = 'es' THEN 'corpusName is missing; ' ELSE '' END
             || 'date is not timestamp' AS errors FROM documents""",
+        "match_counts": """WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM benchmark),
+            low AS (SELECT doc_id, lower(text) AS text FROM documents),
+            found AS (SELECT doc_id, word, CAST((length(text) - length(replace(text, word, ''))) // length(word) AS BIGINT) AS n
+                      FROM low JOIN words ON contains(text, word))
+            SELECT doc_id, word AS node, n FROM found
+            UNION ALL SELECT doc_id, 'initial ' || left(word, 1), CAST(sum(n) AS BIGINT) FROM found GROUP BY ALL""",
         "density_cluster": f"WITH RECURSIVE {_COMPONENTS} SELECT vec_id, hdbscan, CASE WHEN hdbscan < 0 THEN 0.0 ELSE hdbscan_p END AS hdbscan_p FROM clustered",
         "cluster_sizes": f"WITH RECURSIVE {_COMPONENTS} SELECT hdbscan, count(*) AS count FROM clustered GROUP BY hdbscan",
         "parse_labels": f"WITH {_LABELLED} SELECT doc_id, array_to_string(ls, '|') AS labels FROM parsed",

@@ -216,6 +216,16 @@ def kwic_no_overlap(spark, sf_dir):
     return _kwic(spark, sf_dir, KEYWORDS, no_overlap=True)
 
 
+def match_counts(spark, sf_dir):
+    """Every word of the benchmark, and all words of an initial, in every document."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")
+    words = table(spark, sf_dir, "benchmark").select(word).distinct().orderBy("word")
+    dictionary = words.select(F.concat(F.lit("initial "), F.left("word", F.lit(1))).alias("initial"), "word", F.col("word").alias("regex"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    counted = op.match_counts(docs, "text", dictionary, ["initial", "word"], "regex")
+    return counted.select("doc_id", F.explode("matches").alias("node", "n"))
+
+
 def match_counter(spark, sf_dir):
     docs = documents(spark, sf_dir)
     counted = op.match_counter(docs, "text", DICTIONARY, ["category", "language"], "regex", "exact")
@@ -371,6 +381,12 @@ def density_cluster(spark, sf_dir):
     return _rounded(clustered.select("vec_id", "hdbscan", "hdbscan_p"), "hdbscan_p")
 
 
+def density_hierarchy(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    clustered = op.density_hierarchy(vectors, "embedding", "vec_id", include_p=True)
+    return _rounded(clustered.select("vec_id", "hdbscan", "hdbscan_p"), "hdbscan_p")
+
+
 def cluster_sizes(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return op.cluster_sizes(op.density_cluster(vectors, "embedding", EPS, "vec_id"))
@@ -474,6 +490,7 @@ QUERIES: dict[str, Query] = {
     "kwic_phrases": kwic_phrases,
     "kwic_no_overlap": kwic_no_overlap,
     "match_counter": match_counter,
+    "match_counts": match_counts,
     "detect_language": detect_language,
     "language_stats": language_stats,
     "standardize_dates": standardize_dates,
@@ -491,6 +508,7 @@ QUERIES: dict[str, Query] = {
     "validate_collection": validate_collection,
     "reduce_dims": reduce_dims,
     "density_cluster": density_cluster,
+    "density_hierarchy": density_hierarchy,
     "cluster_sizes": cluster_sizes,
     "parse_labels": parse_labels_docs,
     "label_classes": label_classes,
