@@ -9,6 +9,7 @@ from corpusloom.operators.annotate import (
     sentiment,
     text_model,
 )
+from corpusloom.operators.boundaries import BoundaryModel, abbreviation_scores, learn_boundaries, learned_spans, starter_scores
 from corpusloom.operators.cleanup import (
     detect_language,
     language_stats,
@@ -43,7 +44,9 @@ from corpusloom.operators.relational import append_column, filter_mapper, filter
 from corpusloom.operators.segment import split_sentences, with_sentence_spans
 
 __all__ = [
+    "BoundaryModel",
     "Learner",
+    "abbreviation_scores",
     "append_column",
     "binarize_labels",
     "class_names",
@@ -69,6 +72,8 @@ __all__ = [
     "join_views",
     "kwic",
     "label_classes",
+    "learn_boundaries",
+    "learned_spans",
     "language_stats",
     "lexicon_scorer",
     "load_learner",
@@ -85,6 +90,7 @@ __all__ = [
     "sentiment",
     "split_sentences",
     "standard_cleanup",
+    "starter_scores",
     "standardize_dates",
     "term_weights",
     "text_model",

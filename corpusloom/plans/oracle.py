@@ -257,6 +257,36 @@ _COMPONENTS = f"""vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM
                   LEFT JOIN clusters USING (component) LEFT JOIN cores ON vec_id = cores.id)"""
 
 
+def _bare(token: str) -> str:
+    return rf"""regexp_replace(regexp_replace(lower({token}), '^["''(\[{{]+', ''), '["'')\]}},;:]+$', '')"""
+
+
+def _type(bare: str) -> str:
+    kept = f"regexp_replace({bare}, '[.!?]+$', '')"
+    return f"CASE WHEN regexp_matches({kept}, '^[0-9][0-9.,]*$') THEN '##number##' ELSE {kept} END"
+
+
+def _mark(bare: str) -> str:
+    return f"CASE WHEN regexp_matches({bare}, '[!?]$') THEN '!' WHEN regexp_matches({bare}, '(^|[^.])[.]$') THEN '.' ELSE '' END"
+
+
+def _likely(k: str, n: str, p: str) -> str:
+    return f"(CASE WHEN ({k}) > 0 THEN ({k}) * ln({p}) ELSE 0 END + CASE WHEN ({n}) - ({k}) > 0 THEN (({n}) - ({k})) * ln(1 - ({p})) ELSE 0 END)"
+
+
+_TYPES = rf"""token_lists AS (SELECT list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS t FROM documents),
+    words AS (SELECT {_bare("token")} AS bare FROM (SELECT unnest(t) AS token FROM token_lists)),
+    counted AS (SELECT {_type("bare")} AS type, {_mark("bare")} AS mark, count(*) AS n FROM words GROUP BY 1, 2 HAVING type <> ''),
+    totals AS (SELECT CAST(sum(n) AS DOUBLE) AS tokens, CAST(sum(n) FILTER (mark = '.') AS DOUBLE) AS periods FROM counted),
+    typed AS (SELECT type, CAST(coalesce(sum(n) FILTER (mark = '.'), 0) AS BIGINT) AS with_period,
+                     CAST(coalesce(sum(n) FILTER (mark <> '.'), 0) AS BIGINT) AS without_period FROM counted GROUP BY 1),
+    scored AS (SELECT type, with_period, without_period,
+                      2 * (with_period * (ln(0.99) - ln(periods / tokens)) + without_period * (ln(0.01) - ln(greatest(1 - periods / tokens, 1e-300))))
+                      * exp(-length(replace(type, '.', ''))) * (length(type) - length(replace(type, '.', '')) + 1)
+                      * exp(-without_period * ln(CAST(length(replace(type, '.', '')) AS DOUBLE))) AS score
+               FROM typed, totals WHERE with_period > 0 AND regexp_matches(type, '\p{{L}}'))"""
+
+
 def oracle_sql() -> dict[str, str]:
     masters = [k + r"[ \t\r\n]+[a-z]+" for k in KEYWORDS]
     joined = """SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, c_nationkey, o_orderkey, o_totalprice
@@ -333,6 +363,21 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT vec_id, list_append(CAST(embedding AS DOUBLE[]), CAST(label AS DOUBLE)) AS f FROM embeddings)""",
         "validate_collection": """SELECT doc_id, CASE WHEN lang = 'es' THEN 'corpusName is missing; ' ELSE '' END
             || 'date is not timestamp' AS errors FROM documents""",
+        "abbreviation_scores": f"WITH {_TYPES} SELECT type, with_period, without_period, round(score, 4) AS score FROM scored",
+        "starter_scores": f"""WITH {_TYPES},
+            pairs AS (SELECT list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}}) AS ps FROM token_lists),
+            ends AS (SELECT p.a AS a, p.b AS b FROM (SELECT unnest(ps) AS p FROM pairs) WHERE regexp_matches(p.a, '[.!?]["'')\\]}},;:]*$')),
+            marked AS (SELECT {_type(_bare("a"))} AS type, {_mark(_bare("a"))} AS mark, {_type(_bare("b"))} AS next FROM ends),
+            kept AS (SELECT next FROM marked WHERE mark <> '' AND next <> '' AND type IS NOT NULL
+                     AND NOT (mark = '.' AND type IN (SELECT type FROM scored WHERE score >= 0.3))),
+            behind AS (SELECT next AS type, count(*) AS behind FROM kept GROUP BY 1),
+            sums AS (SELECT type, CAST(sum(n) AS BIGINT) AS n FROM counted GROUP BY 1),
+            four AS (SELECT type, n, behind, CAST((SELECT count(*) FROM kept) AS DOUBLE) AS a, CAST(n AS DOUBLE) AS b,
+                            CAST(least(behind, n) AS DOUBLE) AS k, CAST((SELECT sum(n) FROM counted) AS DOUBLE) AS t
+                     FROM sums JOIN behind USING (type) WHERE regexp_matches(type, '\\p{{L}}')),
+            ratios AS (SELECT type, n, behind, k * t > a * b AS more, 2 * ({_likely("k", "a", "k / a")} + {_likely("b - k", "t - a", "(b - k) / (t - a)")}
+                              - {_likely("k", "a", "b / t")} - {_likely("b - k", "t - a", "b / t")}) AS ratio FROM four)
+            SELECT type, n, behind, round(CASE WHEN more THEN ratio ELSE -ratio END, 4) AS score FROM ratios""",
         "match_counts": """WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM benchmark),
             low AS (SELECT doc_id, lower(text) AS text FROM documents),
             found AS (SELECT doc_id, word, CAST((length(text) - length(replace(text, word, ''))) // length(word) AS BIGINT) AS n

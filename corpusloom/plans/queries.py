@@ -187,6 +187,23 @@ def sentence_spans_docs(spark, sf_dir):
     )
 
 
+def abbreviation_scores(spark, sf_dir):
+    scores = op.abbreviation_scores(documents(spark, sf_dir), "text")
+    return scores.withColumn("score", F.round("score", 4))
+
+
+def starter_scores(spark, sf_dir):
+    scores = op.starter_scores(documents(spark, sf_dir).select("text"), "text")
+    return scores.withColumn("score", F.round("score", 4))
+
+
+def learned_sentences(spark, sf_dir):
+    """Sentences by boundaries learned from all documents."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = op.learn_boundaries(docs, "text")
+    return docs.select("doc_id", F.posexplode(op.learned_spans(F.col("text"), model)).alias("n", "span")).select("doc_id", "n", "span.*")
+
+
 def segment_sentences(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
     return op.split_sentences(docs, "text", 8, "segment").select("doc_id", "lang", "segment")
@@ -490,6 +507,9 @@ QUERIES: dict[str, Query] = {
     "kwic_phrases": kwic_phrases,
     "kwic_no_overlap": kwic_no_overlap,
     "match_counter": match_counter,
+    "abbreviation_scores": abbreviation_scores,
+    "starter_scores": starter_scores,
+    "learned_sentences": learned_sentences,
     "match_counts": match_counts,
     "detect_language": detect_language,
     "language_stats": language_stats,
