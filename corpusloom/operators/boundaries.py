@@ -42,15 +42,20 @@ def _counted(df: DataFrame, text: Column) -> DataFrame:
 
 def abbreviation_scores(df: DataFrame, text_col: str) -> DataFrame:
     """``(type, with_period, without_period, score)`` of all types that stand before a period and hold a letter."""
-    return _scores(_counted(df, F.col(text_col)))
+    return _scores(written(_counted(df, F.col(text_col))))
+
+
+def _sum(df: DataFrame, *values: Column) -> tuple:
+    """Totals over all rows as numbers."""
+    return tuple(v or 0 for v in df.agg(*[F.sum(v) for v in values]).first())
 
 
 def _scores(counts: DataFrame) -> DataFrame:
     period = F.when(F.col("mark") == ".", F.col("n")).otherwise(0)
-    total = counts.agg(F.sum("n").alias("tokens"), F.sum(period).alias("periods"))  # one row
+    tokens, periods = _sum(counts, F.col("n"), period)
     types = counts.groupBy("type").agg(F.sum(period).alias("with_period"), F.sum(F.col("n") - period).alias("without_period"))
-    types = types.where(F.col("type").rlike(r"\p{L}") & (F.col("with_period") > 0)).join(F.broadcast(total))
-    chance = F.col("periods") / F.col("tokens")
+    types = types.where(F.col("type").rlike(r"\p{L}") & (F.col("with_period") > 0))
+    chance = F.lit(periods / tokens if tokens else 1.0)
     with_, without = F.col("with_period"), F.col("without_period")
     # All tokens before a period would make the chance 1; the logarithm of the rest is then never needed.
     ratio = 2 * (with_ * (F.log(F.lit(0.99)) - F.log(chance)) + without * (F.log(F.lit(0.01)) - F.log(F.greatest(1 - chance, F.lit(1e-300)))))
@@ -101,11 +106,11 @@ def starter_scores(df: DataFrame, text_col: str, abbreviation: float = ABBREVIAT
 
 
 def _starters(counts: DataFrame, pairs: DataFrame, abbreviations: DataFrame) -> DataFrame:
-    ends = pairs.join(abbreviations.withColumn("short", F.lit(True)), "type", "left").where("short IS NULL OR mark <> '.'")
+    ends = written(pairs.join(abbreviations.withColumn("short", F.lit(True)), "type", "left").where("short IS NULL OR mark <> '.'"))
     behind = ends.groupBy(F.col("next").alias("type")).agg(F.sum("n").alias("behind"))
-    totals = counts.agg(F.sum("n").alias("tokens")).join(ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ends")))  # one row each
-    types = counts.groupBy("type").agg(F.sum("n").alias("n")).join(behind, "type").join(F.broadcast(totals))
-    score = _together(F.col("ends"), F.col("n"), F.least("behind", "n"), F.col("tokens"))
+    (tokens,), (breaks,) = _sum(counts, F.col("n")), _sum(ends, F.col("n"))
+    types = counts.groupBy("type").agg(F.sum("n").alias("n")).join(behind, "type")
+    score = _together(F.lit(float(breaks)), F.col("n"), F.least("behind", "n"), F.lit(float(tokens)))
     return types.where(F.col("type").rlike(r"\p{L}")).select("type", "n", "behind", score.alias("score"))
 
 
@@ -120,14 +125,14 @@ def learn_boundaries(
     short = written(_scores(counts).where(F.col("score") >= abbreviation).select("type"))
     starts = _starters(counts, pairs, short).where(F.col("score") >= starter).select("type")
     n = counts.groupBy("type").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n").alias("tokens"))
+    (tokens,) = _sum(counts, F.col("n"))
     periods = pairs.where("mark = '.'").groupBy("type", "next").agg(F.sum("n").alias("both"))
-    joined = periods.join(n.withColumnRenamed("n", "a"), "type").join(n.select(F.col("type").alias("next"), F.col("n").alias("b")), "next").join(F.broadcast(total))
+    joined = periods.join(n.withColumnRenamed("n", "a"), "type").join(n.select(F.col("type").alias("next"), F.col("n").alias("b")), "next")
     # Only words that rules or the list above do not take for a sentence's last one: initials, numbers and abbreviations.
     weak = (F.length("type") == 1) | (F.col("type") == NUMBER)
     joined = joined.join(short.withColumn("short", F.lit(True)), "type", "left").where(weak | F.col("short"))
     least = F.least("both", "a", "b")
-    strong = joined.where(_together(F.col("a"), F.col("b"), least, F.col("tokens")) >= collocation)
+    strong = joined.where(_together(F.col("a"), F.col("b"), least, F.lit(float(tokens))) >= collocation)
     words = lambda frame, column: sorted(r[0] for r in frame.select(column).collect())
     return BoundaryModel(words(short, "type"), words(starts, "type"), words(strong, F.concat_ws(" ", "type", "next")))
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
+from corpusloom.plans import source_queries
 from corpusloom.functions.dates import MONTHS
 from corpusloom.functions.sentences import MARK
 from corpusloom.functions.stopwords import stop_words
@@ -291,7 +292,7 @@ def oracle_sql() -> dict[str, str]:
     masters = [k + r"[ \t\r\n]+[a-z]+" for k in KEYWORDS]
     joined = """SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, c_nationkey, o_orderkey, o_totalprice
         FROM customer {} JOIN orders ON c_custkey = o_custkey"""
-    return {
+    return source_queries.ORACLE_SQL | {
         "ctfidf_lang": _ctfidf("lang", "text", 20, "english"),
         "ctfidf_source_tf": _ctfidf("source", "text", 10, "german", True),
         "ctfidf_two_groups": _ctfidf(

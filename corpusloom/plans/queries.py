@@ -11,6 +11,7 @@ from corpusloom.functions.labels import parse_labels
 from corpusloom.functions.sentences import sentence_spans
 from corpusloom.functions.text import combine_text, lowercase, normalize_whitespace
 from corpusloom.functions.vectors import combine_features, stringify, unstringify
+from corpusloom.plans import source_queries
 from corpusloom.runtime import spread
 from corpusloom.sources.collections import validation_errors
 
@@ -540,4 +541,4 @@ QUERIES: dict[str, Query] = {
     "query_set_length": query_set_length,
     "classwise_length": classwise_length,
     "nearest_per_column": nearest_per_column,
-}
+} | source_queries.QUERIES

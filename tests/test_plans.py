@@ -60,7 +60,9 @@ def test_ctfidf_limits_before_the_window_and_reuses_the_counts(spark):
     assert len([line for line in scans(final) if "text:string" in line]) == 1
 
 
-EAGER = {"density_cluster", "cluster_sizes", "train_predict", "train_multilabel", "query_set", "classwise_query_set", "reduce_dims"}
+EAGER = {"density_cluster", "cluster_sizes", "train_predict", "train_multilabel", "query_set", "classwise_query_set", "reduce_dims"} | {
+    "density_hierarchy", "abbreviation_scores", "starter_scores", "learned_sentences", "saved_learner"
+}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
