@@ -121,17 +121,20 @@ _MATCHES = "doc_id long, license string, coverage double, matched_words long, st
 
 
 def scan_licenses(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | DataFrame | None = None,
     coverage: float = 0.8, k: int = K, winnow: int = WINNOW, band: int = BAND,
 ) -> DataFrame:
     """``(doc_id, license, coverage, matched_words, start_word, end_word)``, one row per match of a template.
 
     ``coverage`` is the share of the template's words that the alignment matched; matches below the parameter are
     left out. ``end_word`` lies behind the last matched word. Two matches of a template in one document do not
-    overlap, but may touch. Templates shorter than ``k`` words are not looked for. Null and empty texts match nothing; a
+    overlap, but may touch. ``templates`` map names to texts, or are a table ``(license, text)``, as read from a folder of
+    licence texts. Templates shorter than ``k`` words are not looked for. Null and empty texts match nothing; a
     null id stays null; each of several rows with one id gives its own matches. Extra columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
+    if isinstance(templates, DataFrame):
+        templates = {r["license"]: r["text"] for r in templates.where("license IS NOT NULL AND text IS NOT NULL").orderBy("license", "text").select("license", "text").collect()}
     names = list(templates)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

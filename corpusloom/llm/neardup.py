@@ -1,17 +1,16 @@
 """Near-duplicate documents: MinHash signatures, multi-index Hamming join, exact confirmation.
 
-A signature has ``SLOTS`` symbols, one minimum per hash function. Two documents of Jaccard similarity J differ in
-each with probability 1 - J; the join finds every pair that differs in at most ``DISTANCE`` of them (at J = 0.8 a
-pair exceeds that with probability below 1e-6). The signature is split into chunks of ``CHUNK`` symbols, of which
-``ERRORS`` may differ: each way to leave that many out gives a key, so one matching symbol of a chunk of two is
-enough. By pigeonhole a pair within the distance has at least ``SHARED`` keys in common, and still has one after
-each side has dropped its ``SHARED`` - 1 most frequent keys. That removes the keys of common lines and passages
-without losing a pair.
+A signature has ``SLOTS`` symbols of ``BITS`` bits, the low bits of one minimum per hash function. Two documents of Jaccard
+similarity J differ in each with a probability of 1 - J at most; the join finds every pair that differs in at most
+``DISTANCE`` of them (at J = 0.8 a pair exceeds that with probability below 1e-6). The signature is split into chunks of
+``CHUNK`` symbols. By pigeonhole a pair within the distance has a chunk with at most ``ERRORS`` errors, so every way to
+leave that many symbols out gives a key, made of the chunk's other symbols. Such a pair has at least ``SHARED`` keys in
+common, and still has one after each side has dropped its ``SHARED`` - 1 most frequent keys.
 
 Documents with equal sets are one node from the start. In every bucket of a key the members are first compared
 with one leader, which settles groups of copies in linear work; members of buckets that still hold several
 components are then compared with each other, by bands of similar size and in blocks, inside tasks. A candidate goes
-on if a sketch of ``BINS`` bins, each with the smallest shingle hash that falls into it, allows the similarity within
+on if its signatures are within the distance and a sketch of ``BINS`` bins, each with the smallest shingle hash that falls into it, allows the similarity within
 ``SURE`` standard deviations, and is then confirmed on the full sets.
 """
 
@@ -28,7 +27,7 @@ from corpusloom.llm import common
 from corpusloom.llm.words import Hasher, Words, mix, slices
 from corpusloom.operators.components import connected_components
 
-SLOTS, CHUNK, ERRORS, DISTANCE = 64, 2, 1, 30
+SLOTS, BITS, CHUNK, ERRORS, DISTANCE = 64, 16, 4, 1, 30
 BLOCK = 512
 BINS, SURE = 1024, 5.3
 
@@ -73,7 +72,7 @@ def distinct_shingles(words: Words, hasher: Hasher, k: int) -> tuple[np.ndarray,
 
 
 def minima(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One row of SLOTS minimum hashes per non-empty set."""
+    """One row of SLOTS symbols per non-empty set: the low bits of its minimum hashes."""
     heads = (np.cumsum(sizes) - sizes)[sizes > 0]
     factor = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(77)) | np.uint64(1)
     out = np.empty((len(heads), SLOTS), np.uint64)
@@ -82,7 +81,7 @@ def minima(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(29)
         h *= factor[i]
         out[:, i] = np.minimum.reduceat(h, heads) if len(heads) else 0
-    return out
+    return mix(out) & np.uint64((1 << BITS) - 1)
 
 
 def bins(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -107,7 +106,12 @@ def keys_of(symbols: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-_SKETCH = "doc long, size long, set_a long, set_b long, keys array<long>, signature binary"
+def within_distance(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether signatures differ in at most DISTANCE symbols."""
+    return np.count_nonzero(one != others, axis=1) <= DISTANCE
+
+
+_SKETCH = "doc long, size long, set_a long, set_b long, keys array<long>, signature binary, sketch binary"
 
 
 def _sketch(k: int):
@@ -124,6 +128,8 @@ def _sketch(k: int):
                 keys = keys_of(symbols)
                 full = np.zeros((words.rows, keys.shape[1]), np.uint64)
                 full[sizes > 0] = keys
+                signature = np.zeros((words.rows, SLOTS), np.uint16)
+                signature[sizes > 0] = symbols
                 signs = bins(shingles, sizes)
                 yield pa.RecordBatch.from_pydict({
                     "doc": piece.column("doc"),
@@ -131,14 +137,21 @@ def _sketch(k: int):
                     "set_a": pa.array((sums[ends] - sums[ends - sizes]).view(np.int64)),
                     "set_b": pa.array((other[ends] - other[ends - sizes]).view(np.int64)),
                     "keys": common.lists(full.reshape(-1), np.arange(words.rows) * keys.shape[1]),
-                    "signature": pa.array([x.tobytes() for x in signs], pa.binary()),
+                    "signature": _binary(signature),
+                    "sketch": _binary(signs),
                 })
 
     return task
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
+def _matrix(column, width: int = BINS, kind=np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def _allows(one: np.ndarray, others: np.ndarray, size: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -154,7 +167,9 @@ def _allows(one: np.ndarray, others: np.ndarray, size: np.ndarray, sizes: np.nda
 def _near(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (_matrix(batch.column(f"sign_{s}")) for s in "ab")
+            near = within_distance(*(_matrix(batch.column(f"sign_{s}"), SLOTS, np.uint16) for s in "ab"))
+            batch = batch.filter(pa.array(near))
+            a, b = (_matrix(batch.column(f"sketch_{s}")) for s in "ab")
             n, m = (batch.column(f"size_{s}").to_numpy() for s in "ab")
             yield batch.select(["a", "b"]).filter(pa.array(_allows(a, b, n, m, percent)))
 
@@ -183,7 +198,7 @@ def _confirm(k: int, percent: int):
 
 
 def _within(percent: int):
-    """Pairs of one block pair that lie in different components and whose sizes and sketches allow a link.
+    """Pairs of one block pair that lie in different components and whose sizes, signatures and sketches allow a link.
 
     A pair that meets in several cells is given out in the first band and key that both have.
     """
@@ -195,7 +210,8 @@ def _within(percent: int):
         key, band, low, high, block = (c[order] for c in (key, band, low, high, block))
         doc, size, component, base = (column(c)[order] for c in ("doc", "size", "component", "base"))
         chosen = pa.array(order)
-        signs = _matrix(table.column("signature").combine_chunks().take(chosen))
+        taken = lambda c: table.column(c).combine_chunks().take(chosen)
+        signatures, signs = _matrix(taken("signature"), SLOTS, np.uint16), _matrix(taken("sketch"))
         kept = table.column("kept").combine_chunks().take(chosen)
         bounds = np.append(0, np.cumsum(kept.value_lengths().to_numpy()))
         own = common.flat(kept)
@@ -209,6 +225,7 @@ def _within(percent: int):
                 small, large = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
                 open_ = (component[i] != component[others]) & (doc[i] != doc[others]) & (100 * small >= percent * large)
                 others = others[open_ & (np.maximum(base[i], base[others]) == band[a])]
+                others = others[within_distance(signatures[i], signatures[others])] if len(others) else others
                 others = others[_allows(signs[i], signs[others], size[i], size[others], percent)] if len(others) else others
                 for j in others:
                     meet = np.intersect1d(own[bounds[i] : bounds[i + 1]], own[bounds[j] : bounds[j + 1]])
@@ -237,7 +254,7 @@ def near_duplicates(
     sketches = common.stored(known.mapInArrow(_sketch(shingle), _SKETCH))
     classes = sketches.where("size > 0").groupBy("set_a", "set_b", "size").agg(F.min("doc").alias("rep"))
     nodes = sketches.join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    narrow = nodes.select("doc", "size", "signature").dropDuplicates(["doc"])
+    narrow = nodes.select("doc", "size", "signature", "sketch").dropDuplicates(["doc"])
 
     keys = nodes.where("size > 0").select("doc", "size", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(
@@ -264,7 +281,7 @@ def near_duplicates(
 
     close = F.least("size", "leader_size") * 100 >= F.greatest("size", "leader_size") * percent
     led = members.where((F.col("doc") != F.col("leader")) & close).select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
-    signs = {s: narrow.select(F.col("doc").alias(s), F.col("signature").alias(f"sign_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab"}
+    signs = {s: narrow.select(F.col("doc").alias(s), F.col("signature").alias(f"sign_{s}"), F.col("sketch").alias(f"sketch_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab"}
     near = common.stored(led.join(signs["a"], "a").join(signs["b"], "b").mapInArrow(_near(percent), "a long, b long"))
     links = confirmed(near)
     found = connected_components(links)
@@ -280,10 +297,10 @@ def near_duplicates(
         F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most")
     ).where("least < most").select("key", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     cells = (
-        placed.join(open_cells, ["key", "band"]).join(narrow.select("doc", "signature").join(kept_keys, "doc"), "doc")
+        placed.join(open_cells, ["key", "band"]).join(narrow.select("doc", "signature", "sketch").join(kept_keys, "doc"), "doc")
         .withColumn("block", F.pmod(F.hash("doc"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", "base", "doc", "size", "component", "signature", "kept", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .select("key", "band", "base", "doc", "size", "component", "signature", "sketch", "kept", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
     spread = cells.withColumn("bucket", F.pmod(F.hash("key", "band", "low", "high"), F.lit(4 * common.parts(docs))))
     rest = common.stored(spread.groupBy("bucket").applyInArrow(_within(percent), "a long, b long").distinct())

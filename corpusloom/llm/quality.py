@@ -244,8 +244,10 @@ def _smallest(ids: DataFrame, rows: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
-def _lexicon(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    chosen = F.broadcast(_smallest(labels, LABEL_ROWS))  # LABEL_ROWS narrow rows at most
+def _lexicon(docs: DataFrame, labels: DataFrame, label_rows: int) -> np.ndarray:
+    """Words and word beginnings that toxic texts of the labelled sample have, and others hardly ever; no more than the sample holds."""
+    chosen = F.broadcast(_smallest(labels, label_rows))  # narrow rows
+
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -253,8 +255,9 @@ def _lexicon(docs: DataFrame, labels: DataFrame) -> np.ndarray:
                 heads = np.cumsum(sizes) - sizes
                 least = np.zeros(len(sizes), np.uint64)
                 least[sizes > 0] = shingles[heads[sizes > 0]]  # they are sorted
-                columns = [piece.column("text"), piece.column("toxic"), pa.array(least.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["text", "toxic", "same"])
+                least = np.where(sizes > 0, least, piece.column("h").to_numpy().view(np.uint64))  # texts without words are like themselves only
+                columns = [piece.column(c) for c in ("id", "h", "text", "toxic")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(least.view(np.int64))], ["id", "h", "text", "toxic", "same"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +274,8 @@ def _lexicon(docs: DataFrame, labels: DataFrame) -> np.ndarray:
                 })
                 yield pa.RecordBatch.from_pydict({"word": pa.array([0]), "docs": pa.array([words.rows]), "toxic": pa.array([int(poison.sum())])})
 
-    texts = docs.join(chosen, "id").select("text", "toxic").mapInArrow(group, "text string, toxic int, same long").dropDuplicates(["same"])
+    grouped = docs.join(chosen, "id").select("id", F.xxhash64("text").alias("h"), "text", "toxic").mapInArrow(group, "id long, h long, text string, toxic int, same long")
+    texts = grouped.groupBy("same").agg(F.min_by(F.struct("text", "toxic"), F.struct("h", "id")).alias("one")).select("one.*")
     counts = common.stored(texts.select("text", "toxic").mapInArrow(task, "word long, docs long, toxic long").groupBy("word").agg(
         F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic")
     ))
@@ -283,18 +287,22 @@ def _lexicon(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     share = F.col("toxic") / F.col("docs")
     gain = F.col("toxic") * F.log(share / rate)
     known = counts.where("word <> 0").where((share >= 0.97) & (gain >= float(np.log(max(several, 1)) + 1))).orderBy(F.desc(gain), "word")
-    return np.sort(np.array([r["word"] for r in known.select("word").limit(4096).collect()], np.int64).view(np.uint64))
+    return np.sort(np.array([r["word"] for r in known.select("word").collect()], np.int64).view(np.uint64))
 
 
 def _gathered(texts: DataFrame, sample: DataFrame) -> DataFrame:
     """The texts of the sample in one task, in order of their ids; all tasks look for them, and a shuffle stands between."""
-    chosen = texts.join(F.broadcast(sample), "id").select("id", "text", "bad", "toxic")  # FIT_ROWS narrow rows at most
+    chosen = texts.join(F.broadcast(sample), "id").select("id", "text", "bad", "toxic")  # fit_rows narrow rows at most
     return chosen.repartition(1).sortWithinPartitions("id", "text").select("text", "bad", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+def fit(
+    docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_rows: int = LABEL_ROWS, fit_rows: int = FIT_ROWS
+) -> QualityModel:
     """Fit on ``docs``; ``labels (doc_id, quality, toxic)`` are optional and may cover any part of them.
 
+    The lexicon is learned from at most ``label_rows`` labelled rows, the scorer from at most ``fit_rows`` rows, those with
+    the smallest hash of their id; votes are counted over all rows.
     Repeated labels of one document count by their mean; null labels say nothing. Rows without an id have no label.
     Without labels there is no lexicon, so nothing is toxic. Empty tables give a model that knows nothing.
     """
@@ -306,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         given = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(
             F.round(F.avg("quality")).cast("int").alias("quality"), F.round(F.avg("toxic")).cast("int").alias("toxic")
         )
-        lexicon = _lexicon(texts, given.where("toxic IS NOT NULL").select("id", "toxic"))
+        lexicon = _lexicon(texts, given.where("toxic IS NOT NULL").select("id", "toxic"), label_rows)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         code, count = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
         bad, speech[kind] = expectation_maximisation(decode(code, len(labellers) + 1), count)
         posterior[kind] = spark.createDataFrame([(int(c), float(b)) for c, b in zip(code, bad)], f"{kind} long, {kind}_bad double")
-    sample = _smallest(votes.where("id IS NOT NULL"), FIT_ROWS).join(posterior["good"], "good").join(posterior["clean"], "clean")
+    sample = _smallest(votes.where("id IS NOT NULL"), fit_rows).join(posterior["good"], "good").join(posterior["clean"], "clean")
     sample = sample.select("id", F.col("good_bad").alias("bad"), F.col("clean_bad").alias("toxic"))
     chosen = _gathered(texts, sample)
     learn = lambda batches: _train(batches, lexicon)

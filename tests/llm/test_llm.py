@@ -141,12 +141,45 @@ def test_near_duplicates(spark, block, monkeypatch):
 
 
 def test_pigeonhole():
-    """The worst placement of errors leaves SHARED keys, by trying chunk by chunk."""
-    assert neardup.SHARED == neardup.SLOTS - neardup.DISTANCE
+    """Errors placed as badly as can be leave SHARED keys; a pair of similarity 0.8 hardly ever has more errors."""
+    per_chunk = [math.comb(neardup.CHUNK - e, neardup.CHUNK - neardup.ERRORS) if e <= neardup.ERRORS else 0 for e in range(neardup.CHUNK + 1)]
+    fewest = {0: 0}
+    for _ in range(neardup.SLOTS // neardup.CHUNK):
+        new = {}
+        for used, keys in fewest.items():
+            for e, left in enumerate(per_chunk):
+                if used + e <= neardup.DISTANCE:
+                    new[used + e] = min(new.get(used + e, 10**9), keys + left)
+        fewest = new
+    assert neardup.SHARED == min(fewest.values()) >= 1
     miss = sum(math.comb(64, d) * 0.2**d * 0.8 ** (64 - d) for d in range(neardup.DISTANCE + 1, 65))
     assert miss < 1e-6
 
 
+def test_every_pair_within_the_distance_shares_keys():
+    """Signatures of b bits: all pairs within the distance, found by comparing all of them, have SHARED keys in common."""
+    draw = np.random.Generator(np.random.PCG64(3))
+    base = draw.integers(0, 1 << neardup.BITS, (40, neardup.SLOTS), dtype=np.uint64)
+    rows = [base]
+    for errors in (1, 8, 15, 22, 28, 30, 31, 40):
+        other = base.copy()
+        for row in other:
+            at = draw.choice(neardup.SLOTS, errors, replace=False)
+            if errors == 30:  # two in each of fifteen chunks
+                at = np.array([4 * c + i for c in draw.choice(16, 15, replace=False) for i in draw.choice(4, 2, replace=False)])
+            row[at] = (row[at] + draw.integers(1, 1 << neardup.BITS, errors, dtype=np.uint64)) % (1 << neardup.BITS)
+        rows.append(other)
+    signatures = np.concatenate(rows)
+    keys = [set(k) for k in neardup.keys_of(signatures).tolist()]
+    within = 0
+    for i in range(len(signatures)):
+        near = neardup.within_distance(signatures[i], signatures)
+        for j in np.flatnonzero(near):
+            assert len(keys[i] & keys[j]) >= neardup.SHARED
+        within += near.sum() - 1
+    assert within >= 2 * 6 * 40
+
+
 def test_repeated_ids_and_null_ids(spark):
     text = " ".join(vocabulary(60))
     rows = [(1, text), (1, text), (1, "a b c"), (None, text), (None, None), (2, text)]
