@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _CHUNK = 1 << 17
 _BLANK = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 U = np.uint64
