@@ -22,7 +22,9 @@ from corpusloom.operators.components import connected_components
 from corpusloom.operators.ctfidf import ctfidf, group_similarity, term_weights
 from corpusloom.operators.encode import clip_rows, encode_text, model_encoder
 from corpusloom.operators.hierarchy import density_hierarchy
+from corpusloom.operators.kernel import kernel_width, rbf_features
 from corpusloom.operators.kwic import kwic
+from corpusloom.operators.langmodel import LanguageModel, classify_language, learn_languages
 from corpusloom.operators.learn import (
     Learner,
     binarize_labels,
@@ -45,12 +47,14 @@ from corpusloom.operators.segment import split_sentences, with_sentence_spans
 
 __all__ = [
     "BoundaryModel",
+    "LanguageModel",
     "Learner",
     "abbreviation_scores",
     "append_column",
     "binarize_labels",
     "class_names",
     "class_probabilities",
+    "classify_language",
     "classwise_query_set",
     "clip_rows",
     "cluster_sizes",
@@ -70,9 +74,11 @@ __all__ = [
     "group_count",
     "group_similarity",
     "join_views",
+    "kernel_width",
     "kwic",
     "label_classes",
     "learn_boundaries",
+    "learn_languages",
     "learned_spans",
     "language_stats",
     "lexicon_scorer",
@@ -85,6 +91,7 @@ __all__ = [
     "nearest_per_column",
     "preprocess_text",
     "query_set",
+    "rbf_features",
     "reduce_dims",
     "save_learner",
     "sentiment",

@@ -379,6 +379,18 @@ def oracle_sql() -> dict[str, str]:
             ratios AS (SELECT type, n, behind, k * t > a * b AS more, 2 * ({_likely("k", "a", "k / a")} + {_likely("b - k", "t - a", "(b - k) / (t - a)")}
                               - {_likely("k", "a", "b / t")} - {_likely("b - k", "t - a", "b / t")}) AS ratio FROM four)
             SELECT type, n, behind, round(CASE WHEN more THEN ratio ELSE -ratio END, 4) AS score FROM ratios""",
+        "kernel_products": "SELECT vec_id, true AS near FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)",
+        "language_posterior": """WITH low AS (SELECT doc_id, lang, lower(text) AS text FROM documents),
+            grams AS (SELECT doc_id, lang, substr(text, CAST(i AS BIGINT), 3) AS gram FROM (SELECT *, unnest(range(1, length(text) - 1)) AS i FROM low)),
+            counts AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY ALL),
+            totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY 1),
+            langs AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM low)) AS prior FROM low GROUP BY 1),
+            size AS (SELECT count(DISTINCT gram) + 1 AS distinct_grams FROM counts),
+            own AS (SELECT doc_id, gram, count(*) AS times FROM grams GROUP BY ALL),
+            scored AS (SELECT d.doc_id, l.lang, l.prior + coalesce(sum(o.times * ln((coalesce(c.n, 0) + 0.5) / (t.total + 0.5 * distinct_grams))), 0) AS score
+                       FROM low d CROSS JOIN langs l JOIN totals t ON t.lang = l.lang CROSS JOIN size LEFT JOIN own o ON o.doc_id = d.doc_id
+                            LEFT JOIN counts c ON c.gram = o.gram AND c.lang = l.lang GROUP BY d.doc_id, l.lang, l.prior)
+            SELECT doc_id, lang AS language, round(score, 3) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1""",
         "match_counts": """WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM benchmark),
             low AS (SELECT doc_id, lower(text) AS text FROM documents),
             found AS (SELECT doc_id, word, CAST((length(text) - length(replace(text, word, ''))) // length(word) AS BIGINT) AS n

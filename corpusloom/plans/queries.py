@@ -234,6 +234,13 @@ def kwic_no_overlap(spark, sf_dir):
     return _kwic(spark, sf_dir, KEYWORDS, no_overlap=True)
 
 
+def language_posterior(spark, sf_dir):
+    """Documents' languages by character trigrams of all documents."""
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    told = op.classify_language(docs, "text", op.learn_languages(docs, "text", "lang"))
+    return told.select("doc_id", "language", F.round("language_score", 3).alias("score"))
+
+
 def match_counts(spark, sf_dir):
     """Every word of the benchmark, and all words of an initial, in every document."""
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")
@@ -437,6 +444,23 @@ def train_multilabel(spark, sf_dir):
     return op.train_predict(encoded, ["sbert"], "label", multilabel=True, binarize=True).drop("sbert", "label")
 
 
+def kernel_products(spark, sf_dir):
+    """Whether products of random features are near the kernel, for each vector and the one with the next id."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    gamma = op.kernel_width(vectors, "v")
+    made = op.rbf_features(vectors, "v", "z", dims=2048, gamma=gamma)
+    other = made.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"), F.col("z").alias("y"))
+    total = lambda a, b, f: F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x)
+    kernel = F.exp(-gamma * total("v", "w", lambda x, y: (x - y) * (x - y)))
+    return made.join(other, "vec_id").select("vec_id", (F.abs(total("z", "y", lambda x, y: x * y) - kernel) < 0.12).alias("near"))
+
+
+def train_kernel(spark, sf_dir):
+    """Labels of vectors with an odd id, learned on random features of the others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("c"), F.col("label"))).alias("label"))
+    return op.train_predict(op.rbf_features(rows, "embedding", dims=256), ["rbf"], "label").select("vec_id", "train")
+
+
 def _scored(spark, sf_dir):
     encoded = op.encode_text(labelled_documents(spark, sf_dir), "text").select("doc_id", "sbert", "label")
     learner = op.fit_learner(encoded, ["sbert"], "label")
@@ -511,6 +535,7 @@ QUERIES: dict[str, Query] = {
     "abbreviation_scores": abbreviation_scores,
     "starter_scores": starter_scores,
     "learned_sentences": learned_sentences,
+    "language_posterior": language_posterior,
     "match_counts": match_counts,
     "detect_language": detect_language,
     "language_stats": language_stats,
@@ -536,6 +561,8 @@ QUERIES: dict[str, Query] = {
     "binarize_labels": binarize_labels,
     "train_predict": train_predict,
     "train_multilabel": train_multilabel,
+    "kernel_products": kernel_products,
+    "train_kernel": train_kernel,
     "query_set": query_set,
     "classwise_query_set": classwise_query_set,
     "query_set_length": query_set_length,

@@ -1,5 +1,6 @@
 """Column functions against plain Python."""
 
+import json
 import re
 
 import pytest
@@ -145,12 +146,14 @@ def test_labels(spark):
 
 
 def test_vectors(spark):
+    given = [([0.25 * i, -1.0 / (i + 1), 3e10 * i], i - 2) for i in range(5)]
     schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.IntegerType())])
-    df = spark.createDataFrame([([1.0, 2.0], 1), ([1.0, 3.0], 2)], schema)
-    rows = df.select(combine_features(df, ["x", "y"]).alias("a"), combine_features(df, ["y", "x", "x"]).alias("b"))
-    assert [r.a for r in rows.collect()] == [[1, 2, 1], [1, 3, 2]]
-    assert [r.b for r in rows.collect()] == [[1, 1, 2, 1, 2], [2, 1, 3, 1, 3]]
+    df = spark.createDataFrame(given, schema).coalesce(1)
+    joined = df.select(combine_features(df, ["x", "y"]).alias("a"), combine_features(df, ["y", "x", "x"]).alias("b")).collect()
+    assert [r.a for r in joined] == [[*x, y] for x, y in given]
+    assert [r.b for r in joined] == [[y, *x, *x] for x, y in given]
     back = df.select(unstringify(stringify(F.col("x"))).alias("x")).collect()
-    assert [r.x for r in back] == [[1.0, 2.0], [1.0, 3.0]]
-    parsed = spark.createDataFrame([("[0.555, 0.26, 5]",)], "t string").select(unstringify(F.col("t")).alias("v"))
-    assert parsed.first().v == [0.555, 0.26, 5.0]
+    assert [r.x for r in back] == [x for x, _ in given]
+    texts = ["[]", "[7]", "[ -1.5e3 ,2 , 0.125]"]
+    parsed = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(unstringify(F.col("t")).alias("v"))
+    assert [r.v for r in parsed.collect()] == [json.loads(t) for t in texts]

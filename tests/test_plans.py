@@ -61,7 +61,7 @@ def test_ctfidf_limits_before_the_window_and_reuses_the_counts(spark):
 
 
 EAGER = {"density_cluster", "cluster_sizes", "train_predict", "train_multilabel", "query_set", "classwise_query_set", "reduce_dims"} | {
-    "density_hierarchy", "abbreviation_scores", "starter_scores", "learned_sentences", "saved_learner"
+    "density_hierarchy", "abbreviation_scores", "starter_scores", "learned_sentences", "saved_learner", "kernel_products", "train_kernel", "language_posterior"
 }
 
 

@@ -5,23 +5,29 @@ from corpusloom import operators as op
 from corpusloom.plans.commands import Workspace
 
 
+DELIVERIES = [(day, town, load) for day, town in enumerate(["Ulm", "Gent", None, "Ulm", "Lyon", "Gent", "Ulm", "Brno"]) for load in (day * day, -day)]
+DEPOTS = [("Gent", "dry", 4), ("Ulm", "wet", 9), ("Turin", "dry", 2), (None, "none", 0), ("Ulm", "dry", 1)]
+
+
 @pytest.fixture()
 def sides(spark):
-    a = spark.createDataFrame([("oslo", 31), ("oslo", 17), ("rome", 5)], "x string, z int")
-    b = spark.createDataFrame([("oslo", 70), ("bern", 80), ("rome", 90)], "x string, y int")
-    return a, b
+    return spark.createDataFrame(DELIVERIES, "day int, town string, load int"), spark.createDataFrame(DEPOTS, "town string, kind string, docks int")
 
 
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-def test_join_goldens(sides):
+def test_join_by_the_rule(sides):
+    """Every pair of rows with equal towns, null with null; the outer join adds each side's rest once."""
     a, b = sides
-    assert rows(op.join_views(a, b, ["x"]).select("x", "z", "y")) == [
-        ("oslo", 17, 70), ("oslo", 31, 70), ("rome", 5, 90)]
-    assert rows(op.join_views(a, b, ["x"], how="outer").select("x", "z", "y")) == [
-        ("bern", None, 80), ("oslo", 17, 70), ("oslo", 31, 70), ("rome", 5, 90)]
+    pairs = [(d, t, n, k, q) for d, t, n in DELIVERIES for u, k, q in DEPOTS if t == u]
+    alone = [(d, t, n, None, None) for d, t, n in DELIVERIES if t not in {u for u, _, _ in DEPOTS}]
+    empty = [(None, u, None, k, q) for u, k, q in DEPOTS if u not in {t for _, t, _ in DELIVERIES}]
+    assert alone and empty
+    columns = ["day", "town", "load", "kind", "docks"]
+    assert rows(op.join_views(a, b, ["town"]).select(columns)) == sorted(pairs, key=str)
+    assert rows(op.join_views(a, b, ["town"], how="outer").select(columns)) == sorted(pairs + alone + empty, key=str)
 
 
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
@@ -46,17 +52,19 @@ def test_join_like_pandas(spark, how, threshold):
 def test_join_argument_checks(sides):
     a, b = sides
     with pytest.raises(ValueError):
-        op.join_views(a, b, ["x"], ["x", "y"])
+        op.join_views(a, b, ["town"], ["town", "kind"])
     with pytest.raises(ValueError):
-        op.join_views(a, b, ["x"], how="cross")
+        op.join_views(a, b, ["town"], how="cross")
 
 
 def test_filter(sides):
     a, _ = sides
-    kept = op.filter_view(a.select("z", "x"), "x = 'oslo'", sort_columns=True)
-    assert kept.columns == ["x", "z"] and rows(kept) == [("oslo", 17), ("oslo", 31)]
-    numbered = op.with_row_id(a, "z")
-    assert rows(op.filter_mapper(numbered, F.col("x") == "oslo", "row_id")) == [(0, 1), (1, 2)]
+    kept = op.filter_view(a, "load < 0", sort_columns=True)
+    assert kept.columns == ["day", "load", "town"] and rows(kept) == sorted(((d, n, t) for d, t, n in DELIVERIES if n < 0), key=str)
+    numbered = op.with_row_id(a, ["day", "load"])
+    order = sorted(DELIVERIES, key=lambda r: (r[0], r[2]))
+    passing = [i for i, (_, t, _) in enumerate(order) if t == "Ulm"]
+    assert rows(op.filter_mapper(numbered, F.col("town") == "Ulm", "row_id")) == sorted(enumerate(passing), key=str)
 
 
 def test_row_id_is_contiguous(spark):
@@ -89,11 +97,13 @@ def test_counts(spark):
 
 
 def test_group_concat(spark):
-    df = spark.createDataFrame(
-        [(0, 1, "Hallo"), (1, 1, "Welt"), (2, 2, "Hello"), (3, 2, "World"), (4, 3, None), (5, 3, ""), (6, None, "lost")],
-        "i long, label int, text string",
-    )
-    assert rows(op.group_concat(df, "label", "text", "i", " ")) == [(1, "Hallo Welt"), (2, "Hello World"), (3, "")]
+    """Texts of a group in the order of the id, without nulls and rows that belong to no group."""
+    given = [(i, "xyz"[i % 3] if i % 7 else None, None if i % 5 == 0 else f"w{i * 37 % 11}") for i in range(40)] + [(50, "v", None), (51, "u", "")]
+    df = spark.createDataFrame(given, "i long, label string, text string").repartition(4)
+    groups = {g for _, g, _ in given if g}
+    expected = [(g, "/".join(t for _, h, t in given if h == g and t)) for g in sorted(groups)]
+    got = [(g, t or "") for g, t in rows(op.group_concat(df, "label", "text", "i", "/"))]
+    assert got == expected
 
 
 def test_group_concat_hot_group(spark):
