@@ -30,6 +30,7 @@ from corpusloom.operators.components import connected_components
 SLOTS, BITS, CHUNK, ERRORS, DISTANCE = 64, 16, 4, 1, 30
 BLOCK = 512
 BINS, SURE = 1024, 5.3
+HELD_BITS = 1 << 20
 
 
 def shared_keys() -> int:
@@ -268,14 +269,9 @@ def near_duplicates(
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        held = known.sparkSession.sparkContext.broadcast(common.bitmap(ends))  # of a fixed size
-
-        @F.arrow_udf("boolean")
-        def maybe(doc: pa.Array) -> pa.Array:
-            return pa.array(common.may_hold(held.value, doc.to_numpy()))
-
+        held = common.bitmap(ends, HELD_BITS)  # of a fixed size
         # The bitmap keeps most texts out of the shuffle, the join is exact.
-        needed = known.where(maybe("doc")).join(ends, "doc", "left_semi").dropDuplicates(["doc"])
+        needed = known.where(common.is_in(held, F.col("doc"))).join(ends, "doc", "left_semi").dropDuplicates(["doc"])
         a, b = (needed.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
         return common.stored(pairs.join(a, "a").join(b, "b").mapInArrow(_confirm(shingle, percent), "a long, b long"))
 
