@@ -71,8 +71,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns of these names are replaced. Null and empty texts have no words to take and go; a null source is one of its
     own; rows that share an id are taken from each on their own.
     """
-    rows, _ = mix_sources(common.stored(docs.withColumn("size", count_words(F.col("text")))))
-    return rows.where("taken > 0")
+    results = ["size", "source_size", "target", "taken"]
+    plain = [c for c in docs.columns if c not in results]
+    whole = F.struct(*[F.col(f"`{c}`") for c in plain]).alias("whole")
+    held = common.stored(docs.select(whole, "doc_id", "source", count_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")))
+    # The schedule works on narrow rows; texts are joined once, by the number that the stored row has.
+    rows, _ = mix_sources(held.select("row", "doc_id", "source", "size"))
+    taken = rows.where("taken > 0").select("row", *results)
+    return held.select("row", "whole").join(taken, "row").select(*[F.col("whole").getField(c).alias(c) for c in plain], *results)
 
 
 STAGES = [
