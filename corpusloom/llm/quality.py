@@ -77,8 +77,8 @@ def examine(column: pa.Array, lexicon: np.ndarray):
     symbol[list(SYMBOLS)] = True
     long_enough = n >= 8
     chars = np.bincount(row, weights=words.end - words.start, minlength=rows)
-    last = text[words.end - 1] if len(row) else text
-    before = text[np.maximum(words.end - 2, 0)] if len(row) else text
+    last = text[words.end - 1]
+    before = text[np.maximum(words.end - 2, 0)]
     marked = (last < 128) & ~np.isin(last, [*range(48, 58), *range(65, 91), *range(97, 123)])
     doubled = marked & (last == before) & (words.end - words.start > 1)
     ends = np.isin(last, [ord(c) for c in ".?!"]) & ~doubled
