@@ -32,6 +32,7 @@ from corpusloom.llm.words import slices
 CAPACITY = 2048
 KNOWN = 1 << 18
 TEXT_BYTES = 1 << 21
+AT_ONCE = 2048  # parts that the library encodes in one call
 _RANKS = 40
 
 
@@ -85,10 +86,13 @@ class Encoder:
         number, unknown = pc.fill_null(number, 0).to_numpy().astype(np.int64), unknown.to_numpy(zero_copy_only=False)
         number[unknown] = len(self.known) + np.arange(len(new))
         if len(new):
-            found = self._encode(new)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
-            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(sizes))
+            ids, sizes = [self.ids], []
+            for start in range(0, len(new), AT_ONCE):  # the library's results weigh far more than their ids
+                found = self._encode(new.slice(start, AT_ONCE))
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+                ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+            self.ids = np.concatenate(ids)
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes)))
             self.known = pa.concat_arrays([self.known, new])
         return number
 
