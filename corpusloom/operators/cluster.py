@@ -2,21 +2,19 @@
 
 Rows with at least ``min_samples`` others within ``eps`` are core; cores within ``eps`` of each other
 share a cluster; everything else is noise. Neighbours come from a pivot-partitioned metric join: each
-vector belongs to the cell of its nearest pivot and is copied to every cell whose border lies within
-``eps``, so each pair meets in exactly one cell. Large cells are cut into block pairs of fixed size.
-No pair list leaves a task: the first pass returns counts and the few nearest distances, the second a
-spanning forest of the block.
+vector belongs to the cell of its nearest pivot and looks into every cell whose border lies within
+``eps``, so each pair meets in exactly one cell. Cells are cut into blocks of fixed size, which meet without being
+shuffled (see :mod:`corpusloom.operators.blocks`). No pair list leaves a task: the first pass returns the few nearest
+distances, the second a spanning forest of what the task has seen.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
+from corpusloom.operators.blocks import NEAREST, Forest, Nearest, meet, packed, placed
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.relational import with_row_id
 from corpusloom.runtime import durable
@@ -25,8 +23,6 @@ NOISE = -1
 CELL_ROWS = 4096
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 8192
-_ROWS_PER_STEP = 256
-MERGE_FAN_IN = 64
 
 
 def density_cluster(
@@ -58,7 +54,7 @@ def density_cluster(
     )
     pivots = _pivots(points)
     cores = durable(_core_points(points, pivots, eps, min_samples))
-    links = _block_join(cores.drop("core_distance"), pivots, eps, _forest(eps), "a bigint, b bigint")
+    links = _block_join(cores, pivots, eps, Forest, "a bigint, b bigint", once=True)
     components = connected_components(links.select("a", "b"))
 
     members = cores.join(components, cores["id"] == components["node"], "left").select(
@@ -85,33 +81,23 @@ def density_cluster(
 
 def _core_points(points: DataFrame, pivots: np.ndarray, eps: float, min_samples: int) -> DataFrame:
     """Core points with their core distance: how far the ``min_samples``-th other row is."""
-    schema = "id bigint, block int, n bigint, near array<struct<d:double,n:bigint>>"
-    near = _block_join(points, pivots, eps, _nearest(eps, min_samples), schema)
-
-    def smallest(entries: Column) -> Column:
-        return F.slice(F.array_sort(F.flatten(entries)), 1, min_samples)
-
-    # Partial lists meet 64 at a time, so no task ever collects a hot point's lists in one go.
-    level = near.withColumn("block", F.floor(F.col("block") / MERGE_FAN_IN)).groupBy("id", "block").agg(
-        F.sum("n").alias("n"), smallest(F.collect_list("near")).alias("near")
-    )
-    level = level.withColumn("block", F.floor(F.col("block") / MERGE_FAN_IN)).groupBy("id", "block").agg(
-        F.sum("n").alias("n"), smallest(F.collect_list("near")).alias("near")
-    )
-    merged = level.groupBy("id").agg(F.sum("n").alias("n"), smallest(F.collect_list("near")).alias("near"))
+    near = _block_join(points, pivots, eps, lambda: Nearest(min_samples), NEAREST)
+    # One list for each stretch of blocks that a row was compared with.
+    merged = near.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, min_samples).alias("near"))
 
-    twins = F.struct(F.lit(0.0).alias("d"), (F.col("copies") - 1).alias("n"))
-    entries = F.concat(F.array(twins), F.coalesce("near", F.array().cast("array<struct<d:double,n:bigint>>")))
+    twins = F.struct(F.lit(0.0).alias("d"), F.lit(None).cast("bigint").alias("id"), (F.col("copies") - 1).alias("n"))
+    entries = F.concat(F.array(twins), F.coalesce("near", F.array().cast("array<struct<d:double,id:bigint,n:bigint>>")))
     start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("at"))
 
     def walk(acc: Column, e: Column) -> Column:
         seen = acc["seen"] + e["n"]
         return F.struct(seen.alias("seen"), F.coalesce(acc["at"], F.when(seen >= min_samples, e["d"])).alias("at"))
 
+    # Each entry stands for one row at least, so the nearest ``min_samples`` tell whether there are enough.
     return (
         points.join(merged, "id", "left")
-        .where(F.col("copies") - 1 + F.coalesce("n", F.lit(0)) >= min_samples)
         .withColumn("core_distance", F.aggregate(entries, start, walk)["at"])
+        .where("core_distance IS NOT NULL")
         .select("id", "vec", "copies", "core_distance")
     )
 
@@ -123,168 +109,12 @@ def _pivots(points: DataFrame) -> np.ndarray:
     return np.array([r.vec for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
 
 
-def _block_join(points: DataFrame, pivots: np.ndarray, eps: float, task, schema: str) -> DataFrame:
-    """Run ``task`` on every pair of blocks whose rows may lie within ``eps`` of each other."""
-    # Written once: it is read three times below.
-    placed = durable(
-        points.mapInArrow(_place(pivots, eps), "id bigint, vec array<double>, copies bigint, home int, halo array<int>")
-    )
-    homes = placed.select(F.col("home").alias("cell"), "id", "vec", "copies", F.lit(True).alias("own"))
-    halos = placed.select(F.explode("halo").alias("cell"), "id", "vec", "copies", F.lit(False).alias("own"))
-    # One row per cell, at most MAX_PIVOTS of them: safe to broadcast.
-    blocks = (
-        placed.select("home", F.explode("halo").alias("cell"))
-        .groupBy("cell")
-        .agg(
-            F.ceil(F.count_if(F.col("home") == F.col("cell")) / BLOCK_ROWS).cast("int").alias("own_blocks"),
-            F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("near_blocks"),
-        )
+def _block_join(points: DataFrame, pivots: np.ndarray, eps: float, task, schema: str, once: bool = False) -> DataFrame:
+    """Run ``task`` on the pairs of blocks whose rows may lie within ``eps`` of each other."""
+    rows = points.select(
+        "id", "vec", "copies", F.lit(0.0).alias("core"), F.lit(0).cast("bigint").alias("comp"), F.lit(float(eps)).alias("reach")
     )
-    joined = homes.unionByName(halos).join(F.broadcast(blocks), "cell")
-
-    def split(count: str) -> Column:
-        return F.array(F.pmod(F.xxhash64("id"), F.col(count)).cast("int"))
-
-    def every(count: str) -> Column:
-        return F.sequence(F.lit(0), F.greatest(F.col(count), F.lit(1)) - 1)
-
-    own = F.col("own")
-    laid_out = joined.where(F.col("own_blocks") > 0).select(
-        "cell",
-        F.explode(F.when(own, split("own_blocks")).otherwise(every("own_blocks"))).alias("own_block"),
-        "near_blocks",
-        "id",
-        "vec",
-        "copies",
-        "own",
-    )
-    laid_out = laid_out.select(
-        "cell",
-        "own_block",
-        F.explode(F.when(own, every("near_blocks")).otherwise(split("near_blocks"))).alias("near_block"),
-        "id",
-        "vec",
-        "copies",
-        "own",
-    )
-    return laid_out.groupBy("cell", "own_block", "near_block").applyInArrow(task, schema)
-
-
-def _matrix(column) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if len(column) and len(flat) % len(column):
-        raise ValueError("vectors must all have the same length")
-    return flat.reshape(len(column), -1).astype(np.float64, copy=False)
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
-
-
-def _place(pivots: np.ndarray, eps: float):
-    """Nearest pivot of each vector and all cells within ``eps``, its own included."""
-    norms = (pivots * pivots).sum(1)
-
-    def cells_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        squared = _squared(vectors, pivots)
-        home = squared.argmin(axis=1)
-        own = squared[np.arange(len(home)), home]
-        gaps = np.sqrt(_squared(pivots[home], pivots))
-        # Distance to the plane halfway between two pivots bounds the distance to the other cell.
-        # What rounding may have cost is given back, so that no cell is missed.
-        doubt = 1e-12 * ((vectors * vectors).sum(1)[:, None] + norms[None, :])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            border = (squared - own[:, None] - doubt) / (2.0 * gaps)
-        reach = ~(border > eps * (1 + 1e-9) + 1e-9)
-        reach[np.arange(len(home)), home] = True
-        return home, reach
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for full in batches:
-            # Small steps: the distance matrix is rows times pivots.
-            for start in range(0, full.num_rows, _ROWS_PER_STEP):
-                batch = full.slice(start, _ROWS_PER_STEP)
-                home, reach = cells_of(_matrix(batch.column("vec")))
-                offsets = np.concatenate([[0], np.cumsum(reach.sum(axis=1))])
-                halo = pa.ListArray.from_arrays(
-                    pa.array(offsets, pa.int32()), pa.array(np.nonzero(reach)[1], pa.int32())
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("vec"), batch.column("copies"), pa.array(home, pa.int32()), halo],
-                    ["id", "vec", "copies", "home", "halo"],
-                )
-
-    return run
-
-
-def _block(table: pa.Table, eps: float):
-    """Own and near rows as (ids, vectors, copies), their distances, and which pairs are neighbours."""
-    own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
-    ids = table.column("id").to_numpy()
-    copies = table.column("copies").to_numpy()
-    vectors = _matrix(table.column("vec"))
-    a, b = vectors[own], vectors[~own]
-    squared = _squared(a, b)
-    # The expanded square loses digits; pairs close to the limit are measured again directly.
-    limit = eps * eps
-    doubt = np.abs(squared - limit) <= 1e-9 * (1.0 + limit + (a * a).sum(1)[:, None])
-    for i, j in zip(*np.nonzero(doubt)):
-        squared[i, j] = ((a[i] - b[j]) ** 2).sum()
-    distance = np.sqrt(squared)
-    close = (distance <= eps) & (ids[own][:, None] != ids[~own][None, :])
-    return (ids[own], a, copies[own]), (ids[~own], b, copies[~own]), distance, close
-
-
-def _nearest(eps: float, k: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        block = key[2].as_py()
-        (own, a, _), (_, b, copies), distance, close = _block(table, eps)
-        counts = close @ copies if len(copies) else np.zeros(len(own), dtype=np.int64)
-        hit = np.flatnonzero(counts)
-        near = []
-        for i in hit:
-            others = np.flatnonzero(close[i])
-            order = others[np.argsort(distance[i, others], kind="stable")[:k]]
-            exact = np.sqrt(((b[order] - a[i]) ** 2).sum(axis=1))
-            near.append([{"d": float(d), "n": int(n)} for d, n in zip(exact, copies[order])])
-        return pa.table(
-            {
-                "id": pa.array(own[hit], pa.int64()),
-                "block": pa.array(np.full(len(hit), block), pa.int32()),
-                "n": pa.array(counts[hit], pa.int64()),
-                "near": pa.array(near, pa.list_(pa.struct([("d", pa.float64()), ("n", pa.int64())]))),
-            }
-        )
-
-    return run
-
-
-def _forest(eps: float):
-    """Edges that connect what the block connects, one fewer than the rows of each piece."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        (own, _, _), (near, _, _), _, close = _block(table, eps)
-        todo = close.any(axis=1)
-        left, right = [], []
-        unseen = np.ones(len(near), dtype=bool)
-        while todo.any():
-            root = int(np.flatnonzero(todo)[0])
-            todo[root] = False
-            frontier = np.array([root])
-            while len(frontier):
-                cols = np.flatnonzero(close[frontier].any(axis=0) & unseen)
-                unseen[cols] = False
-                left += [own[root]] * len(cols)
-                right += near[cols].tolist()
-                frontier = np.flatnonzero(close[:, cols].any(axis=1) & todo) if len(cols) else cols
-                todo[frontier] = False
-                left += [own[root]] * len(frontier)
-                right += own[frontier].tolist()
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return run
+    return meet(packed(placed(rows, pivots), BLOCK_ROWS), pivots.shape[1], task, schema, once)
 
 
 def cluster_sizes(df: DataFrame, out: str = "hdbscan") -> DataFrame:

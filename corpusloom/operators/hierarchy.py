@@ -1,7 +1,7 @@
 """Density clustering without a radius: the whole mutual-reachability hierarchy, condensed and cut by stability.
 
 1. Core distances. Each vector belongs to the cell of its nearest pivot. A bound from its own block and from the pivots
-   limits how far its ``min_samples``-th neighbour can be; it is copied to the cells within that bound.
+   limits how far its ``min_samples``-th neighbour can be; it looks into the cells within that bound.
 2. Minimum spanning tree by Boruvka rounds. Each component takes its lightest edge to another one. Neighbours and
    pivots give it a first edge, and only rows that could have a lighter one look for it, in cells that hold other
    components. Edges are in a strict order (weight, ends), so rounds never close a circle.
@@ -24,14 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
 from corpusloom.operators import cluster
-from corpusloom.operators.cluster import NOISE, _matrix, _squared
+from corpusloom.operators.blocks import NEAREST, Block, Nearest, matrix as _matrix, meet, packed, placed, squared_distances as _squared
+from corpusloom.operators.cluster import NOISE
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.relational import with_row_id
 from corpusloom.runtime import written
 
 BAND = 1 << 17
-_POINT = "id bigint, vec array<double>, copies bigint, core double, comp bigint, reach double"
-_COLUMNS = ["id", "vec", "copies", "core", "comp", "reach"]
 _EDGE = "comp bigint, w double, a bigint, b bigint, other bigint"
 
 
@@ -91,98 +90,6 @@ class Pivots:
         return np.array([found[int(i)][0] for i in self.ids]), np.array([found[int(i)][1] for i in self.ids], np.int64)
 
 
-def _placed(points: DataFrame, pivots: Pivots, cells: dict[int, tuple[int, int]] | None = None) -> DataFrame:
-    """``points`` with ``home`` and with ``halo``, the cells within ``reach`` that hold other components, its own included."""
-    centers = pivots.vec
-    norms = (centers * centers).sum(1)
-    low = np.array([cells.get(i, (0, 0))[0] for i in range(len(centers))]) if cells is not None else None
-    high = np.array([cells.get(i, (0, 0))[1] for i in range(len(centers))]) if cells is not None else None
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for full in batches:
-            for start in range(0, full.num_rows, 256):  # the distance matrix is rows times pivots
-                batch = full.slice(start, 256)
-                vectors = _matrix(batch.column("vec"))
-                squared = _squared(vectors, centers)
-                home = squared.argmin(axis=1)
-                own = squared[np.arange(len(home)), home]
-                gaps = np.sqrt(_squared(centers[home], centers))
-                doubt = 1e-12 * ((vectors * vectors).sum(1)[:, None] + norms[None, :])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    border = (squared - own[:, None] - doubt) / (2.0 * gaps)
-                limit = batch.column("reach").to_numpy()[:, None]
-                within = ~(border > limit * (1 + 1e-9) + 1e-9)
-                within[np.arange(len(home)), home] = True
-                if low is not None:
-                    comp = batch.column("comp").to_numpy()[:, None]
-                    within &= (low[None, :] != comp) | (high[None, :] != comp)
-                within &= limit >= 0
-                offsets = np.concatenate([[0], np.cumsum(within.sum(axis=1))])
-                halo = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.nonzero(within)[1], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), halo], [*_COLUMNS, "home", "halo"])
-
-    return points.select(*_COLUMNS).mapInArrow(task, f"{_POINT}, home int, halo array<int>")
-
-
-def _meet(placed: DataFrame, task, schema: str) -> DataFrame:
-    """Run ``task`` on every pair of blocks of a cell's own rows and of rows that look into it."""
-    placed = written(placed)
-    homes = placed.select(F.col("home").alias("cell"), *_COLUMNS, F.lit(True).alias("own"))
-    halos = placed.select(F.explode("halo").alias("cell"), *_COLUMNS, F.lit(False).alias("own"))
-    both = homes.unionByName(halos)
-    # One row per cell, at most MAX_PIVOTS of them: safe to broadcast.
-    blocks = both.groupBy("cell").agg(
-        F.ceil(F.count_if("own") / cluster.BLOCK_ROWS).cast("int").alias("own_blocks"), F.ceil(F.count_if(~F.col("own")) / cluster.BLOCK_ROWS).cast("int").alias("near_blocks")
-    )
-    laid = both.join(F.broadcast(blocks.where("own_blocks > 0 AND near_blocks > 0")), "cell")
-    for mine, other, is_own in (("own_blocks", "near_blocks", True), ("near_blocks", "own_blocks", False)):
-        split = F.array(F.pmod(F.xxhash64("id"), F.col(mine)).cast("int"))
-        every = F.sequence(F.lit(0), F.col(mine) - 1)
-        laid = laid.withColumn(mine[:-1], F.explode(F.when(F.col("own") == F.lit(is_own), split).otherwise(every)))
-    return laid.groupBy("cell", "own_block", "near_block").applyInArrow(task, schema)
-
-
-class _Block:
-    """Own rows, rows that look for neighbours, and their squared distances, exact to ``doubt``."""
-
-    def __init__(self, table: pa.Table):
-        own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        vectors = _matrix(table.column("vec"))
-        values = {c: table.column(c).to_numpy() for c in ("id", "copies", "core", "comp", "reach")}
-        self.own = {c: v[own] for c, v in values.items()} | {"vec": vectors[own]}
-        self.near = {c: v[~own] for c, v in values.items()} | {"vec": vectors[~own]}
-        self.squared = _squared(self.near["vec"], self.own["vec"])
-        length = lambda side: (side["vec"] * side["vec"]).sum(1)
-        self.doubt = 1e-12 * (length(self.near)[:, None] + length(self.own)[None, :] + 1.0)
-        self.foreign = self.near["id"][:, None] != self.own["id"][None, :]
-
-    def exact(self, i: int, js: np.ndarray) -> np.ndarray:
-        return np.sqrt(((self.own["vec"][js] - self.near["vec"][i]) ** 2).sum(axis=1))
-
-
-def _nearest(k: int):
-    """Per looking row its ``k`` nearest own rows within reach."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        block = _Block(table)
-        ids, near = [], []
-        for i in range(len(block.near["id"])):
-            squared = np.where(block.foreign[i], block.squared[i], np.inf)
-            some = np.flatnonzero(squared - block.doubt[i] <= np.partition(squared, min(k, len(squared)) - 1)[min(k, len(squared)) - 1])
-            some = some[np.isfinite(squared[some])]
-            d = block.exact(i, some)
-            kept = np.lexsort((block.own["id"][some], d))[:k]
-            kept = kept[d[kept] <= block.near["reach"][i]]
-            if len(kept):
-                ids.append(block.near["id"][i])
-                near.append([{"d": float(d[j]), "id": int(block.own["id"][some[j]]), "n": int(block.own["copies"][some[j]])} for j in kept])
-        kind = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("n", pa.int64())]))
-        number = hash((key[0].as_py(), key[1].as_py())) & 0x7FFFFFFF
-        return pa.table({"id": pa.array(ids, pa.int64()), "block": pa.array([number] * len(ids), pa.int64()), "near": pa.array(near, kind)})
-
-    return run
-
-
 def _bound(k: int):
     """Per row the distance within which ``k`` others lie, as far as its own block tells."""
 
@@ -205,17 +112,14 @@ def core_distances(points: DataFrame, min_samples: int) -> tuple[DataFrame, Data
     pivots = Pivots(points)
     k = min_samples
     fresh = points.select("id", "vec", "copies", F.lit(0.0).alias("core"), F.col("id").alias("comp"), F.lit(-1.0).alias("reach"))
-    homes = written(_placed(fresh, pivots).select("id", "vec", "copies", "home"))
+    homes = written(placed(fresh, pivots.vec).select("id", "vec", "copies", "home"))
     sizes = F.broadcast(homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / cluster.BLOCK_ROWS).alias("blocks")))
     blocked = homes.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     bounds = written(blocked.groupBy("home", "block").applyInArrow(_bound(k), "id bigint, reach double"))
     looking = fresh.drop("reach").join(bounds, "id")
-    lists = _meet(_placed(looking, pivots), _nearest(k), "id bigint, block bigint, near array<struct<d:double,id:bigint,n:bigint>>")
-    smallest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")
-    # Lists meet 64 at a time, so no task collects all lists of a row that looks into many cells in one go.
-    for groups in (4096, 64):
-        lists = lists.withColumn("block", F.col("block") % groups).groupBy("id", "block").agg(smallest)
-    merged = written(lists.groupBy("id").agg(smallest))
+    lists = meet(packed(placed(looking, pivots.vec), cluster.BLOCK_ROWS), pivots.vec.shape[1], lambda: Nearest(k), NEAREST)
+    # One list for each stretch of blocks that a row was compared with.
+    merged = written(lists.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")))
     start = F.struct((F.col("copies") - 1).alias("seen"), F.when(F.col("copies") > k, F.lit(0.0)).alias("at"))
 
     def walk(acc, e):
@@ -244,23 +148,35 @@ def _lightest(comp, w, a, b, other) -> pa.Table:
     return pa.table({n: pa.array(c) for n, c in zip(("comp", "w", "a", "b", "other"), columns)})
 
 
-def _outgoing(key: tuple, table: pa.Table) -> pa.Table:
+class _Outgoing:
     """Per component of looking rows their lightest edge to another component, within reach."""
-    block = _Block(table)
-    foreign = block.near["comp"][:, None] != block.own["comp"][None, :]
-    base = np.maximum(block.near["core"][:, None], block.own["core"][None, :])
-    least = np.where(foreign, np.maximum(base, np.sqrt(np.maximum(block.squared - block.doubt, 0.0))), np.inf)
-    most = np.where(foreign, np.maximum(base, np.sqrt(block.squared + block.doubt)), np.inf).min(axis=1, initial=np.inf)
-    limit = np.minimum(most, block.near["reach"] * (1 + 1e-9))
-    out = []
-    for i in range(len(limit)):
-        js = np.flatnonzero((least[i] <= limit[i]) & foreign[i])
-        if len(js):
-            w = np.maximum(base[i, js], block.exact(i, js))
-            for j in np.flatnonzero(w == w.min()):
-                out.append((block.near["comp"][i], w[j], block.near["id"][i], block.own["id"][js[j]], block.own["comp"][js[j]]))
-    kinds = (np.int64, float, np.int64, np.int64, np.int64)
-    return _lightest(*(np.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)))
+
+    def __init__(self):
+        self.found: list[pa.Table] = []
+
+    def meet(self, a: Block, b: Block, rows: np.ndarray) -> None:
+        foreign = a.comp[rows][:, None] != b.comp[None, :]
+        if not foreign.any():
+            return
+        squared = a.squared(rows, b)
+        doubt = 1e-12 * (a.length[rows][:, None] + b.length[None, :] + 1.0)
+        base = np.maximum(a.core[rows][:, None], b.core[None, :])
+        least = np.where(foreign, np.maximum(base, np.sqrt(np.maximum(squared - doubt, 0.0))), np.inf)
+        most = np.where(foreign, np.maximum(base, np.sqrt(squared + doubt)), np.inf).min(axis=1, initial=np.inf)
+        limit = np.minimum(most, a.reach[rows] * (1 + 1e-9))
+        i, j = np.nonzero((least <= limit[:, None]) & foreign)
+        if len(i):
+            w = np.maximum(base[i, j], a.exact(rows[i], b, j))
+            self.found.append(_lightest(a.comp[rows[i]], w, a.id[rows[i]], b.id[j], b.comp[j]))
+
+    def leave(self, a: Block) -> None:
+        if len(self.found) > 1:
+            self.found = [self.end()]
+
+    def end(self) -> pa.Table | None:
+        if not self.found:
+            return None
+        return _lightest(*(pa.concat_tables(self.found).column(c).to_numpy() for c in ("comp", "w", "a", "b", "other")))
 
 
 def _to_pivots(pivots: Pivots, core: np.ndarray, comp: np.ndarray):
@@ -334,7 +250,8 @@ def spanning_tree(cores: DataFrame, near: DataFrame, pivots: Pivots) -> DataFram
             "reach", F.when(F.col("core") < F.col("reach"), F.col("reach")).otherwise(F.lit(-1.0))
         )
         cells = {r["home"]: (r["lo"], r["hi"]) for r in _cells(points, pivots).collect()}  # one row per pivot at most
-        lighter = written(_meet(_placed(looking, pivots, cells), _outgoing, _EDGE))
+        low, high = (np.array([cells.get(i, (0, 0))[side] for i in range(len(pivots.vec))]) for side in (0, 1))
+        lighter = written(meet(packed(placed(looking, pivots.vec, low, high), cluster.BLOCK_ROWS), pivots.vec.shape[1], _Outgoing, _EDGE))
         chosen = written(bound.unionByName(lighter).groupBy("comp").agg(first).select("comp", "e.*"))
         new = chosen.select("a", "b", "w").distinct()
         tree = written(new if tree is None else tree.unionByName(new))
@@ -344,7 +261,7 @@ def spanning_tree(cores: DataFrame, near: DataFrame, pivots: Pivots) -> DataFram
 
 
 def _cells(points: DataFrame, pivots: Pivots) -> DataFrame:
-    return _placed(points, pivots).groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return placed(points, pivots.vec).groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
 
 
 # --- dendrogram ---------------------------------------------------------------------------------------
@@ -478,10 +395,10 @@ def _selected(clusters: DataFrame) -> DataFrame:
         if state.where("value IS NULL").isEmpty():
             break
     pending = state.select("cluster", "parent", "chosen")
-    done = None
+    done = pending.select("cluster", F.lit(None).cast("bigint").alias("goal")).limit(0)  # there may be no cluster but all rows
     known = pending.select("parent").distinct().join(pending.select(F.col("cluster").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("cluster"), F.lit(None).cast("bigint").alias("goal"))
     while not known.isEmpty():  # from the top down: what lies in a chosen cluster belongs to it
         above = known.select(F.col("cluster").alias("parent"), F.col("goal").alias("over"))
         known = written(pending.join(above, "parent").select("cluster", F.coalesce("over", F.when(F.col("chosen"), F.col("cluster"))).alias("goal")))
-        done = known if done is None else written(done.unionByName(known))
+        done = written(done.unionByName(known))
     return done.where("goal IS NOT NULL").select(F.col("cluster").alias("node"), "goal")
