@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+ROWS_AT_ONCE = 512
+
 
 def kernel_width(df: DataFrame, vec: str) -> float:
     """1 / (length of the vectors * variance of all their numbers), the usual choice of gamma; 1 without variance."""
@@ -46,7 +48,13 @@ def _project(vectors: Column, dims: int, gamma: float, seed: int) -> Column:
         shift = draw.uniform(0, 2 * np.pi, dims)
         weights = draw.normal(0, np.sqrt(2 * gamma), (length, dims))
         x = known.flatten().to_numpy(zero_copy_only=False).reshape(len(known), length)
-        z = np.sqrt(2 / dims) * np.cos(x @ weights + shift)
+        z = np.empty((len(known), dims))
+        for start in range(0, len(known), ROWS_AT_ONCE):  # in place, so that only the result is held
+            part = z[start : start + ROWS_AT_ONCE]
+            np.matmul(x[start : start + ROWS_AT_ONCE], weights, out=part)
+            part += shift
+            np.cos(part, out=part)
+            part *= np.sqrt(2 / dims)
         valid = column.is_valid().to_numpy(zero_copy_only=False)
         offsets = np.append(0, np.cumsum(valid * dims)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(z.reshape(-1)), mask=pa.array(~valid))

@@ -448,11 +448,13 @@ def kernel_products(spark, sf_dir):
     """Whether products of random features are near the kernel, for each vector and the one with the next id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     gamma = op.kernel_width(vectors, "v")
-    made = op.rbf_features(vectors, "v", "z", dims=2048, gamma=gamma)
-    other = made.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"), F.col("z").alias("y"))
+    # Only the vectors are shuffled: features, many times as wide, are made behind the join.
+    other = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    made = op.rbf_features(vectors.join(other, "vec_id"), "v", "z", dims=2048, gamma=gamma)
+    made = op.rbf_features(made, "w", "y", dims=2048, gamma=gamma)
     total = lambda a, b, f: F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x)
     kernel = F.exp(-gamma * total("v", "w", lambda x, y: (x - y) * (x - y)))
-    return made.join(other, "vec_id").select("vec_id", (F.abs(total("z", "y", lambda x, y: x * y) - kernel) < 0.12).alias("near"))
+    return made.select("vec_id", (F.abs(total("z", "y", lambda x, y: x * y) - kernel) < 0.12).alias("near"))
 
 
 def train_kernel(spark, sf_dir):
