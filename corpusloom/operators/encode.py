@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.text import tokens
+from corpusloom.operators.matchmany import pieces
 
 HASH_DIMENSIONS = 256
+PIECE_BYTES, PIECE_ROWS = 1 << 21, 1024
 
 
 def encode_text(
@@ -45,13 +47,17 @@ def clip_rows(df: DataFrame, n: int, order_by: str | Sequence[str] | None = None
 
 
 def model_encoder(load: Callable[[], Callable[[list[str]], Sequence]]) -> Callable[[Column], Column]:
-    """Wrap a user model; ``load`` runs once per Python worker and returns a batch encoder."""
+    """Wrap a user model; ``load`` runs once per task and returns an encoder of a list of texts, which gets some MB of them at most."""
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = load()
+        kind = pa.list_(pa.float64())
         for batch in batches:
-            vectors = encode(["" if t is None else t for t in batch])
-            yield pd.Series([[float(x) for x in v] for v in vectors])
+            made = [pa.array([], kind)]
+            for piece in pieces(batch, PIECE_BYTES, PIECE_ROWS):  # texts and vectors as Python objects only for a piece
+                vectors = encode(["" if t is None else t for t in piece.to_pylist()])
+                made.append(pa.array([[float(x) for x in v] for v in vectors], kind))
+            yield pa.concat_arrays(made)
 
     return lambda text: run(text)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.functions.automaton import BREAK, FOLDED, Automaton, apart, compiled, literals
 from corpusloom.operators.matchcount import _dictionary_rows, node_leaves
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 
 class _Counter:
@@ -98,25 +98,33 @@ def match_counts(
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _Counter(patterns)
         for texts in batches:
-            found = []
-            for piece in _pieces(texts):
-                for counts in counter(piece):
-                    nodes: dict[str, int] = {}
-                    for p, n in counts.items():
-                        for node in names[p]:
-                            nodes[node] = nodes.get(node, 0) + n
-                    found.append(sorted(nodes.items()))
-            yield pa.array(found, pa.map_(pa.string(), pa.int64()))
+            yield _matches(counter, names, texts)
 
     return df.withColumn(out, F.when(F.col(col).isNotNull(), count(F.col(col))).otherwise(F.create_map().cast("map<string,bigint>")))
 
 
-def _pieces(texts: pa.Array):
-    """Slices of about ``PIECE_BYTES``; a longer text is one of its own."""
+def _matches(counter, names: list[list[str]], texts: pa.Array) -> pa.Array:
+    """Per text a map of the nodes that have matches; counts are Python objects only for a piece of the texts."""
+    kind = pa.map_(pa.string(), pa.int64())
+    made = [pa.array([], kind)]
+    for piece in pieces(texts, PIECE_BYTES):
+        found = []
+        for counts in counter(piece):
+            nodes: dict[str, int] = {}
+            for p, n in counts.items():
+                for node in names[p]:
+                    nodes[node] = nodes.get(node, 0) + n
+            found.append(sorted(nodes.items()))
+        made.append(pa.array(found, kind))
+    return pa.concat_arrays(made)
+
+
+def pieces(texts: pa.Array, n_bytes: int, n_rows: int = 1 << 20) -> Iterator[pa.Array]:
+    """Slices of about ``n_bytes`` and at most ``n_rows``; a longer text is one of its own."""
     total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         done = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, done + PIECE_BYTES, "right")))
+        to = max(at + 1, min(at + n_rows, int(np.searchsorted(total, done + n_bytes, "right"))))
         yield texts.slice(at, to - at)
         at = to
