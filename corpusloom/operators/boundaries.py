@@ -152,20 +152,31 @@ def learned_spans(text: Column, model: BoundaryModel) -> Column:
 
 def _kept_spans(pieces: Column, offsets: Column, model: BoundaryModel) -> Column:
     last = F.size(pieces) - 1
+    one_of = lambda value, words: value.isin(*words) if words else F.lit(False)
+
+    def taken_back(word: Column, behind: Column) -> Column:
+        """Whether the cut behind a period goes, by the type of the word before and the word behind."""
+        pair = let(F.concat_ws(" ", word, _type(_bare(behind))), lambda both: one_of(both, model.collocations))
+        starts = F.regexp_replace(behind, OPENING, "").rlike(r"^\p{Lu}") & one_of(_type(_bare(behind)), model.starters)
+        return pair | (one_of(word, model.abbreviations) & ~starts)
 
     def stays(i: Column) -> Column:
         """Whether the cut behind piece ``i`` stays."""
-        before = F.regexp_extract(F.get(pieces, i), r"([^ \t\r\n]+)$", 1)
+        before = F.regexp_extract(F.get(pieces, i), r"((?<![^ \t\r\n])[^ \t\r\n]+)$", 1)
         behind = F.regexp_extract(F.get(pieces, i + 2), r"^([^ \t\r\n]+)", 1)
-        word, follows = _type(_bare(before)), _type(_bare(behind))
-        period = _bare(before).rlike(r"(?<!\.)\.$")
-        capital = F.regexp_replace(behind, OPENING, "").rlike(r"^\p{Lu}")
-        one_of = lambda value, words: value.isin(*words) if words else F.lit(False)
-        short = one_of(word, model.abbreviations) & ~(capital & one_of(follows, model.starters))
-        return ~(period & (short | one_of(F.concat_ws(" ", word, follows), model.collocations)))
-
-    begins = F.filter(F.transform(pieces, lambda _, i: F.when((i % 2 == 0) & ((i == 0) | stays(i - 2)), i)), F.isnotnull)
-    ends = F.filter(F.transform(pieces, lambda _, i: F.when((i % 2 == 0) & ((i == last) | stays(i)), i)), F.isnotnull)
+        word = lambda bare: let(_type(bare), lambda w: taken_back(w, behind))
+        return let(_bare(before), lambda bare: ~F.when(bare.rlike(r"(?<!\.)\.$"), word(bare)).otherwise(F.lit(False)))
+
+    # Each cut is judged once; pieces between kept cuts become one span.
+    kept = F.filter(F.transform(pieces, lambda _, i: F.when((i % 2 == 0) & (i < last), F.when(stays(i), i))), F.isnotnull)
+    return let(kept, lambda cuts: _spans_between(pieces, offsets, cuts))
+
+
+def _spans_between(pieces: Column, offsets: Column, cuts: Column) -> Column:
+    """Spans from piece 0 to the last, cut behind the pieces ``cuts``."""
+    last = F.size(pieces) - 1
+    begins = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda i: i + 2))
+    ends = F.concat(cuts, F.array(last))
 
     def span(a: Column, b: Column) -> Column:
         length = F.when(b == last, F.length(S._trim_last(F.get(pieces, b)))).otherwise(F.length(F.get(pieces, b)))
