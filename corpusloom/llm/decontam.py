@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.llm import common
 from corpusloom.llm.licenses import bare_words
-from corpusloom.llm.words import Hasher, slices
+from corpusloom.llm.words import SMALL_BYTES, Hasher, slices
 
 WINDOW, ENOUGH = 8, 13
 SHORTEST = 4  # templates of fewer tokens are too short to tell; literal windows have no such bound
@@ -34,7 +34,6 @@ SHIFT = 6  # tokens by which the parts of one occurrence may be shifted
 BITS = 1 << 22
 LEAK_BITS = 1 << 20
 RARE = 8
-TEXT_BYTES = 1 << 20
 NUMBER, UNIT, NAME = (np.uint64(i) for i in (1, 2, 3))
 #: Units of measure that follow a number.
 UNITS = (
@@ -93,7 +92,7 @@ def _template_windows(lengths: list[int] | None, bitmap: np.ndarray | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, verbatim = Hasher(seed=31), Hasher(seed=37)
         for batch in batches:
-            for piece in slices(batch, "text", TEXT_BYTES):
+            for piece in slices(batch, "text", SMALL_BYTES):
                 row, word, ids, values, slot = _positions(piece)
                 held = np.append(0, np.cumsum(slot))
                 kinds = [(True, verbatim, verbatim.prefix(values)), (False, hasher, hasher.prefix(ids))]

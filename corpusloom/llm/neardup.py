@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corpusloom.llm import common
-from corpusloom.llm.words import Hasher, Words, mix, slices
+from corpusloom.llm.words import SMALL_BYTES, Hasher, Words, mix, slices
 from corpusloom.operators.components import connected_components
 
 SLOTS, BITS, CHUNK, ERRORS, DISTANCE = 64, 16, 4, 1, 30
@@ -119,7 +119,7 @@ def _sketch(k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SMALL_BYTES):
                 words = Words(piece.column("text"))
                 shingles, sizes = distinct_shingles(words, hasher, k)
                 sums = np.append(np.uint64(0), np.cumsum(shingles, dtype=np.uint64))
@@ -181,8 +181,8 @@ def _confirm(k: int, percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
         for batch in batches:
-            for half in slices(batch, "text_a"):
-                for piece in slices(half, "text_b"):
+            for half in slices(batch, "text_a", SMALL_BYTES):
+                for piece in slices(half, "text_b", SMALL_BYTES):
                     sides = []
                     for side in ("text_a", "text_b"):
                         found, sizes = distinct_shingles(Words(piece.column(side)), hasher, k)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.llm import common
 from corpusloom.llm.licenses import bare_words
 from corpusloom.llm.neardup import distinct_shingles
-from corpusloom.llm.words import Hasher, Words, mix, slices
+from corpusloom.llm.words import SMALL_BYTES, Hasher, Words, mix, slices
 
 LABEL_ROWS, FIT_ROWS = 16384, 16384
 BUCKETS = 1 << 18
@@ -176,7 +176,7 @@ def _train(batches: Iterator[pa.RecordBatch], lexicon: np.ndarray) -> Iterator[p
     weights, seen = np.zeros((BUCKETS, 2), np.float32), np.full((BUCKETS, 2), 1e-6, np.float32)
     data = []
     for batch in batches:
-        for piece in slices(batch, "text"):
+        for piece in slices(batch, "text", SMALL_BYTES):
             votes, toxic, bare, row, n = examine(piece.column("text"), lexicon)
             at, bucket, value = _features(votes, toxic, bare, row, len(n))
             order = np.argsort(at, kind="stable")
@@ -220,7 +220,7 @@ class QualityModel:
         @F.arrow_udf("quality double, toxicity double, keep boolean")
         def judge(text: pa.Array) -> pa.Array:
             out = []
-            for piece in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text"):
+            for piece in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", SMALL_BYTES):
                 votes, toxic, bare, row, n = examine(piece.column("text"), lexicon)
                 at, bucket, value = _features(votes, toxic, bare, row, len(n))
                 margin = [np.bincount(at, weights=value * shared.value[bucket, h], minlength=len(n)) for h in (0, 1)]
@@ -250,7 +250,7 @@ def _lexicon(docs: DataFrame, labels: DataFrame, label_rows: int) -> np.ndarray:
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SMALL_BYTES):
                 shingles, sizes = distinct_shingles(Words(piece.column("text")), Hasher(lower=True), 4)
                 heads = np.cumsum(sizes) - sizes
                 least = np.zeros(len(sizes), np.uint64)
@@ -261,7 +261,7 @@ def _lexicon(docs: DataFrame, labels: DataFrame, label_rows: int) -> np.ndarray:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SMALL_BYTES):
                 words, full, bare = bare_words(piece.column("text"))
                 word, row = terms(words, bare, words.row_of_word()[full])
                 order = np.lexsort((word, row))
@@ -318,7 +318,7 @@ def fit(
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SMALL_BYTES):
                 votes, toxic, *_ = examine(piece.column("text"), lexicon)
                 yield pa.RecordBatch.from_pydict({"id": piece.column("id"), "good": pa.array(_code(votes)), "clean": pa.array(_code(toxic))})
 
@@ -337,7 +337,7 @@ def fit(
         rows = votes.groupBy(kind).count().collect()  # 3 ** (labellers + 1) rows at most
         code, count = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
         bad, speech[kind] = expectation_maximisation(decode(code, len(labellers) + 1), count)
-        posterior[kind] = spark.createDataFrame([(int(c), float(b)) for c, b in zip(code, bad)], f"{kind} long, {kind}_bad double")
+        posterior[kind] = common.small_table(spark, {kind: code, f"{kind}_bad": bad}, f"{kind} long, {kind}_bad double")
     sample = _smallest(votes.where("id IS NOT NULL"), fit_rows).join(posterior["good"], "good").join(posterior["clean"], "clean")
     sample = sample.select("id", F.col("good_bad").alias("bad"), F.col("clean_bad").alias("toxic"))
     chosen = _gathered(texts, sample)

@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm import common
-from corpusloom.llm.words import Anchors, Hasher, Words, blank_table, slices
+from corpusloom.llm.words import SMALL_BYTES, Anchors, Hasher, Words, blank_table, slices
 
 FLUSH_ROWS = 1 << 19
-TEXT_BYTES = 1 << 20
 MANY_RUNS = 64
 SPARE_BUCKETS = 4
 # What a place says about its windows.
@@ -119,7 +118,7 @@ def _runs(window: int, k: int, buckets: int):
             return common.bucketed(bucket, anchor=anchor, body=body, doc=doc, tag=tag, place=place)
 
         for batch in batches:
-            for piece in slices(batch, "text", TEXT_BYTES):
+            for piece in slices(batch, "text", SMALL_BYTES):
                 words = Words(piece.column("text"))
                 row = words.row_of_word()
                 hashes = hasher.words(words.text, words.start, words.end)
@@ -170,7 +169,7 @@ def extensions(window: int, buckets: int):
             return common.bucketed(bucket, anchor=anchor, body=np.where(later, origin, 0), doc=doc, tag=tag, place=place)
 
         for batch in batches:
-            for piece in slices(batch, "text", TEXT_BYTES):
+            for piece in slices(batch, "text", SMALL_BYTES):
                 words = Words(piece.column("text"))
                 prefix = hasher.prefix(hasher.words(words.text, words.start, words.end))
                 places = piece.column("places")
@@ -284,7 +283,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(text: pa.Array, places: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([text, places], ["text", "places"])
         out = []
-        for piece in slices(batch, "text", TEXT_BYTES):
+        for piece in slices(batch, "text", SMALL_BYTES):
             words = Words(piece.column("text"))
             covered = covered_words(words, piece.column("places"), window)
             sums = np.append(0, np.cumsum(covered))
@@ -307,6 +306,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append(pa.StructArray.from_arrays(columns, ["n_words", "n_removed", "spans", "kept_text"]))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([]))
 
+    cut = cut.asNondeterministic()  # else a filter on the results cuts every text once more, in a worker of its own
     key = {"doc": common.doc_key(id_col), "tag": common.row_tag(docs, id_col, text_col)}
     names = ["n_words", "n_removed", "spans", "kept_text"]
     plain = docs.drop(*[c for c in docs.columns if c in names])

@@ -104,3 +104,49 @@ def test_models_get_pieces(spark):
     sizes = op.model_encoder(lambda: lambda texts: [[len(texts)] for _ in texts])
     df = spark.range(0, 5000, 1, 1).select(F.col("id").cast("string").alias("t"))
     assert max(r.v[0] for r in op.encode_text(df, "t", sizes, out="v").collect()) <= 1024
+
+
+def _most_held(task, batch):
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in task(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return rows, peak
+
+
+def test_stages_hold_small_pieces_of_text():
+    """A task of the pipeline holds the numbers of a small piece of text, whatever the batch."""
+    from corpusloom.llm import decontam, neardup, quality, substring
+
+    def examined(batches):
+        for batch in batches:
+            for piece in quality.slices(batch, "text", quality.SMALL_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(quality.examine(piece.column("text"), np.arange(5, dtype=np.uint64))[-1])], ["n"])
+
+    words = np.random.default_rng(7).integers(97, 123, (400, 700, 5), np.uint8)
+    texts = pa.array([b" ".join(w.tobytes() for w in text).decode() for text in words])  # 1.7 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([0] * 400, pa.int64()), texts], ["doc", "tag", "text"])
+    leaks = decontam._template_windows([8], np.zeros(16, np.uint64))
+    for task, rows, most_mb in ((examined, 400, 24), (neardup._sketch(5), 400, 12), (leaks, 0, 22), (substring._runs(13, 5, 1), 1, 17)):
+        found, peak = _most_held(task, batch)
+        assert found == rows and peak < most_mb << 20
+
+
+def test_a_text_is_cut_once(spark):
+    """A filter on what is left of a text does not cut it again, in another Python worker of the same task."""
+    from corpusloom.llm.substring import remove_repeats
+
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, passage), (2, f"a {passage} b"), (3, passage), (4, None)], "doc_id long, text string")
+    cut = remove_repeats(docs).where("n_removed = 0 OR n_removed < n_words").select("doc_id", "kept_text")
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {tuple(r) for r in cut.collect()} == {(1, passage), (2, "a b"), (4, "")}
+
+
+def test_small_tables_need_no_python_workers(spark):
+    df = common.small_table(spark, {"a": np.array([3, 1]), "b": np.array([0.5, 1.0])}, "a long, b double")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    assert df.dtypes == [("a", "bigint"), ("b", "double")] and [tuple(r) for r in df.collect()] == [(3, 0.5), (1, 1.0)]
+    empty = common.small_table(spark, {"a": np.array([], np.int64), "b": np.array([])}, "a long, b double")
+    assert empty.dtypes == df.dtypes and empty.collect() == []
