@@ -8,6 +8,7 @@ What a task finds it keeps until its left block, or the task, ends.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,10 +91,12 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
 def packed(rows: DataFrame, block_rows: int) -> DataFrame:
     """Blocks of rows that :func:`placed` has given a home."""
     sizes = [(r["home"], -(-r["count"] // block_rows)) for r in rows.groupBy("home").count().collect()]  # one row per cell
-    count = F.broadcast(rows.sparkSession.createDataFrame(sizes, "home int, blocks int"))
-    dealt = rows.join(count, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    known = F.broadcast(rows.sparkSession.createDataFrame(sizes, "home int, blocks int"))
+    dealt = rows.join(known, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     blocks = dealt.groupBy("home", "block").applyInArrow(_pack, _PACKED)
-    return written(blocks.coalesce(max(1, sum(n for _, n in sizes) // FILE_BLOCKS)))
+    count, cores = sum(n for _, n in sizes), rows.sparkSession.sparkContext.defaultParallelism
+    # Pairs of files are tasks: some four for each core, where there are blocks for it.
+    return written(blocks.coalesce(max(1, count // FILE_BLOCKS, min(count, math.ceil(2 * math.sqrt(cores))))))
 
 
 class Block:
@@ -109,6 +112,44 @@ class Block:
         self.vec = np.frombuffer(data, np.float32 if len(data) == 4 * n * width else np.float64).reshape(n, width).astype(np.float64)
         self.length = (self.vec * self.vec).sum(1)
         self.halo = np.frombuffer(get("halo").as_buffer(), np.uint8).reshape(n, -1).copy() if side == "a" else None
+        self.small: tuple[np.ndarray, np.ndarray] | None = None
+        self.ids: np.ndarray | None = None
+
+    def sorted_ids(self) -> np.ndarray:
+        if self.ids is None:
+            self.ids = np.sort(self.id)
+        return self.ids
+
+    def _sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors with a one, and with minus half their squared length, behind them: their products are what :meth:`near` compares."""
+        if self.small is None:
+            kind = np.float32 if self.length.max(initial=0.0) < 1e30 else np.float64
+            half = (-0.5 * self.length).astype(kind)[:, None]
+            vec = self.vec.astype(kind)
+            self.small = np.hstack([vec, np.ones_like(half)]), np.hstack([vec, half])
+        return self.small
+
+    def near(self, rows: np.ndarray, other: Block, reach: np.ndarray, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs ``(place in rows, row of other)`` that hold all within ``reach``, and few others; never a row with itself.
+
+        A pair is near if a·b - |b|²/2 is at least (|a|² - reach²)/2. The product is of single precision, what that may cost is given
+        back. Where more than some ``k`` rows are within reach, only what may be among the ``k`` nearest is kept, if ``k`` is given.
+        """
+        score = self._sides()[0][rows] @ other._sides()[1].T
+        unit = max(np.finfo(side.dtype).eps for side in (self._sides()[0], other._sides()[1]))
+        most = np.sqrt(other.length.max(initial=0.0))
+        doubt = (self.vec.shape[1] + 4) * unit * (np.sqrt(self.length[rows]) + most) * most + 1e-12 * (self.length[rows] + 1.0) + 1e-20
+        ids = other.sorted_ids()
+        same = np.flatnonzero(ids[np.minimum(np.searchsorted(ids, self.id[rows]), len(ids) - 1)] == self.id[rows])
+        if len(same):
+            score[same] = np.where(self.id[rows[same]][:, None] == other.id[None, :], -np.inf, score[same])
+        with np.errstate(over="ignore", invalid="ignore"):
+            least = (self.length[rows] - reach[rows] ** 2 * (1 + 1e-9)) / 2 - doubt
+            least = np.maximum(np.nextafter(least.astype(score.dtype), -np.inf, dtype=score.dtype), np.finfo(score.dtype).min)
+        within = score >= least[:, None]
+        if k and k < score.shape[1] and np.count_nonzero(within) > 4 * k * len(rows):
+            within &= score >= (np.partition(score, -k, axis=1)[:, -k] - 3 * doubt).astype(score.dtype)[:, None]
+        return np.divmod(np.flatnonzero(within), max(1, score.shape[1]))
 
     def squared(self, rows: np.ndarray, other: Block) -> np.ndarray:
         return np.maximum(self.length[rows][:, None] + other.length[None, :] - 2.0 * (self.vec[rows] @ other.vec.T), 0.0)
@@ -158,25 +199,20 @@ class Nearest:
     """Per looking row its ``k`` nearest other rows within reach, as ``(id, near)``; of equally near ones the smaller ids."""
 
     def __init__(self, k: int):
-        self.k, self.of, self.found = k, None, []
+        self.k, self.of, self.found, self.new = k, None, [], 0
 
     def meet(self, a: Block, b: Block, rows: np.ndarray) -> None:
         if self.of != a.number:
-            self.of, self.limit, self.found = a.number, a.reach.copy(), []
-        squared = a.squared(rows, b)
-        squared[a.id[rows][:, None] == b.id[None, :]] = np.inf
-        doubt = 1e-12 * (a.length[rows] + b.length.max(initial=0.0) + 1.0)
-        limit = self.limit[rows] ** 2 * (1 + 1e-9) + doubt
-        near = (squared <= limit[:, None]) & np.isfinite(squared)
-        if np.count_nonzero(near) > 4 * self.k * len(rows) and self.k < squared.shape[1]:
-            near &= squared <= (np.partition(squared, self.k - 1, axis=1)[:, self.k - 1] + 2 * doubt)[:, None]
-        i, j = np.nonzero(near)
+            self.of, self.limit, self.found, self.new = a.number, a.reach.copy(), [], 0
+        i, j = a.near(rows, b, self.limit, self.k)
         if not len(i):
             return
         d = a.exact(rows[i], b, j)
         kept = d <= a.reach[rows[i]]
         self.found.append((rows[i[kept]], d[kept], b.id[j[kept]], b.copies[j[kept]]))
-        self._cut()
+        self.new += np.count_nonzero(kept)
+        if 2 * self.new >= self.k * len(a.id):  # sorting costs more than comparing
+            self._cut()
 
     def _cut(self) -> None:
         row, d, other, copies = (np.concatenate(c) for c in zip(*self.found))
@@ -187,10 +223,13 @@ class Nearest:
         kept, full = rank < self.k, rank == self.k - 1
         self.limit[row[full]] = np.minimum(self.limit[row[full]], d[order][full])
         order = order[kept]
-        self.found = [(row[kept], d[order], other[order], copies[order])]
+        self.found, self.new = [(row[kept], d[order], other[order], copies[order])], 0
 
     def leave(self, a: Block) -> pa.Table | None:
-        if self.of != a.number or not self.found or not len(self.found[0][0]):
+        if self.of != a.number or not self.found:
+            return None
+        self._cut()
+        if not len(self.found[0][0]):
             return None
         (row, d, other, copies), self.of = self.found[0], None
         heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))

@@ -1,10 +1,11 @@
 """Density clustering without a radius: the whole mutual-reachability hierarchy, condensed and cut by stability.
 
 1. Core distances. Each vector belongs to the cell of its nearest pivot. A bound from its own block and from the pivots
-   limits how far its ``min_samples``-th neighbour can be; it looks into the cells within that bound.
+   limits how far its ``min_samples``-th neighbour, and ``MORE`` behind it, can be; it looks into the cells within that bound.
 2. Minimum spanning tree by Boruvka rounds. Each component takes its lightest edge to another one. Neighbours and
-   pivots give it a first edge, and only rows that could have a lighter one look for it, in cells that hold other
-   components. Edges are in a strict order (weight, ends), so rounds never close a circle.
+   pivots give it a first edge, and only rows that could have a lighter one beyond their neighbours look for it, in cells
+   that hold other components. Both sides know what is found and edges are in a strict order (weight, ends), so rounds
+   never close a circle.
 3. Dendrogram. Edges are cut by rank into bands of ``BAND`` edges. Halving the bands level by level, the lower half's
    components become nodes of the upper half, so that finally each band is merged by one task on its own, whatever the
    size of its components.
@@ -31,6 +32,8 @@ from corpusloom.operators.relational import with_row_id
 from corpusloom.runtime import written
 
 BAND = 1 << 17
+MORE = 10  # neighbours known of a row beyond those of its core distance
+ONE_TASK = 1 << 21  # rows of a few numbers that one task may hold; what is larger goes by rounds over the cluster
 _EDGE = "comp bigint, w double, a bigint, b bigint, other bigint"
 
 
@@ -96,7 +99,8 @@ def _bound(k: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         vectors, copies = _matrix(table.column("vec")), table.column("copies").to_numpy()
         squared = _squared(vectors, vectors)
-        order = np.argsort(squared, axis=1)
+        first = np.argpartition(squared, k, axis=1)[:, : k + 1] if k + 1 < len(squared) else np.tile(np.arange(len(squared)), (len(squared), 1))
+        order = np.take_along_axis(first, np.argsort(np.take_along_axis(squared, first, axis=1), axis=1), axis=1)
         others = copies[order].cumsum(axis=1) - 1
         enough = others >= k
         at = order[np.arange(len(order)), enough.argmax(axis=1)]
@@ -108,18 +112,18 @@ def _bound(k: int):
 
 
 def core_distances(points: DataFrame, min_samples: int) -> tuple[DataFrame, DataFrame, Pivots]:
-    """Rows with ``core`` (the distance of the ``min_samples``-th other row), and edges ``(a, b, d)`` to the rows that near."""
+    """Rows with ``core`` (the distance of the ``min_samples``-th other row) and ``radius``, edges ``(a, b, d)`` to all rows nearer than that."""
     pivots = Pivots(points)
-    k = min_samples
+    k, listed = min_samples, min_samples + MORE
     fresh = points.select("id", "vec", "copies", F.lit(0.0).alias("core"), F.col("id").alias("comp"), F.lit(-1.0).alias("reach"))
     homes = written(placed(fresh, pivots.vec).select("id", "vec", "copies", "home"))
     sizes = F.broadcast(homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / cluster.BLOCK_ROWS).alias("blocks")))
     blocked = homes.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    bounds = written(blocked.groupBy("home", "block").applyInArrow(_bound(k), "id bigint, reach double"))
+    bounds = written(blocked.groupBy("home", "block").applyInArrow(_bound(listed), "id bigint, reach double"))
     looking = fresh.drop("reach").join(bounds, "id")
-    lists = meet(packed(placed(looking, pivots.vec), cluster.BLOCK_ROWS), pivots.vec.shape[1], lambda: Nearest(k), NEAREST)
+    lists = meet(packed(placed(looking, pivots.vec), cluster.BLOCK_ROWS), pivots.vec.shape[1], lambda: Nearest(listed), NEAREST)
     # One list for each stretch of blocks that a row was compared with.
-    merged = written(lists.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")))
+    merged = written(lists.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, listed).alias("near")))
     start = F.struct((F.col("copies") - 1).alias("seen"), F.when(F.col("copies") > k, F.lit(0.0)).alias("at"))
 
     def walk(acc, e):
@@ -129,9 +133,10 @@ def core_distances(points: DataFrame, min_samples: int) -> tuple[DataFrame, Data
     known = written(
         points.join(merged, "id", "left").withColumn("near", F.coalesce("near", F.array().cast("array<struct<d:double,id:bigint,n:bigint>>")))
         .withColumn("core", F.aggregate("near", start, walk)["at"])
+        .withColumn("radius", F.coalesce(F.get("near", F.lit(listed - 1))["d"], "core"))
     )
     edges = known.select(F.col("id").alias("a"), F.explode("near").alias("e")).select("a", F.col("e.id").alias("b"), F.col("e.d").alias("d"))
-    return known.select("id", "vec", "copies", "core"), edges, pivots
+    return known.select("id", "vec", "copies", "core", "radius"), edges, pivots
 
 
 # --- spanning tree ------------------------------------------------------------------------------------
@@ -155,9 +160,13 @@ class _Outgoing:
         self.found: list[pa.Table] = []
 
     def meet(self, a: Block, b: Block, rows: np.ndarray) -> None:
-        foreign = a.comp[rows][:, None] != b.comp[None, :]
-        if not foreign.any():
+        if a.comp[rows[0]] == b.comp[0] and (a.comp[rows] == b.comp[0]).all() and (b.comp == b.comp[0]).all():
             return
+        i, j = a.near(rows, b, a.reach)
+        if len(i) <= 64 * len(rows):
+            open_ = a.comp[rows[i]] != b.comp[j]
+            return self._keep(a, b, rows[i[open_]], j[open_])
+        foreign = a.comp[rows][:, None] != b.comp[None, :]
         squared = a.squared(rows, b)
         doubt = 1e-12 * (a.length[rows][:, None] + b.length[None, :] + 1.0)
         base = np.maximum(a.core[rows][:, None], b.core[None, :])
@@ -165,9 +174,12 @@ class _Outgoing:
         most = np.where(foreign, np.maximum(base, np.sqrt(squared + doubt)), np.inf).min(axis=1, initial=np.inf)
         limit = np.minimum(most, a.reach[rows] * (1 + 1e-9))
         i, j = np.nonzero((least <= limit[:, None]) & foreign)
+        self._keep(a, b, rows[i], j)
+
+    def _keep(self, a: Block, b: Block, i: np.ndarray, j: np.ndarray) -> None:
         if len(i):
-            w = np.maximum(base[i, j], a.exact(rows[i], b, j))
-            self.found.append(_lightest(a.comp[rows[i]], w, a.id[rows[i]], b.id[j], b.comp[j]))
+            w = np.maximum(np.maximum(a.core[i], b.core[j]), a.exact(i, b, j))
+            self.found.append(_lightest(a.comp[i], w, a.id[i], b.id[j], b.comp[j]))
 
     def leave(self, a: Block) -> None:
         if len(self.found) > 1:
@@ -227,7 +239,7 @@ def spanning_tree(cores: DataFrame, near: DataFrame, pivots: Pivots) -> DataFram
     """``(a, b, w)``, one edge fewer than rows."""
     if cores.count() <= cluster.BLOCK_ROWS:
         return written(cores.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_prim, "a bigint, b bigint, w double"))
-    points = written(cores.select("id", "vec", "copies", "core", F.col("id").alias("comp"), F.lit(-1.0).alias("reach")))
+    points = written(cores.select("id", "vec", "copies", "core", F.col("id").alias("comp"), F.lit(-1.0).alias("reach"), "radius"))
     core = points.select("id", "core")
     # Mutual reachability of the neighbours that the core distances were taken from.
     light = written(
@@ -247,19 +259,48 @@ def spanning_tree(cores: DataFrame, near: DataFrame, pivots: Pivots) -> DataFram
         bound = written(known.unionByName(written(to_pivots)).groupBy("comp").agg(first).select("comp", "e.*"))
         light = light.select("a", "b", "w")
         looking = points.drop("reach").join(bound.select("comp", F.col("w").alias("reach")), "comp").withColumn(
-            "reach", F.when(F.col("core") < F.col("reach"), F.col("reach")).otherwise(F.lit(-1.0))
+            "reach", F.when((F.col("core") < F.col("reach")) & (F.col("radius") <= F.col("reach")), F.col("reach")).otherwise(F.lit(-1.0))
         )
         cells = {r["home"]: (r["lo"], r["hi"]) for r in _cells(points, pivots).collect()}  # one row per pivot at most
         low, high = (np.array([cells.get(i, (0, 0))[side] for i in range(len(pivots.vec))]) for side in (0, 1))
         lighter = written(meet(packed(placed(looking, pivots.vec, low, high), cluster.BLOCK_ROWS), pivots.vec.shape[1], _Outgoing, _EDGE))
-        chosen = written(bound.unionByName(lighter).groupBy("comp").agg(first).select("comp", "e.*"))
+        back = lighter.select(F.col("other").alias("comp"), "w", "a", "b", F.col("comp").alias("other"))
+        chosen = written(bound.unionByName(lighter).unionByName(back).groupBy("comp").agg(first).select("comp", "e.*"))
         new = chosen.select("a", "b", "w").distinct()
         tree = written(new if tree is None else tree.unionByName(new))
-        merged = connected_components(chosen.select(F.col("comp").alias("a"), F.col("other").alias("b")))
-        points = written(points.join(merged, points["comp"] == merged["node"]).select("id", "vec", "copies", "core", F.col("component").alias("comp"), "reach"))
+        merged = _components(chosen.select(F.lit(0).alias("part"), F.col("comp").alias("a"), F.col("other").alias("b")), chosen.count()).withColumnsRenamed({"comp": "component", "id": "node"})
+        points = written(points.join(merged, points["comp"] == merged["node"]).select("id", "vec", "copies", "core", F.col("component").alias("comp"), "reach", "radius"))
     return tree
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number connected with each of ``n``."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _components(edges: DataFrame, most: int) -> DataFrame:
+    """``(part, id, comp)``: the smallest node connected with each node of ``edges (part, a, b)`` inside its part of ``most`` edges at most."""
+    if most > ONE_TASK:
+        end = lambda c: F.struct("part", F.col(c).alias("id"))
+        return connected_components(edges.select(end("a").alias("a"), end("b").alias("b"))).select("node.*", F.col("component.id").alias("comp"))
+
+    def task(key: tuple, table: pa.Table) -> pa.Table:
+        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        comp = nodes[_roots(at[: len(a)], at[len(a) :], len(nodes))]
+        return pa.table({"part": pa.array(np.full(len(nodes), key[0].as_py(), np.int64)), "id": nodes, "comp": comp})
+
+    return edges.groupBy("part").applyInArrow(task, "part bigint, id bigint, comp bigint")
+
+
 def _cells(points: DataFrame, pivots: Pivots) -> DataFrame:
     return placed(points, pivots.vec).groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
 
@@ -305,9 +346,7 @@ def dendrogram(sizes: DataFrame, tree: DataFrame) -> DataFrame:
         width //= 2
         half = F.floor(F.col("rank") / width)
         low, high = edges.where(half % 2 == 0), edges.where(half % 2 == 1)
-        end = lambda c: F.struct("part", F.col(c).alias("node"))
-        comps = connected_components(low.select(end("a").alias("a"), end("b").alias("b"))).select("node.*", F.col("component.node").alias("comp"))
-        comps = written(comps)
+        comps = written(_components(low.select("part", "a", "b"), width).withColumnRenamed("id", "node"))
         tops = low.join(comps, (low["part"] == comps["part"]) & (low["a"] == comps["node"])).groupBy(low["part"], "comp").agg(F.max("rank").alias("last"))
         grown = nodes.join(comps, ["part", "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
         above = grown.groupBy("part", "comp").agg(F.sum("size").alias("size"), F.max("top").alias("top")).join(tops, ["part", "comp"], "left")
@@ -326,9 +365,23 @@ def dendrogram(sizes: DataFrame, tree: DataFrame) -> DataFrame:
 # --- condensed tree -----------------------------------------------------------------------------------
 
 
+def _doubled(table: pa.Table) -> pa.Table:
+    node, goal, open_ = (table.column(c).to_numpy() for c in ("node", "goal", "open"))
+    order = np.argsort(node)
+    node, goal, open_ = node[order], goal[order], open_[order]
+    while open_.any():
+        i = np.flatnonzero(open_)
+        at = np.minimum(np.searchsorted(node, goal[i]), len(node) - 1)
+        known = node[at] == goal[i]
+        goal[i], open_[i] = np.where(known, goal[at], goal[i]), known & open_[at]
+    return pa.table({"node": node, "goal": goal})
+
+
 def _followed(steps: DataFrame) -> DataFrame:
     """``(node, goal)``: where ``steps (node, goal, open)`` lead while goals are nodes that are open themselves; by doubling."""
     state = written(steps)
+    if state.count() <= ONE_TASK:
+        return state.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_doubled, "node bigint, goal bigint")
     while not state.where("open").isEmpty():
         more = state.select(F.col("node").alias("goal"), F.col("goal").alias("then"), F.col("open").alias("still"))
         jumped = state.where("open").join(more, "goal", "left").select(
@@ -380,8 +433,30 @@ def stable_clusters(rows: DataFrame, merges: DataFrame, least: int) -> DataFrame
     return member.join(numbered, "goal").select("id", F.col("label").cast("int").alias("label"), "p")
 
 
+def _chosen(table: pa.Table) -> pa.Table:
+    """What :func:`_selected` finds, in one task. Clusters are named by ranks, those inside others by smaller ones."""
+    order = np.argsort(table.column("cluster").to_numpy())
+    names, parents, stable = (table.column(c).to_numpy()[order].tolist() for c in ("cluster", "parent", "stability"))
+    place = {c: i for i, c in enumerate(names)}
+    above = [place.get(p, -1) for p in parents]
+    inside, chosen = [0.0] * len(names), [False] * len(names)
+    for i, (up, s) in enumerate(zip(above, stable)):
+        kept = s != s or s >= inside[i]  # as in SQL, NaN is the largest
+        chosen[i] = kept
+        if up >= 0:
+            inside[up] += s if kept else inside[i]
+    goal: list[int | None] = [None] * len(names)
+    for i in range(len(names) - 1, -1, -1):
+        over = goal[above[i]] if above[i] >= 0 else None
+        goal[i] = names[i] if over is None and chosen[i] else over
+    kept = [i for i, g in enumerate(goal) if g is not None]
+    return pa.table({"node": pa.array([names[i] for i in kept], pa.int64()), "goal": pa.array([goal[i] for i in kept], pa.int64())})
+
+
 def _selected(clusters: DataFrame) -> DataFrame:
     """``(node, goal)``: for every cluster inside a selected one, or selected itself, the topmost such."""
+    if clusters.count() <= ONE_TASK // 4:  # rows become Python objects
+        return written(clusters.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_chosen, "node bigint, goal bigint"))
     state = written(clusters.select("cluster", "parent", "stability", F.lit(None).cast("double").alias("value"), F.lit(False).alias("chosen")))
     while True:  # from the leaves up: a cluster is kept if it is no less stable than what lies in it
         below = state.groupBy(F.col("parent").alias("cluster")).agg(F.sum("value").alias("inside"), F.count_if(F.col("value").isNull()).alias("open"))
